@@ -32,50 +32,61 @@ from .common import small_batches, table_path
 #: (ids a word, bits an id) of selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 CHUNK = 65_536
+#: Distinct pieces whose ids a worker keeps.
+MAX_PIECES = 1_500_000
+
+
+_WIDTH16 = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bit length of each id, one byte each."""
+    if not len(ids) or int(ids.max()) < 1 << 16:
+        return _WIDTH16[ids.astype(np.uint16)]
+    out = np.zeros(len(ids), np.uint8)
+    for shift in (48, 32, 16, 0):
+        part = (ids >> np.uint64(shift) & np.uint64(0xFFFF)).astype(np.uint16)
+        out = np.where((out == 0) & (part > 0), _WIDTH16[part] + np.uint8(shift), out)
+    return out
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, escaped values) of one chunk of uint64 ids."""
+    """(words, escaped values) of one chunk of unsigned ids."""
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    ids = ids.astype(np.uint64)
-    escaped = ids >> np.uint64(60) > 0
-    top = int(ids[~escaped].max(initial=0))
-    take, place = np.ones(n, np.int64), np.full(n, len(SELECTORS), np.int64)
-    left = n - np.arange(n)
-    done = escaped.copy()
-    for s, (count, bits) in enumerate(SELECTORS, 1):
-        if done.all():
+    width = _widths(ids)
+    take, place = np.ones(n, np.uint8), np.zeros(n, np.uint8)
+    for s in range(len(SELECTORS), 0, -1):  # from few wide ids to many narrow ones: the last that fits stays
+        count, bits = SELECTORS[s - 1]
+        wide = width > bits
+        passed = np.zeros(n + count, np.int32)  # wide ids before each place; places after the end are narrow
+        np.cumsum(wide, out=passed[1 : n + 1])
+        passed[n + 1 :] = passed[n]
+        fits = passed[count:] == passed[:n]
+        if not fits.any():
             break
-        if top >> bits:
-            ends = np.where(ids >> np.uint64(bits) > 0, np.arange(n), n)
-            free = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)
-        else:
-            ends = np.where(escaped, np.arange(n), n)
-            free = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(n)
-        fits = ~done & (free >= np.minimum(count, left))
-        take[fits], place[fits] = np.minimum(count, left)[fits], s
-        done |= fits
+        np.copyto(take, count, where=fits)
+        np.copyto(place, s, where=fits)
     step, starts, i = take.tolist(), [], 0
     while i < n:
         starts.append(i)
         i += step[i]
     start = np.array(starts)
-    chosen = np.where(escaped[start], 0, place[start])
+    chosen = place[start]
     words = np.zeros(len(start), np.uint64)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
-    used = take[start]
-    for s, (count, bits) in enumerate(SELECTORS, 1):
+    padded = np.concatenate([ids.astype(np.uint64), np.zeros(60, np.uint64)])
+    for s in np.unique(chosen).tolist():
         at = np.flatnonzero(chosen == s)
-        if len(at):
-            word = np.full(len(at), s << 60, np.uint64)
-            for k in range(count):
-                word |= np.where(k < used[at], padded[start[at] + k], np.uint64(0)) << np.uint64(bits * k)
-            words[at] = word
-    out = np.flatnonzero(chosen == 0)
-    words[out] = np.arange(len(out), dtype=np.uint64)
-    return words, ids[start[out]]
+        if s == 0:
+            words[at] = np.arange(len(at), dtype=np.uint64)
+            continue
+        count, bits = SELECTORS[s - 1]
+        word, first = np.full(len(at), s << 60, np.uint64), start[at]
+        for k in range(count):
+            word |= padded[first + k] << np.uint64(bits * k)
+        words[at] = word
+    return words, padded[start[chosen == 0]]
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
@@ -129,7 +140,7 @@ class ByteEncoder:
     encoded apart; texts with other white space, or with special tokens, go to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -137,47 +148,99 @@ class ByteEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.hard = "|".join([_HARD, *[re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]])
-        self.most = most
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        vocab = self.library.get_vocab()
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that start with a space or a line feed
+        self.opens[[i for t, i in vocab.items() if t[0] in "\u0120\u010a"]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.flat, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def known(self, units: pa.Array) -> np.ndarray:
+        """Place of each distinct piece among those encoded so far; new ones are encoded first."""
+        if len(self.keys) > MAX_PIECES:
+            self.forget()
+        place = pc.index_in(units, value_set=self.keys)
+        missing = place.is_null().to_numpy(zero_copy_only=False)
+        out = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if missing.any():
+            new = units.filter(pa.array(missing))
+            flat, (starts, sizes) = self.pieces(new)
+            out[missing] = len(self.keys) + np.arange(len(new))
+            self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+            self.keys = pa.concat_arrays([self.keys, new])
+        return out
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, and where each one's start. White space opens a piece and stands nowhere else in it,
+        so many are encoded as one text and told apart by the tokens that open."""
+        plain = pc.match_substring_regex(units, "^[ \n]").to_numpy(zero_copy_only=False)
+        ids, starts = [np.empty(0, np.uint32)], np.zeros(len(units), np.int64)
+        order, at = [], 0
+        rows = np.flatnonzero(plain)
+        groups = [rows[i : i + 5000] for i in range(0, len(rows), 5000)]
+        joined = ["".join(units.take(pa.array(g)).to_pylist()) for g in groups]
+        for g, own in zip(groups, self.whole(joined), strict=True):
+            firsts = np.flatnonzero(self.opens[own])
+            if len(firsts) != len(g):
+                raise ValueError("pieces and their tokens do not agree")
+            starts[g] = firsts + at
+            at += len(own)
+            ids.append(own)
+            order.append(g)
+        rows = np.flatnonzero(~plain)
+        for r, own in zip(rows.tolist(), self.whole(units.take(pa.array(rows)).to_pylist()), strict=True):
+            starts[r] = at
+            at += len(own)
+            ids.append(own)
+        # lay the pieces out in their own order
+        flat = np.concatenate(ids)
+        order = np.concatenate([np.empty(0, np.int64), *order, rows]).astype(np.int64)
+        sizes = np.zeros(len(units), np.int64)
+        sizes[order] = np.diff(np.append(starts[order], at))
+        return flat, np.stack([starts, sizes])
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids end, with 0 before."""
-        column = pc.fill_null(column, "")
+        column = pa.concat_arrays([pc.fill_null(column, ""), pa.array([], column.type)])  # a copy of its own: if_else mistakes slices
         hard = pc.match_substring_regex(column, self.hard)
-        easy = pc.if_else(pc.or_(hard, pc.equal(column, "")), None, column)
+        easy = pc.if_else(hard, "", column)
         # a space before all but the first word, line feeds as part of the word after them
-        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(easy, ""), "\n", " \n"), " ")
+        lists = pc.split_pattern(pc.replace_substring(easy, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        flat = lists.flatten()
-        offsets = offsets - offsets[0]
-        first = np.zeros(len(flat), bool)
+        words = lists.flatten().dictionary_encode()
+        index = words.indices.to_numpy(zero_copy_only=False)
+        # two forms of each distinct word: after a space, and (first in a text, or after a line feed) as it stands
+        distinct = words.dictionary
+        lined = pc.starts_with(distinct, "\n").to_numpy(zero_copy_only=False)
+        first = np.zeros(len(index), bool)
         first[offsets[:-1]] = True
-        bare = pc.or_(pa.array(first), pc.starts_with(flat, "\n"))
-        units = pc.if_else(bare, flat, pc.binary_join_element_wise("", flat, " "))
-        coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = [u for u in distinct if u not in self.known]
-        self.known.update(zip(new, self.whole(new), strict=True))
-        packed = list(map(self.known.__getitem__, distinct))
-        table = np.frombuffer(b"".join(packed), np.uint32)
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        starts = np.cumsum(sizes) - sizes
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        n = sizes[index]
+        bare = first & ~lined[index]
+        opening = np.unique(index[bare])
+        spaced = pc.if_else(pa.array(lined), distinct, pc.binary_join_element_wise("", distinct, " "))
+        spaced_used = np.zeros(len(distinct), bool)
+        spaced_used[index[~bare]] = True
+        used = np.flatnonzero(spaced_used)
+        both = pa.concat_arrays([spaced.take(pa.array(used)), distinct.take(pa.array(opening))])
+        form = np.zeros(2 * len(distinct), np.int64)
+        form[np.concatenate([used, len(distinct) + opening])] = self.known(both)
+        piece = form[index + bare * len(distinct)]
+        n = self.sizes[piece]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.arange(ends[-1]) + np.repeat(starts[index] - ends[:-1], n)]
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[piece] - ends[:-1], n)]
         cuts = ends[offsets]
         places = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
         if not len(places):
             return ids, cuts
         each = np.split(ids, cuts[1:-1])
         for p, own in zip(places.tolist(), self.whole([column[p].as_py() for p in places.tolist()]), strict=True):
-            each[p] = np.frombuffer(own, np.uint32)
+            each[p] = own
         return np.concatenate(each), np.cumsum([0, *map(len, each)])
 
 
@@ -205,7 +268,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
         for block, batch in enumerate(small_batches(batches)):
             ids, ends = enc.encode_column(batch.column(1))
-            whole = np.insert(ids.astype(np.uint64), ends[1:], np.uint64(end_id))
+            whole = np.insert(ids, ends[1:], np.uint32(end_id))
             offsets, words, escapes = pack_block(whole)
             row = [[part], [block], [batch.column(0).to_pylist()], [(np.diff(ends) + 1).tolist()], [len(whole)], [offsets], [words], [escapes]]
             types = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
