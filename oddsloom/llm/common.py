@@ -47,7 +47,7 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def with_ordinals(df: DataFrame, keys: list[str], rows: int, out: str, order: list[Column], spread: Column, per_bucket: int = 20_000) -> DataFrame:
+def with_ordinals(df: DataFrame, keys: list[str], rows: int, out: str, order: list[Column], spread: Column, per_bucket: int = 1_000) -> DataFrame:
     """Number the rows of each key gaplessly from 0, no key being sorted in one task.
 
     Rows are dealt into hash buckets of about ``per_bucket`` rows by ``spread``; a key's bucket counts, summed
