@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quote_plans, stat_plans
+
+_ALL = [quote_plans.QUERIES, stat_plans.QUERIES]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: fn for part in _ALL for name, (fn, _) in part.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _ALL for name, (_, text) in part.items() if text}
