@@ -16,8 +16,6 @@ ids are told apart only by the order in which their copies fall, which yields th
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +25,7 @@ from .common import drop_table, materialize, with_ordinals, word_count
 MAX_SOURCES = 200_000
 WEIGHTS = (3, 1, 2)
 UNIT = 1_000_000_000
+EACH = 8
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -113,8 +112,8 @@ def _solve(cells: DataFrame, size: dict, target: dict, most: int, steps: int = 5
 def _polish(spark, rated: DataFrame, most: int, rounds: int) -> list[tuple]:
     """Single-copy changes (source, size, base rate, ordinal, +1 or -1) that bring each source's words to its target.
 
-    A round takes, for each source, the cell whose size comes nearest to what is missing. At most ``rounds`` changes a
-    source; the cells stay distributed, only the chosen one of each source comes to the driver.
+    A round takes, for each source, the cell whose size, up to ``EACH`` times, comes nearest to what is missing. At most
+    ``rounds * EACH`` changes a source; the cells stay distributed, only the chosen one of each source comes to the driver.
     """
     whole = _passed(F.col("_n"))
     got = rated.groupBy("_source").agg(F.first("target").alias("t"), F.sum((whole - _passed(F.lit(0))) * F.col("_size")).alias("g")).collect()
@@ -125,17 +124,17 @@ def _polish(spark, rated: DataFrame, most: int, rounds: int) -> list[tuple]:
         table = _sources(spark, [(s, float(x)) for s, x in missing.items()], "_s string, _missing double")
         cell = rated.where("_size > 0").join(F.broadcast(table), rated["_source"].eqNullSafe(table["_s"]))
         sign = F.when(F.col("_missing") > 0, 1).otherwise(-1)
-        # a cell can give up a copy if its rate is above zero, and take one if it is below the most; each is used once
+        # a cell can give up copies if its rate is above zero, and take them if it is below the most; each is used once
         able = F.when(sign > 0, F.col("_rate") < most * UNIT).otherwise(F.col("_rate") > 0)
         fresh = ~F.concat_ws("|", F.coalesce("_source", F.lit("\0")), "_size", "_q").isin([f"{'\0' if s is None else s}|{z}|{qq}" for s, z, qq in used] or ["\0none"])
-        left = F.abs(F.abs("_missing") - F.col("_size"))
-        best = cell.where(able & fresh & (left < F.abs("_missing"))).groupBy("_source").agg(F.min(F.struct(left.alias("left"), "_size", "_q", "_n", "_rate", "_start", sign.alias("sign"))).alias("b")).collect()
+        times = F.least(F.greatest(F.floor(F.abs("_missing") / F.col("_size")), F.lit(1)), F.col("_n"), F.lit(EACH)).cast("int")
+        left = F.abs(F.abs("_missing") - F.col("_size") * times)
+        best = cell.where(able & fresh & (left < F.abs("_missing"))).groupBy("_source").agg(F.min(F.struct(left.alias("left"), "_size", "_q", "_n", "_rate", "_start", sign.alias("sign"), times.alias("times"))).alias("b")).collect()
         for s, b in best:
             if (s, b["_size"], b["_q"]) in used:
                 continue
             used.add((s, b["_size"], b["_q"]))
-            ordinal = _who(b["_n"], b["_rate"], b["_start"], b["sign"], most)
-            if ordinal is not None:
+            for ordinal in _who(b["_n"], b["_rate"], b["_start"], b["sign"], most, b["times"]):
                 changes.append((s, b["_size"], b["_q"], ordinal, b["sign"]))
                 missing[s] -= b["sign"] * b["_size"]
         if not best:
@@ -143,17 +142,18 @@ def _polish(spark, rated: DataFrame, most: int, rounds: int) -> list[tuple]:
     return changes
 
 
-def _who(n: int, rate: int, start: int, sign: int, most: int) -> int | None:
-    """The first document of a cell that can take (or give up) a copy."""
-    low, high = rate // UNIT, math.ceil(rate / UNIT)
-    part = rate - low * UNIT
+def _who(n: int, rate: int, start: int, sign: int, most: int, times: int) -> list[int]:
+    """The first documents of a cell that can take (or give up) a copy."""
+    out: list[int] = []
     for i in range(min(n, 1_000_000)):
         copies = (start + (i + 1) * rate) // UNIT - (start + i * rate) // UNIT
         if (copies < most) if sign > 0 else (copies > 0):
-            return i
-        if not part and low == high:
-            return None
-    return None
+            out.append(i)
+            if len(out) == times:
+                break
+        elif rate % UNIT == 0:
+            break  # all have as many
+    return out
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
