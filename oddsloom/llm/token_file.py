@@ -122,6 +122,8 @@ def pack_block(ids: np.ndarray) -> tuple[list[int], bytes, bytes]:
 def unpack_block(offsets: list[int], words: bytes, escapes: bytes, n: int) -> np.ndarray:
     w, e = np.frombuffer(words, "<u8"), np.frombuffer(escapes, "<u8")
     out, at = [np.empty(0, np.uint64)], 0
+    if not offsets:
+        return out[0]
     for i, (a, b) in enumerate(zip(offsets, [*offsets[1:], len(w)], strict=True)):
         k = int(e[at])
         out.append(unpack(w[a:b], e[at + 1 : at + 1 + k], min(CHUNK, n - i * CHUNK)))
@@ -130,7 +132,24 @@ def unpack_block(offsets: list[int], words: bytes, escapes: bytes, n: int) -> np
 
 
 #: White space of which a text may hold more than single spaces between words and single line feeds before them.
-_HARD = r"  | \n|\n |\n\n\n|[\t\r\v\f\x00-\x08\x0e-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
+_HARD = r"  | \n|\n |\n\n\n|\n\n\z|[\t\r\v\f\x00-\x08\x0e-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A | \z"
+
+
+_MARKS = ".,!?;:|*#$%&"
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+def _bytes_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a string array that starts at its buffers' start."""
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, np.int32)[: len(strings) + 1].astype(np.int64) if len(strings) else np.zeros(1, np.int64)
+    return ends, np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+
+
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of runs laid one after the other: n[i] from starts[i] on."""
+    ends = np.cumsum(n, dtype=np.int32)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(starts.astype(np.int32) - ends + n.astype(np.int32), n)
 
 
 class ByteEncoder:
@@ -159,8 +178,6 @@ class ByteEncoder:
 
     def known(self, units: pa.Array) -> np.ndarray:
         """Place of each distinct piece among those encoded so far; new ones are encoded first."""
-        if len(self.keys) > MAX_PIECES:
-            self.forget()
         place = pc.index_in(units, value_set=self.keys)
         missing = place.is_null().to_numpy(zero_copy_only=False)
         out = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -206,8 +223,37 @@ class ByteEncoder:
         sizes[order] = np.diff(np.append(starts[order], at))
         return flat, np.stack([starts, sizes])
 
+    def table(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct units of a batch, with each unit's start and size. Marks after a letter or number are a
+        piece of their own in the file's split, so they are taken off and words kept without them."""
+        bare = pc.utf8_rtrim(units, characters=_MARKS)
+        (ends, data), (bare_ends, bare_data) = _bytes_of(units), _bytes_of(bare)
+        size, bare_size = np.diff(ends), np.diff(bare_ends)
+        last = bare_data[np.maximum(bare_ends[1:] - 1, 0)] if len(bare_data) else np.zeros(len(units), np.uint8)
+        lead = bare_data[np.maximum(bare_ends[1:] - 2, 0)] if len(bare_data) else last
+        letter = _ALNUM[last] | ((lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
+        two = (size > bare_size) & (bare_size > 1) & letter
+        stems = pc.if_else(pa.array(two), bare, units).dictionary_encode()
+        n = (size - bare_size)[two]
+        cut = np.concatenate([[0], np.cumsum(n)])
+        own = data[np.arange(cut[-1]) + np.repeat((ends[:-1] + bare_size)[two] - cut[:-1], n)]
+        marks = pa.StringArray.from_buffers(len(n), pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(own)).dictionary_encode()
+        first = np.arange(len(units)) + np.cumsum(two) - two
+        order = np.empty(len(units) + int(two.sum()), np.int64)
+        place = self.known(pa.concat_arrays([stems.dictionary, marks.dictionary]))
+        order[first] = place[stems.indices.to_numpy(zero_copy_only=False)]
+        order[first[two] + 1] = place[len(stems.dictionary) + marks.indices.to_numpy(zero_copy_only=False)]
+        n = self.sizes[order]
+        ends = np.cumsum(n)
+        flat = self.flat[_spread(self.starts[order], n)]
+        starts, sizes = (ends - n)[first], n[first]
+        sizes[two] += n[first[two] + 1]
+        return flat, starts, sizes
+
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids end, with 0 before."""
+        if len(self.keys) > MAX_PIECES:
+            self.forget()
         column = pa.concat_arrays([pc.fill_null(column, ""), pa.array([], column.type)])  # a copy of its own: if_else mistakes slices
         hard = pc.match_substring_regex(column, self.hard)
         easy = pc.if_else(hard, "", column)
@@ -228,12 +274,13 @@ class ByteEncoder:
         spaced_used[index[~bare]] = True
         used = np.flatnonzero(spaced_used)
         both = pa.concat_arrays([spaced.take(pa.array(used)), distinct.take(pa.array(opening))])
+        table, starts, sizes = self.table(both)
         form = np.zeros(2 * len(distinct), np.int64)
-        form[np.concatenate([used, len(distinct) + opening])] = self.known(both)
+        form[np.concatenate([used, len(distinct) + opening])] = np.arange(len(both))
         piece = form[index + bare * len(distinct)]
-        n = self.sizes[piece]
+        n = sizes[piece]
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[piece] - ends[:-1], n)]
+        ids = table[_spread(starts[piece], n)]
         cuts = ends[offsets]
         places = np.flatnonzero(hard.to_numpy(zero_copy_only=False))
         if not len(places):
@@ -266,7 +313,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        for block, batch in enumerate(small_batches(batches)):
+        for block, batch in enumerate(small_batches(batches, most_bytes=8_000_000)):
             ids, ends = enc.encode_column(batch.column(1))
             whole = np.insert(ids, ends[1:], np.uint32(end_id))
             offsets, words, escapes = pack_block(whole)
