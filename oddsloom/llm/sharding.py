@@ -3,7 +3,7 @@
 Documents with equal texts are linked. Every document starts in the shard its id hashes to; documents of a group that
 share a shard move alike, so the state is one row for each (group, chunk, first shard) with the shard it is in now. In
 each round a group's documents elsewhere want to move to the shard that holds most of their neighbours, or of those
-with room the one that holds most; a shard admits what fits its quota. Rounds are joins over stored tables; they end
+with room the one that holds most; a shard admits what fits its quota or is balanced by what leaves. Rounds are joins over stored tables; they end
 when nothing moves. Then documents without neighbours, and what exceeds a quota, fill the shards that have room.
 
 Law: ``rows``. Shards hold N // shards rows each, the first N % shards one more. A group larger than a quota spans
@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize, with_ordinals
 
 CLASSES = 64
+#: While labels move, a shard may hold this fraction (one in so many) over its quota; the end brings it to the quota.
+SLACK = 10
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -42,64 +44,114 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 8, id_col:
     linked = materialize(linked, "linked")
     drop_table(base)
 
-    cells = linked.where("_n > 1").groupBy("_group", "_chunk", "_first").agg(F.count(F.lit(1)).alias("m")).withColumn("_shard", F.col("_first"))
+    cells = linked.where("_n > 1").groupBy("_group", "_chunk", "_first").agg(F.count(F.lit(1)).alias("m"), (F.max("_n") > chunk_rows).alias("_large")).withColumn("_shard", F.col("_first"))
     cells = propagate(materialize(cells, "cells"), quota, rounds)
 
     found = cells.select(F.col("_group").alias("_cg"), F.col("_chunk").alias("_cc"), F.col("_first").alias("_cf"), F.col("_shard").alias("_cs"))
     placed = linked.join(found, (linked["_group"] == found["_cg"]) & (linked["_chunk"] == found["_cc"]) & (linked["_first"] == found["_cf"]), "left")
-    placed = materialize(placed.select("_id", "size", "text_crc32", F.coalesce("_cs", F.lit(shards)).alias("_shard")), "placed")
+    key = F.coalesce(F.col("_cs") * 2 + (F.col("_n") > chunk_rows).cast("int"), F.lit(2 * shards))
+    placed = materialize(placed.select("_id", "size", "text_crc32", key.alias("_key")), "placed")
     drop_table(linked)
     drop_table(cells)
 
-    # documents numbered within their shard, free ones by themselves (key ``shards``); the rest follows from counts
-    count = dict(placed.groupBy("_shard").count().collect())
-    kept = [min(count.get(b, 0), quota[b]) for b in range(shards)]
-    over = [count.get(b, 0) - kept[b] for b in range(shards)]
-    over_at = [count.get(shards, 0) + x for x in (0, *accumulate(over))]
-    room_ends = list(accumulate(q - k for q, k in zip(quota, kept, strict=True)))
-    room_at = [0, *room_ends[:-1]]
+    # documents are numbered within their shard: small groups, then groups that span shards anyway, which are the first
+    # to give way; those without neighbours by themselves (the last key). Slots follow from the counts alone.
+    count = dict(placed.groupBy("_key").count().collect())
+    count = [count.get(k, 0) for k in range(2 * shards + 1)]
+    kept, base, room = [], [], []
+    for b in range(shards):
+        small = min(count[2 * b], quota[b])
+        large = min(count[2 * b + 1], quota[b] - small)
+        kept, base, room = [*kept, small, large], [*base, 0, small], [*room, quota[b] - small - large]
+    kept, base = [*kept, 0], [*base, 0]
+    free_at = [count[-1] + x for x in (0, *accumulate(c - k for c, k in zip(count[:-1], kept, strict=False)))][:-1] + [0]
+    room_ends = list(accumulate(room))
+    taken, room_at = [q - r for q, r in zip(quota, room, strict=True)], [0, *room_ends[:-1]]
     pick = lambda key, values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), key + 1)
 
-    numbered = with_ordinals(placed, ["_shard"], rows, "_o", [F.xxhash64("_id"), F.col("_id"), F.col("text_crc32")], F.col("_id"))
-    label = F.col("_shard")
-    free = F.when(label == shards, F.col("_o")).when(F.col("_o") >= pick(label, [*kept, 0]), pick(label, over_at) + F.col("_o") - pick(label, [*kept, 0]))
-    numbered = numbered.withColumn("_free", free)
+    numbered = with_ordinals(placed, ["_key"], rows, "_o", [F.xxhash64("_id"), F.col("_id"), F.col("text_crc32")], F.col("_id"))
+    label = F.col("_key")
+    numbered = numbered.withColumn("_free", F.when(F.col("_o") >= pick(label, kept), pick(label, free_at) + F.col("_o") - pick(label, kept)))
     filled = F.aggregate(F.array(*[F.lit(int(e)) for e in room_ends]), F.lit(0), lambda n, e: n + F.when(F.col("_free") >= e, 1).otherwise(0))
-    numbered = numbered.withColumn("shard", F.when(F.col("_free").isNull(), label).otherwise(F.least(filled, F.lit(shards - 1))).cast("int"))
-    slot = F.when(F.col("_free").isNull(), F.col("_o")).otherwise(pick(F.col("shard"), kept) + F.col("_free") - pick(F.col("shard"), room_at))
+    own = F.floor(label / 2).cast("int")
+    numbered = numbered.withColumn("shard", F.when(F.col("_free").isNull(), own).otherwise(F.least(filled, F.lit(shards - 1))).cast("int"))
+    slot = F.when(F.col("_free").isNull(), pick(label, base) + F.col("_o")).otherwise(pick(F.col("shard"), taken) + F.col("_free") - pick(F.col("shard"), room_at))
     return numbered.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def propagate(cells: DataFrame, quota: list[int], rounds: int) -> DataFrame:
-    """Move cells (``_group``, ``_chunk``, ``_first``, ``m``, ``_shard``) towards their group's heaviest shards under the quotas."""
+    """Move cells (``_group``, ``_chunk``, ``_first``, ``m``, ``_large``, ``_shard``) towards their group's heaviest shards under the quotas."""
+    shards = len(quota)
     for turn in range(rounds):
         load = dict(cells.groupBy("_shard").agg(F.sum("m")).collect())
-        room = [max(0, q - load.get(b, 0)) for b, q in enumerate(quota)]
-        roomy = [b for b, r in enumerate(room) if r > 0]
-        if not roomy:
-            break
+        room = [q + q // SLACK - load.get(b, 0) for b, q in enumerate(quota)]
+        open_to = [b for b, r in enumerate(room) if r > 0] if turn % 2 else []
         weight = cells.groupBy("_group", "_shard").agg(F.sum("m").alias("w"))
         rank = F.struct("w", F.pmod(F.xxhash64("_group", "_shard"), F.lit(1 << 30)).alias("tie"), "_shard")
-        best = weight.groupBy("_group").agg(F.max(rank).alias("top"), F.max(F.when(F.col("_shard").isin(roomy), rank)).alias("open"))
-        best = best.select(F.col("_group").alias("_bg"), F.when(F.col("top._shard").isin(roomy), F.col("top")).otherwise(F.col("open")).alias("to"), "top")
+        best = weight.groupBy("_group").agg(F.max(rank).alias("top"), F.max(F.when(F.col("_shard").isin(open_to or [-1]), rank)).alias("open"))
+        # in every other round those that find the heaviest shard full look for the heaviest one with room
+        best = best.select(F.col("_group").alias("_bg"), F.coalesce("open", "top").alias("to"), "top")
         own = weight.select(F.col("_group").alias("_wg"), F.col("_shard").alias("_ws"), rank.alias("own"))
         wish = cells.join(own, (cells["_group"] == own["_wg"]) & (cells["_shard"] == own["_ws"])).join(best, F.col("_group") == F.col("_bg"))
-        goes = F.col("to").isNotNull() & (F.col("to._shard") != F.col("_shard")) & (F.col("to") > F.col("own")) & (F.col("top._shard") != F.col("_shard"))
-        kind = F.pmod(F.xxhash64(F.lit(turn), "_group", "_chunk"), F.lit(CLASSES)).cast("int")
-        wish = wish.select("_group", "_chunk", "_first", "m", "_shard", F.when(goes, F.col("to._shard") * CLASSES + kind).alias("wish"))
+        goes = (F.col("to._shard") != F.col("_shard")) & (F.col("to") > F.col("own")) & (F.col("top._shard") != F.col("_shard"))
+        target = F.when(goes, F.col("to._shard"))
+        full = [b for b, r in enumerate(room) if r <= 0]
+        if open_to and full:
+            # groups that span shards in any case make way: from full shards to the one with most room
+            target = F.when(F.col("_large") & F.col("_shard").isin(full), F.lit(max(open_to, key=lambda b: room[b]))).otherwise(target)
+        kind = F.pmod(F.xxhash64(F.lit(turn), "_group", "_chunk"), F.lit(CLASSES // 2)).cast("int") + F.when(F.col("_large"), CLASSES // 2).otherwise(0)
+        key = (F.col("_shard") * shards + F.col("_target")) * CLASSES + kind
+        wish = wish.withColumn("_target", target).select("_group", "_chunk", "_first", "m", "_large", "_shard", key.alias("wish"))
         wish = materialize(wish, "wish")
-        asked = dict(wish.where("wish is not null").groupBy("wish").agg(F.sum("m")).collect())  # shards * CLASSES rows at most
-        allowed = []
-        for key in sorted(asked, key=lambda k: (k // CLASSES, -asked[k], k)):
-            if asked[key] <= room[key // CLASSES]:
-                room[key // CLASSES] -= asked[key]
-                allowed.append(key)
+        asked = dict(wish.where("wish is not null").groupBy("wish").agg(F.sum("m")).collect())  # shards^2 * CLASSES rows at most
+        allowed = admitted(asked, room, shards)
         if not allowed:
             drop_table(wish)
-            break
-        moved = F.when(F.col("wish").isin(allowed), F.floor(F.col("wish") / CLASSES).cast("int")).otherwise(F.col("_shard"))
-        after = materialize(wish.select("_group", "_chunk", "_first", "m", moved.alias("_shard")), "cells")
+            if turn % 2:
+                break
+            continue
+        flags = wish.sparkSession.createDataFrame([(k,) for k in sorted(allowed)], "_key int")
+        to = F.floor(F.col("wish") / CLASSES).cast("int") % shards
+        moved = wish.join(F.broadcast(flags), F.col("wish") == F.col("_key"), "left")
+        after = materialize(moved.select("_group", "_chunk", "_first", "m", "_large", F.when(F.col("_key").isNotNull(), to).otherwise(F.col("_shard")).alias("_shard")), "cells")
         drop_table(cells)
         drop_table(wish)
         cells = after
     return cells
+
+
+def admitted(asked: dict[int, int], room: list[int], shards: int) -> set[int]:
+    """Which classes of moves fit: into room, and against moves the other way between the same two shards."""
+    ends = lambda k: divmod(k // CLASSES, shards)
+    waiting, out = sorted(asked, key=lambda k: (k % CLASSES >= CLASSES // 2, -asked[k], k)), set()  # large groups last
+
+    def admit(*keys: int) -> None:
+        for k in keys:
+            source, target = ends(k)
+            room[source] += asked[k]
+            room[target] -= asked[k]
+            out.add(k)
+
+    while True:
+        before = len(out)
+        for k in waiting:
+            if k not in out and asked[k] <= room[ends(k)[1]]:
+                admit(k)
+        lanes: dict[tuple[int, int], list[int]] = {}
+        for k in waiting:
+            if k not in out:
+                lanes.setdefault(ends(k), []).append(k)
+        for (i, j), there in lanes.items():
+            back = lanes.get((j, i), []) if i < j else []
+            a = b = 0
+            while a < len(there) and b < len(back):
+                net = asked[there[a]] - asked[back[b]]
+                if net <= room[j] and -net <= room[i]:
+                    admit(there[a], back[b])
+                    a, b = a + 1, b + 1
+                elif net > 0:
+                    a += 1
+                else:
+                    b += 1
+        if len(out) == before:
+            return out
