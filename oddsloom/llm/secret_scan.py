@@ -78,10 +78,10 @@ def _either(parts: list[Query]) -> Query:
 
 def _walk(items: list) -> tuple[set[str] | None, Query]:
     """(exact strings the items match or None, query) of a sequence. Strings that end are turned into demands."""
-    exact: set[str] | None = {""}
+    exact, whole = {""}, True  # whole: the strings are all that the items match
     query: Query = True
     for op, arg in items:
-        name, part, extra = str(op), None, True
+        name, part, extra, closes = str(op), None, True, False
         if name == "LITERAL":
             part = {chr(arg).lower()} if arg < 128 else None
         elif name == "SUBPATTERN":
@@ -97,21 +97,19 @@ def _walk(items: list) -> tuple[set[str] | None, Query]:
             inner, demand = _walk(list(body))
             if inner is not None and low == 0 and high == 1:
                 part = inner | {""}
-            elif low >= 1:
-                extra = _both(demand, _of_strings(inner))
-                if low == high == 1:
-                    part, extra = inner, demand
+            elif low >= 1:  # once for certain; what follows may be further on
+                part, extra, closes = inner, demand, not low == high == 1
         elif name == "AT":
             part = {""}
         query = _both(query, extra)
-        if part is not None and exact is not None and len(exact) * len(part) <= _MOST:
+        if part is not None and len(exact) * len(part) <= _MOST:
             exact = {a + b for a, b in product(exact, part)}
         else:
-            query = _both(query, _of_strings(exact))
-            exact = part if part is not None and len(part) <= _MOST else None
-            if exact is None:
-                exact = {""}
-    return exact, query
+            query, whole = _both(query, _of_strings(exact)), False
+            exact = part if part is not None and len(part) <= _MOST else {""}
+        if closes:
+            query, exact, whole = _both(query, _of_strings(exact)), {""}, False
+    return (exact, query) if whole else (None, _both(query, _of_strings(exact)))
 
 
 def _trigrams(query: Query) -> set[str]:
