@@ -1,0 +1,117 @@
+"""Synthetic quotes with known fair probabilities, as expressions over an events table; no random state.
+
+Noise comes from hashes of (seed, event, book, market, outcome, step), so any executor makes the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..domain import BOOKS
+from ..functions.scalars import half_up
+
+MOST_GOALS = 12
+
+
+def uniform(seed: int, *keys: Column) -> Column:
+    """In (0, 1), by hash."""
+    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def gauss(seed: int, *keys: Column) -> Column:
+    u, v = uniform(seed * 2 + 1, *keys), uniform(seed * 2 + 2, *keys)
+    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
+
+
+def poisson(rate: Column) -> Column:
+    """Probabilities of 0 to 12 goals, scaled to one."""
+    lam = F.greatest(rate, F.lit(1e-6))
+    raw = F.transform(F.sequence(F.lit(0), F.lit(MOST_GOALS)), lambda k: F.exp(-lam + k * F.ln(lam) - F.aggregate(F.sequence(F.lit(0), k), F.lit(0.0), lambda s, i: s + F.when(i > 0, F.ln(i.cast("double"))).otherwise(0.0))))
+    return F.transform(raw, lambda p: p / F.aggregate(raw, F.lit(0.0), lambda s, x: s + x))
+
+
+def goal_outcomes(df: DataFrame, home_rate: Column, away_rate: Column, home: Column | None = None, away: Column | None = None) -> DataFrame:
+    """Adds ``p_home, p_draw, p_away, p_btts`` from the goals still expected and the score so far."""
+    h0, a0 = home if home is not None else F.lit(0), away if away is not None else F.lit(0)
+    df = df.withColumn("_ph", poisson(home_rate)).withColumn("_pa", poisson(away_rate)).withColumn("_h0", h0).withColumn("_a0", a0)
+    cells = F.flatten(F.transform("_ph", lambda p, i: F.transform(F.col("_pa"), lambda q, j: F.struct((p * q).alias("p"), (F.col("_h0") + i).alias("h"), (F.col("_a0") + j).alias("a")))))
+    df = df.withColumn("_cells", cells)
+    total = lambda test: F.aggregate(F.filter("_cells", test), F.lit(0.0), lambda s, c: s + c["p"])
+    out = df.withColumn("p_home", total(lambda c: c["h"] > c["a"])).withColumn("p_draw", total(lambda c: c["h"] == c["a"])).withColumn("p_away", total(lambda c: c["h"] < c["a"])).withColumn("p_btts", total(lambda c: (c["h"] > 0) & (c["a"] > 0)))
+    return out.drop("_ph", "_pa", "_h0", "_a0", "_cells")
+
+
+def normal_cdf(x: Column) -> Column:
+    """Rational approximation of the normal distribution function (error below 1e-7)."""
+    z = F.abs(x)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    tail = F.exp(-z * z / 2) / F.sqrt(2 * F.pi()) * poly
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def points_over(line: Column, mean: Column, sd: Column) -> Column:
+    """Chance of more points than a line, for sums that are about normal."""
+    return 1 - normal_cdf((line - mean) / F.greatest(sd, F.lit(0.8)))
+
+
+def sets_match(p_now: Column, p_set: Column, home: Column, away: Column) -> Column:
+    """Chance of the match (two sets) given the chance of the set in play and of later ones."""
+    first_more = F.when(home >= 1, 1.0).when(away >= 1, p_set).otherwise(1 - (1 - p_set) * (1 - p_set))
+    first_less = F.when(away >= 1, 0.0).when(home >= 1, p_set).otherwise(p_set * p_set)
+    return p_now * first_more + (1 - p_now) * first_less
+
+
+def price_ladder(odds: Column) -> Column:
+    """Prices on the steps in which books move them."""
+    x = F.least(F.lit(1000.0), F.greatest(F.lit(1.01), odds))
+    step = lambda per: F.floor(x * per + 0.5) / per
+    return F.when(x < 3, half_up(x, 2)).when(x < 10, step(F.lit(20.0))).when(x < 30, step(F.lit(2.0))).otherwise(step(F.lit(1.0)))
+
+
+def quoted(fair: DataFrame, step: Column, seed: int = 42, overround: float = 0.05, noise: float = 0.02) -> DataFrame:
+    """Every book's price of every fair outcome (``event_id, market, sel, p``): margin, noise of its own, ladder."""
+    books = fair.sparkSession.createDataFrame([(i, n) for i, n in enumerate(BOOKS)], "bk int, book string")
+    rows = fair.withColumn("bk", F.explode(F.sequence(F.lit(0), F.lit(len(BOOKS) - 1)))).join(F.broadcast(books), "bk")
+    own = gauss(seed, F.col("event_id"), F.col("bk"), F.col("market"), F.col("sel"), step) * noise
+    implied = F.greatest(F.lit(0.001), F.col("p") * (1 + overround) * (1 + own))
+    return rows.withColumn("odds", price_ladder(F.lit(1.0) / implied))
+
+
+def smoothed(before: Column, fair: Column, jump: Column, alpha: float = 0.35) -> Column:
+    """A live price follows the fair one gradually, at once after a jump."""
+    return F.when(before.isNull() | jump, fair).otherwise(before + alpha * (fair - before))
+
+
+def with_boosts(quotes: DataFrame, share: float, target: float, seed: int = 7) -> DataFrame:
+    """Raises the price of one outcome of some markets at one book until the market's inverse sum allows ``target`` percent."""
+    market = quotes.groupBy("event_id", "market", "sel").agg(F.max("odds").alias("_best"))
+    sums = market.groupBy("event_id", "market").agg(F.sum(F.lit(1.0) / F.col("_best")).alias("_sum"), F.min("sel").alias("_boosted"))
+    chosen = sums.where(uniform(seed, F.col("event_id"), F.col("market")) < share).withColumn("_book", F.pmod(F.xxhash64(F.lit(seed), "event_id", "market"), F.lit(len(BOOKS))).cast("int"))
+    best = market.select("event_id", "market", F.col("sel").alias("_boosted"), F.col("_best").alias("_own"))
+    chosen = chosen.join(best, ["event_id", "market", "_boosted"]).withColumn("_need", F.lit(1 / (1 + target / 100)) - (F.col("_sum") - F.lit(1.0) / F.col("_own"))).where("_need > 0.02")
+    j = quotes.join(chosen.select("event_id", "market", "_boosted", "_book", "_need"), ["event_id", "market"], "left")
+    hit = (F.col("sel") == F.col("_boosted")) & (F.col("bk") == F.col("_book"))
+    return j.withColumn("boosted", F.coalesce(hit, F.lit(False))).withColumn("odds", F.when(hit, F.greatest("odds", F.lit(1.0) / F.col("_need"))).otherwise(F.col("odds"))).drop("_boosted", "_book", "_need")
+
+
+def lifetimes(boosts: DataFrame, median_ms: Column, seed: int = 9) -> DataFrame:
+    """Log-normal lifetimes of injected opportunities, twenty minutes at most."""
+    return boosts.withColumn("duration_ms", F.least(F.lit(1_200_000.0), median_ms * F.exp(gauss(seed, F.col("event_id"), F.col("market")) * 0.9)).cast("long"))
+
+
+def events(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """Events of four sports with the strengths of both sides."""
+    e = spark.range(n).withColumnRenamed("id", "event_id")
+    sport = F.element_at(F.array(*[F.lit(s) for s in ("football", "hockey", "basketball", "tennis")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.withColumn("sport", sport).withColumn("home_rate", 0.6 + 2.2 * uniform(seed, F.col("event_id"))).withColumn("away_rate", 0.4 + 1.9 * uniform(seed + 1, F.col("event_id"))).withColumn("p_set", 0.3 + 0.4 * uniform(seed + 2, F.col("event_id")))
+
+
+def fair_football(matches: DataFrame) -> DataFrame:
+    """Fair outcomes of goal matches, one row an outcome; chances outside 0.03 to 0.97 are not offered."""
+    p = goal_outcomes(matches, F.col("home_rate"), F.col("away_rate"))
+    decided = F.col("p_home") + F.col("p_away")
+    rows = [("1X2|REG", "HOME", F.col("p_home")), ("1X2|REG", "DRAW", F.col("p_draw")), ("1X2|REG", "AWAY", F.col("p_away")), ("DNB|REG", "HOME", F.col("p_home") / decided), ("DNB|REG", "AWAY", F.col("p_away") / decided), ("BTTS|REG", "YES", F.col("p_btts")), ("BTTS|REG", "NO", 1 - F.col("p_btts"))]
+    own = F.array(*[F.struct(F.lit(m).alias("market"), F.lit(s).alias("sel"), c.alias("p")) for m, s, c in rows])
+    return p.select("event_id", "sport", F.explode(own).alias("x")).select("event_id", "sport", "x.*").where("p > 0.03 AND p < 0.97")
