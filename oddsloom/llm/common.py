@@ -50,11 +50,12 @@ def drop_table(df: DataFrame) -> None:
 def with_ordinals(df: DataFrame, keys: list[str], rows: int, out: str, order: list[Column], spread: Column, per_bucket: int = 1_000) -> DataFrame:
     """Number the rows of each key gaplessly from 0, no key being sorted in one task.
 
-    Rows are dealt into hash buckets of about ``per_bucket`` rows by ``spread``; a key's bucket counts, summed
-    up, give each bucket its first number, and a window numbers the rows inside a bucket. ``df`` is read twice
-    and should be a stored table.
+    Rows are dealt into hash buckets of about ``per_bucket`` rows by ``spread`` (of the root of the rows, if that is
+    more, so that neither a bucket nor a key's bucket counts grow in proportion); a key's bucket counts, summed up,
+    give each bucket its first number, and a window numbers the rows inside a bucket. ``df`` is read twice and should
+    be a stored table.
     """
-    buckets = max(1, math.ceil(rows / per_bucket))
+    buckets = max(1, math.ceil(rows / max(per_bucket, math.isqrt(rows))))
     dealt = df.withColumn("_b", F.pmod(F.xxhash64(F.lit("bucket"), spread), F.lit(buckets)).cast("int"))
     counts = dealt.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))

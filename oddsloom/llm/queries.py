@@ -87,13 +87,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K}
+    return {"op4_top_k": TOP_K, "op5_secrets": SECRETS, "op8_chat": CHAT}
 
 
 #: Brute force over every query and candidate.
 TOP_K = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
@@ -102,3 +103,30 @@ WITH v AS (
 )
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 5
 """
+
+#: Each rule's matches with the text before each, whose lengths add up to the places.
+_ASSIGN = r"""(?s)(.*?)((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))"""
+SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT doc_id, 0 AS k, 'assign' AS kind, 8 AS least, regexp_extract_all(text, '{_ASSIGN}', 1) AS gaps, regexp_extract_all(text, '{_ASSIGN}', 2) AS found, regexp_extract_all(text, '{_ASSIGN}', 3) AS counted FROM d
+UNION ALL SELECT doc_id, 1, 'access', 16, regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 1), regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2), regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2) FROM d
+UNION ALL SELECT doc_id, 2, 'hex', 32, regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{{32,}})', 1), regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{{32,}})', 2), regexp_extract_all(text, '(?s)(.*?)([0-9a-f]{{32,}})', 2) FROM d),
+m AS (SELECT doc_id, k, kind, least, unnest(gaps) AS gap, unnest(found) AS hit, unnest(counted) AS counted, generate_subscripts(gaps, 1) AS i FROM e),
+p AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS stop FROM m),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || (stop - length(hit)) || ':' || stop, ',' ORDER BY stop - length(hit), k) AS spans FROM p WHERE length(counted) >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+_MARK = r"<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|<\|role: |\|>|<\|end\|>"
+#: A text stands as it is unless it holds a mark or two backslashes in a row; else each mark and backslash gets one before it.
+CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length(text) + 2 + CASE WHEN regexp_matches(text, '{_MARK}') OR contains(text, '\\\\') THEN len(regexp_extract_all(text, '\\\\|{_MARK}')) ELSE 0 END
+  + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 17 + length(role) + len(regexp_extract_all(role, '\\\\|{_MARK}')) END AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
