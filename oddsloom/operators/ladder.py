@@ -1,65 +1,34 @@
-"""Health of sources and the ladder of strategies, from a log of outcomes.
+"""Health of sources from a log of outcomes.
 
-``failure_runs`` is the part that windows express; ``replay_ladder`` is the full rule (step down after three failures, probe
-the better level every ten minutes, retry when blocked after a minute), which depends on its own past and runs by source.
+What steers live fetching (stepping down, probing, retrying) is scheduling and left out; the log's analysis is here.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FAILURES, PROBE_MS, RETRY_MS = 3, 600_000, 60_000
-LEVELS = "source long, at long, level int, state string"
+from .series import fold, running
 
+FAILURES = 3
+HOUR = 3_600_000
 
-def failure_runs(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Length of the run of failures up to each outcome, and whether it makes the source step down."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    since = F.sum(F.col("ok").cast("int")).over(upto)
-    out = log.withColumn("_k", since)
-    run = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy(*keys, "_k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("run", F.when(F.col("ok"), 0).otherwise(run).cast("long")).withColumn("trips", (F.col("run") > 0) & (F.col("run") % FAILURES == 0)).drop("_k")
 
+def failure_runs(log: DataFrame, keys: list[str], at: str, ties: list[str], width: int = HOUR) -> DataFrame:
+    """Length of the run of failures up to each outcome, and whether it makes the source step down.
 
-def step(state: dict, ok: bool, at: int, levels: int) -> dict:
-    """State after one outcome at the level in use."""
-    level, fails, since, blocked = state["level"], state["fails"], state["since"], state["blocked"]
-    if ok:
-        if level > 0 and at - since >= PROBE_MS:
-            return {"level": level - 1, "fails": 0, "since": at, "blocked": False}
-        return {"level": level, "fails": 0, "since": since, "blocked": False}
-    if blocked and at - since < RETRY_MS:
-        return state
-    if fails + 1 < FAILURES:
-        return {"level": level, "fails": fails + 1, "since": since, "blocked": blocked}
-    if level + 1 < levels:
-        return {"level": level + 1, "fails": 0, "since": at, "blocked": False}
-    return {"level": 0, "fails": 0, "since": at, "blocked": True}
-
-
-def replay_ladder(log: DataFrame, levels: int) -> DataFrame:
-    """Level and state of each source after every outcome of its log (``source, at, ok``)."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = {"level": 0, "fails": 0, "since": 0, "blocked": False}, []
-        for at, ok in pdf.sort_values("at")[["at", "ok"]].itertuples(index=False):
-            state = step(state, bool(ok), int(at), levels)
-            out.append((key[0], at, state["level"], "BLOCKED" if state["blocked"] else "OK" if state["level"] == 0 else "DEGRADED"))
-        return pd.DataFrame(out, columns=["source", "at", "level", "state"])
-
-    return log.groupBy("source").applyInPandas(run, LEVELS)
+    The run is the count of failures so far less what it was at the last success.
+    """
+    counted = running(log, keys, at, ties, width, total={"_failed": F.col("ok").isin(False).cast("long")})
+    out = running(counted, keys, at, ties, width, latest={"_then": F.when(F.col("ok"), F.col("_failed"))})
+    run = F.when(F.col("ok"), 0).otherwise(F.col("_failed") - F.coalesce("_then", F.lit(0))).cast("long")
+    return out.withColumn("run", run).withColumn("trips", (F.col("run") > 0) & (F.col("run") % FAILURES == 0)).drop("_failed", "_then")
 
 
 def throttled(ticks: DataFrame, keys: list[str], at: str, least_ms: int = 200) -> DataFrame:
-    """Ticks at least so long after the last one kept: sequential by nature, so by series."""
+    """Ticks at least so long after the last one kept: a rule on its own past."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, last = pdf.sort_values(at), [], None
-        for t in pdf[at]:
-            kept.append(last is None or t - last >= least_ms)
-            last = t if kept[-1] else last
-        return pdf[kept]
+    def step(last: int | None, row: dict) -> tuple[int, list[dict]]:
+        return (row[at], [row]) if last is None or row[at] - last >= least_ms else (last, [])
 
-    return ticks.groupBy(*keys).applyInPandas(run, ticks.schema)
+    return fold(ticks, keys, [at], lambda: None, step, ticks.schema)

@@ -43,21 +43,17 @@ def combined(home: Column, away: Column) -> Column:
     return F.when((home > 0) & (away > 0), 0.7 * F.least(home, away) + 0.15 * (home + away)).otherwise(0.0)
 
 
-def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, tolerance_ms: int | None = None, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Candidates of each entry with their similarity in the better orientation.
+def scored(pairs: DataFrame, settings: Settings, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Pairs (``sport, home, away, start`` and ``ev_home, ev_away, ev_start``) with their similarity in the better orientation.
 
-    Events the book is linked to already, and pairs a reviewer has rejected, are left out.
+    Names are compared once for each distinct pair of them.
     """
-    tolerance = tolerance_ms or settings.match_minutes * MINUTE
-    ev = events.select("event_id", "sport", F.col("home").alias("ev_home"), F.col("away").alias("ev_away"), F.col("start").alias("ev_start"))
-    pool = near_in_time(entries, ev, ["sport"], "start", "ev_start", tolerance)
-    pool = pool.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
     sides = [("home", "ev_home"), ("away", "ev_away"), ("home", "ev_away"), ("away", "ev_home")]
-    names = pool.select("sport", F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides])).alias("p")).select("sport", "p.a", "p.b").distinct()
+    names = pairs.select("sport", F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides])).alias("p")).select("sport", "p.a", "p.b").distinct()
     known = names.withColumn("score", similarity_column(F.col("a"), F.col("b"), F.col("sport"), vocabulary))
     for i, (a, b) in enumerate(sides):
         own = known.select("sport", F.col("a").alias(a), F.col("b").alias(b), F.col("score").alias(f"_s{i}"))
-        pool = pool.join(own, ["sport", a, b])
+        pairs = pairs.join(own, ["sport", a, b])
     straight, crossed = combined(F.col("_s0"), F.col("_s1")), combined(F.col("_s2"), F.col("_s3"))
     swapped = crossed > straight + 0.05
     home, away = F.when(swapped, F.col("_s2")).otherwise(F.col("_s0")), F.when(swapped, F.col("_s3")).otherwise(F.col("_s1"))
@@ -65,10 +61,26 @@ def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejecte
     close = (F.abs(F.col("start") - F.col("ev_start")) <= 5 * MINUTE) & (F.greatest(home, away) >= 0.9)
     individual = F.col("sport").isin(*INDIVIDUAL_SPORTS)
     lifted = F.when(close & ~swapped, F.greatest(score, F.lit(settings.review + 0.02))).when(close & swapped & individual, F.greatest(score, F.lit(settings.review + 0.01))).otherwise(score)
-    out = pool.withColumn("swapped", swapped).withColumn("home_score", home).withColumn("away_score", away).withColumn("score", lifted)
+    out = pairs.withColumn("swapped", swapped).withColumn("home_score", home).withColumn("away_score", away).withColumn("score", lifted)
     return out.drop("_s0", "_s1", "_s2", "_s3").where("score > 0.3")
 
 
+def as_candidates(events: DataFrame) -> DataFrame:
+    return events.select("event_id", "sport", F.col("home").alias("ev_home"), F.col("away").alias("ev_away"), F.col("start").alias("ev_start"))
+
+
+def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, tolerance_ms: int | None = None, vocabulary: Vocabulary | None = None, reach: Column | None = None) -> DataFrame:
+    """Candidates of each entry with their similarity; ``reach`` may narrow the tolerance by row.
+
+    Events the book is linked to already, and pairs a reviewer has rejected, are left out.
+    """
+    pool = near_in_time(entries, as_candidates(events), ["sport"], "start", "ev_start", tolerance_ms or settings.match_minutes * MINUTE)
+    if reach is not None:
+        pool = pool.where(F.abs(F.col("start") - F.col("ev_start")) <= reach)
+    pool = pool.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
+    return scored(pool, settings, vocabulary)
+
+
 def decide(pool: DataFrame, wide: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
     """``auto`` link, ``review``, or ``create`` for each entry.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..domain import HISTOGRAM_EDGES_SEC
 from ..functions.scalars import epoch, half_up, is_censored, nearest_rank, prague, prague_hour
+from .series import running
 
 
 def by_group(arbs: DataFrame, key: Column, limit: int = 40) -> DataFrame:
@@ -98,10 +99,9 @@ def bet_totals(settled: DataFrame) -> DataFrame:
         F.count(F.when(F.col("settled").isNotNull(), 1)).alias("settled"), F.count(F.when(F.col("settled").isNull(), 1)).alias("open"))
 
 
-def profit_curve(settled: DataFrame, by: list[str]) -> DataFrame:
-    """Running effective profit (real, else expected, else 0) along each series."""
-    w = Window.partitionBy(*by).orderBy("ts", "uid").rowsBetween(Window.unboundedPreceding, 0)
-    return settled.withColumn("curve", F.sum(F.coalesce("profit", "expected", F.lit(0.0))).over(w))
+def profit_curve(settled: DataFrame, by: list[str], width: int = 86_400_000) -> DataFrame:
+    """Running effective profit (real, else expected, else 0) along each series, cut into days."""
+    return running(settled, by, "ts", ["uid"], width, total={"curve": F.coalesce("profit", "expected", F.lit(0.0))})
 
 
 def latency(samples: DataFrame, key: str, value: str, at: list[Column], last: int = 200) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import segment_key
+from .series import running
 
 #: From the finest segment to all observations, as prefixes of these columns.
 HIERARCHY = ("mode", "sport", "mtype", "pair", "band")
@@ -74,12 +75,12 @@ def predict(rows: DataFrame, model: DataFrame, key: str, least: int = LEAST_SAMP
     return best.select(key, "b.*")
 
 
-def survival_at(points: DataFrame, asked: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """As-of lookup: S at the last event time not after ``t`` (1 before the first), by one union and window."""
-    both = points.select(*keys, F.col("t").alias("_at"), F.lit(0).alias("_side"), "s", F.lit(None).cast(asked.schema["id"].dataType).alias("id")).unionByName(
-        asked.select(*keys, F.col(t).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("s"), "id"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("s", F.coalesce(F.last("s", ignorenulls=True).over(w), F.lit(1.0))).where("_side = 1").select("id", *keys, F.col("_at").alias(t), "s")
+def survival_at(points: DataFrame, asked: DataFrame, keys: list[str], t: str, width: int = 1_000) -> DataFrame:
+    """As-of lookup: S at the last event time not after ``t`` (1 before the first), by a union along time cut into seconds."""
+    both = points.select(*keys, F.col("t").alias("_at"), F.lit(0).alias("_side"), F.col("s").alias("_s"), F.lit(None).cast(asked.schema["id"].dataType).alias("id")).unionByName(
+        asked.select(*keys, F.col(t).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("double").alias("_s"), "id"))
+    found = running(both, keys, "_at", ["_side"], width, latest={"s": F.col("_s")})
+    return found.where("_side = 1").select("id", *keys, F.col("_at").alias(t), F.coalesce("s", F.lit(1.0)).alias("s"))
 
 
 def flags(predicted: DataFrame, needed_ms: Column, p_needed: Column) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.scalars import millis
-from pyspark.sql import functions as F
 
 EVENTS = 4000
 MARKETS = ("1X2|REG", "DC|REG", "AH|REG|-0.5", "AH|REG|0.5", "DNB|REG", "OU|REG|2.5", "ML|MATCH", "AH|MATCH|-0.5")
@@ -50,6 +50,7 @@ ARBS = ("orders", {
     "pair": "CASE o_custkey % 5 WHEN 0 THEN 'betx|chance' WHEN 1 THEN 'fortuna|sazka' WHEN 2 THEN 'sazka|synot' WHEN 3 THEN 'betx|fortuna' ELSE 'chance|kingsbet' END",
     "margin": "CAST(50 + CAST(floor(o_totalprice) AS BIGINT) % 700 AS DOUBLE) / 100",
     "reaction_ms": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) % 20000 END",
+    "muted": "o_orderpriority = '5-LOW'",
 })
 
 LEGS = ("lineitem", {

@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import scalars as S
 from ..operators import detect, lifecycle, matching, tracker
+from ..operators.groups import group_rows
 from . import bindings as B
 from .quote_plans import LIMIT, SETTINGS, SPORTS, _groups
 from .stat_plans import A
-from ..operators.groups import group_rows
 
 HOUR = 3_600_000
 
 
 def _sides(spark, d):
     a = B.relation(spark, d, B.ARBS).select("arb_id", "sport", F.col("first_seen").alias("start"))
-    entries = a.where("arb_id % 3 = 0").select(F.col("arb_id").alias("entry_id"), "sport", "start")
-    events = a.where("arb_id % 3 = 1").select(F.col("arb_id").alias("event_id"), "sport", F.col("start").alias("ev_start"))
+    entries = a.where("arb_id % 2 = 0").select(F.col("arb_id").alias("entry_id"), "sport", "start")
+    events = a.where("arb_id % 2 = 1").select(F.col("arb_id").alias("event_id"), "sport", F.col("start").alias("ev_start"))
     return entries, events
 
 
-SIDES = f"{A}, e AS (SELECT arb_id AS entry_id, sport, first_seen AS start FROM a WHERE arb_id % 3 = 0), v AS (SELECT arb_id AS event_id, sport, first_seen AS ev_start FROM a WHERE arb_id % 3 = 1)"
+SIDES = f"{A}, e AS (SELECT arb_id AS entry_id, sport, first_seen AS start FROM a WHERE arb_id % 2 = 0), v AS (SELECT arb_id AS event_id, sport, first_seen AS ev_start FROM a WHERE arb_id % 2 = 1)"
 
 
 def time_candidates(spark, d):
@@ -55,10 +56,10 @@ def folded_names(spark, d):
 
 
 def similar_parts(spark, d):
-    """Similarity of all distinct part names that share a word, by the team rules."""
-    p = B.read(spark, d, "part").select("p_name").distinct()
-    words = p.withColumn("w", F.explode(F.split("p_name", " ")))
-    pairs = words.join(words.withColumnRenamed("p_name", "other"), "w").where("p_name < other").select("p_name", "other").distinct()
+    """Similarity, by the team rules, of the distinct pairs of part names that follow each other in an order."""
+    li = B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(B.read(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    before = F.lag("p_name").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = li.select("p_name", before.alias("other")).where("other IS NOT NULL").select(F.least("p_name", "other").alias("p_name"), F.greatest("p_name", "other").alias("other")).distinct()
     return pairs.withColumn("score", F.round(names.similarity_column(F.col("p_name"), F.col("other"), F.lit("football")), 6))
 
 

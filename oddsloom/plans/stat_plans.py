@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import stats
+from ..operators.series import running
 from . import bindings as B
 
 CENSORED = "split_part(end_reason, ':', 1) IN ('system_restart', 'stale', 'threshold_changed', 'unlinked', 'event_started', 'pause_started', 'pause_ended', 'event_finished')"
@@ -128,13 +129,15 @@ def dashboard(spark, d):
 
 
 def alerts(spark, d):
-    return _arbs(spark, d).where("end_reason IS NULL AND margin >= 5 AND arb_id % 3 <> 0").groupBy("sport").agg(F.count(F.lit(1)).alias("n"))
+    return _arbs(spark, d).where("end_reason IS NULL AND margin >= 5 AND NOT muted").groupBy("sport").agg(F.count(F.lit(1)).alias("n"))
+
+
+DAY = 86_400_000
 
 
 def margin_history(spark, d):
     """Margins of a pair over time: before, direction, and the greatest so far."""
-    w = Window.partitionBy("pair").orderBy("first_seen", "arb_id")
-    a = _arbs(spark, d).withColumn("before", F.lag("margin").over(w)).withColumn("top", F.max("margin").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    a = running(_arbs(spark, d).select("arb_id", "pair", "first_seen", "margin"), ["pair"], "first_seen", ["arb_id"], DAY, before={"before": F.col("margin")}, most={"top": F.col("margin")})
     return a.select("arb_id", "margin", "before", "top", F.when(F.col("margin") > F.col("before"), "up").when(F.col("margin") < F.col("before"), "down").otherwise("same").alias("direction"))
 
 
@@ -162,10 +165,8 @@ def detail_quota(spark, d):
 
 def downsampled(spark, d):
     """Every 50th point of each series, and its last."""
-    w = Window.partitionBy("pair").orderBy("first_seen", "arb_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy("pair"))
-    a = _arbs(spark, d).withColumn("rn", F.row_number().over(w)).withColumn("n", n)
-    return a.where("(rn - 1) % 50 = 0 OR rn = n").select("pair", "arb_id", F.col("rn").cast("long").alias("rn"))
+    a = running(_arbs(spark, d).select("pair", "arb_id", "first_seen"), ["pair"], "first_seen", ["arb_id"], DAY, number="rn", size="n")
+    return a.where("(rn - 1) % 50 = 0 OR rn = n").select("pair", "arb_id", "rn")
 
 
 def lifetime_histogram(spark, d):
@@ -203,7 +204,7 @@ QUERIES = {
     "action_capture": (action_capture, f"WITH {A}, {C}, j AS (SELECT a.mode <> 'PREMATCH' AS live, c.action, greatest(0, CASE WHEN c.arb_id % 2 = 0 THEN c.reaction_ms ELSE c.ts - a.first_seen END) AS reaction, c.ts - a.first_seen AS age, coalesce(c.click_margin, a.margin) AS m FROM c JOIN a USING (arb_id)) SELECT live, action, count(*) AS n, CAST(sum(reaction) AS BIGINT) AS reaction, CAST(sum(age) AS BIGINT) AS age, round(avg(m), 6) AS margin FROM j GROUP BY live, action"),
     "arb_timeline": (arb_timeline, f"WITH {A}, {L}, {C}, t AS (SELECT arb_id, first_seen AS moment, 'start' AS kind FROM a UNION ALL SELECT arb_id, last_seen, 'end' FROM a WHERE end_reason IS NOT NULL UNION ALL SELECT arb_id, first_seen + leg * 200, 'tick' FROM l JOIN a USING (arb_id) UNION ALL SELECT arb_id, ts, action FROM c) SELECT arb_id, count(*) AS n, max(moment) AS last, count(*) FILTER (kind = 'tick') AS ticks FROM t GROUP BY arb_id"),
     "dashboard": (dashboard, f"WITH {A}, {L}, g AS (SELECT arb_id, list_sort(list(DISTINCT bk)) AS b FROM l GROUP BY arb_id) SELECT arb_id, sport, margin, array_to_string(b, '|') AS books FROM a JOIN g USING (arb_id) WHERE sport <> 'tennis' AND margin >= 2 AND NOT list_has_any(b, [7, 8]) ORDER BY margin DESC, arb_id LIMIT 300"),
-    "alerts": (alerts, f"WITH {A} SELECT sport, count(*) AS n FROM a WHERE end_reason IS NULL AND margin >= 5 AND arb_id % 3 <> 0 GROUP BY sport"),
+    "alerts": (alerts, f"WITH {A} SELECT sport, count(*) AS n FROM a WHERE end_reason IS NULL AND margin >= 5 AND NOT muted GROUP BY sport"),
     "margin_history": (margin_history, f"WITH {A}, h AS (SELECT arb_id, margin, lag(margin) OVER w AS before, max(margin) OVER (PARTITION BY pair ORDER BY first_seen, arb_id ROWS UNBOUNDED PRECEDING) AS top FROM a WINDOW w AS (PARTITION BY pair ORDER BY first_seen, arb_id)) SELECT *, CASE WHEN margin > before THEN 'up' WHEN margin < before THEN 'down' ELSE 'same' END AS direction FROM h"),
     "pairs_of_books": (pairs_of_books, f"WITH {L}, g AS (SELECT array_to_string(list_sort(list(DISTINCT bk)), '|') AS pair, count(DISTINCT bk) AS books FROM l GROUP BY arb_id) SELECT pair, count(*) AS n, max(books) AS books FROM g GROUP BY pair"),
     "event_links": (event_links, "WITH o AS (SELECT o_orderkey AS id, o_custkey AS home, (o_custkey * 7) % 1500 + 1 AS away, o_custkey % 30 AS comp FROM orders), l AS (SELECT l_orderkey AS id, array_to_string(list_sort(list(DISTINCT CAST(l_suppkey % 9 AS VARCHAR))), ',') AS books FROM lineitem GROUP BY l_orderkey) SELECT o.id, h.c_name AS home_name, a.c_name AS away_name, n_name AS competition, books FROM o JOIN customer h ON o.home = h.c_custkey JOIN customer a ON o.away = a.c_custkey LEFT JOIN nation ON comp = n_nationkey LEFT JOIN l ON l.id = o.id"),

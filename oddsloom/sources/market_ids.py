@@ -13,27 +13,239 @@ from ..functions.scalars import lookup, market_key
 
 SCHEMA = "sport string, number int, mtype string, scope string, line_spec string, name_pattern string"
 
-# Numbers, type and scope by family; a star marks a type whose line is stated.
-REGULAR = "1 1X2, 10 DC, 11 DNB, 16 AH*, 18 OU*, 19 OU_HOME*, 20 OU_AWAY*, 26 OE, 29 BTTS"
-FIRST_HALF = "60 1X2, 63 DC, 64 DNB, 66 AH*, 68 OU*, 69 OU_HOME*, 70 OU_AWAY*"
-SECOND_HALF = "83 1X2, 85 DC, 86 DNB, 88 AH*, 90 OU*, 91 OU_HOME*, 92 OU_AWAY*"
-HOCKEY_PERIODS = "443 1X2, 446 OU*, 452 BTTS, 459 DNB, 460 AH*, 462 OE, 529 DC"
-QUARTERS = "235 1X2, 236 OU*, 302 DNB, 303 AH*"
-WITH_OVERTIME = "223 AH*, 225 OU*, 227 OU_HOME*, 228 OU_AWAY*, 229 OE"
-FAMILIES = {
-    "football": [("REG", REGULAR), ("H1", FIRST_HALF + ", 74 OE, 75 BTTS"), ("H2", SECOND_HALF + ", 94 OE, 95 BTTS")],
-    "hockey": [("REG", REGULAR), ("MATCH", "406 ML, 410 AH*, 412 OU*"), ("P", HOCKEY_PERIODS)],
-    "basketball": [("REG", REGULAR), ("MATCH", "219 ML, " + WITH_OVERTIME), ("H1", FIRST_HALF), ("Q", QUARTERS + ", 304 OE")],
-    "handball": [("REG", "1 1X2, 10 DC, 11 DNB, 16 AH*, 18 OU*, 19 OU_HOME*, 20 OU_AWAY*, 26 OE"), ("H1", FIRST_HALF), ("H2", SECOND_HALF)],
-    "american_football": [("REG", "1 1X2"), ("MATCH", WITH_OVERTIME), ("H1", "60 1X2, 63 DC, 64 DNB, 66 AH*, 68 OU*, 69 OU_HOME*, 70 OU_AWAY*"), ("H2", "83 1X2, 85 DC"), ("Q", QUARTERS)],
-    "tennis": [("MATCH", "186 ML, 187 AH*, 188 AH_SETS*, 189 OU*, 190 OU_HOME*, 191 OU_AWAY*, 198 OE"), ("S", "202 ML, 203 AH*, 204 OU*")],
-    "volleyball": [("MATCH", "186 ML, 188 AH_SETS* set, 237 AH* bod, 238 OU* bod"), ("S", "202 ML, 310 OU* bod")],
-    "baseball": [("MATCH", "251 ML, 256 AH*, 258 OU*, 260 OU_HOME*, 261 OU_AWAY*")],
-    "mma": [("REG", "1 1X2")],
-    "boxing": [("REG", "1 1X2")],
-    "darts": [("MATCH", "186 ML, 188 AH_SETS* set, 314 OU_SETS* set, 366 AH* leg, 367 OU* leg")],
-    "snooker": [("MATCH", "186 ML, 493 AH* fram, 494 OU* fram")],
-    "table_tennis": [("MATCH", "186 ML, 187 AH_SETS* set, 237 AH* bod, 238 OU* bod")],
+# Market numbers by sport and scope, each with its type, the specifier of its line, and a word its name must hold.
+MARKETS = {
+    "football": {
+        "REG": [
+            (1, "1X2", None, None),
+            (10, "DC", None, None),
+            (11, "DNB", None, None),
+            (16, "AH", "hcp", None),
+            (18, "OU", "total", None),
+            (19, "OU_HOME", "total", None),
+            (20, "OU_AWAY", "total", None),
+            (26, "OE", None, None),
+            (29, "BTTS", None, None),
+        ],
+        "H1": [
+            (60, "1X2", None, None),
+            (63, "DC", None, None),
+            (64, "DNB", None, None),
+            (66, "AH", "hcp", None),
+            (68, "OU", "total", None),
+            (69, "OU_HOME", "total", None),
+            (70, "OU_AWAY", "total", None),
+            (74, "OE", None, None),
+            (75, "BTTS", None, None),
+        ],
+        "H2": [
+            (83, "1X2", None, None),
+            (85, "DC", None, None),
+            (86, "DNB", None, None),
+            (88, "AH", "hcp", None),
+            (90, "OU", "total", None),
+            (91, "OU_HOME", "total", None),
+            (92, "OU_AWAY", "total", None),
+            (94, "OE", None, None),
+            (95, "BTTS", None, None),
+        ],
+    },
+    "hockey": {
+        "REG": [
+            (1, "1X2", None, None),
+            (10, "DC", None, None),
+            (11, "DNB", None, None),
+            (16, "AH", "hcp", None),
+            (18, "OU", "total", None),
+            (19, "OU_HOME", "total", None),
+            (20, "OU_AWAY", "total", None),
+            (26, "OE", None, None),
+            (29, "BTTS", None, None),
+        ],
+        "MATCH": [
+            (406, "ML", None, None),
+            (410, "AH", "hcp", None),
+            (412, "OU", "total", None),
+        ],
+        "P": [
+            (443, "1X2", None, None),
+            (446, "OU", "total", None),
+            (452, "BTTS", None, None),
+            (459, "DNB", None, None),
+            (460, "AH", "hcp", None),
+            (462, "OE", None, None),
+            (529, "DC", None, None),
+        ],
+    },
+    "basketball": {
+        "REG": [
+            (1, "1X2", None, None),
+            (10, "DC", None, None),
+            (11, "DNB", None, None),
+            (16, "AH", "hcp", None),
+            (18, "OU", "total", None),
+            (19, "OU_HOME", "total", None),
+            (20, "OU_AWAY", "total", None),
+            (26, "OE", None, None),
+            (29, "BTTS", None, None),
+        ],
+        "MATCH": [
+            (219, "ML", None, None),
+            (223, "AH", "hcp", None),
+            (225, "OU", "total", None),
+            (227, "OU_HOME", "total", None),
+            (228, "OU_AWAY", "total", None),
+            (229, "OE", None, None),
+        ],
+        "H1": [
+            (60, "1X2", None, None),
+            (63, "DC", None, None),
+            (64, "DNB", None, None),
+            (66, "AH", "hcp", None),
+            (68, "OU", "total", None),
+            (69, "OU_HOME", "total", None),
+            (70, "OU_AWAY", "total", None),
+        ],
+        "Q": [
+            (235, "1X2", None, None),
+            (236, "OU", "total", None),
+            (302, "DNB", None, None),
+            (303, "AH", "hcp", None),
+            (304, "OE", None, None),
+        ],
+    },
+    "handball": {
+        "REG": [
+            (1, "1X2", None, None),
+            (10, "DC", None, None),
+            (11, "DNB", None, None),
+            (16, "AH", "hcp", None),
+            (18, "OU", "total", None),
+            (19, "OU_HOME", "total", None),
+            (20, "OU_AWAY", "total", None),
+            (26, "OE", None, None),
+        ],
+        "H1": [
+            (60, "1X2", None, None),
+            (63, "DC", None, None),
+            (64, "DNB", None, None),
+            (66, "AH", "hcp", None),
+            (68, "OU", "total", None),
+            (69, "OU_HOME", "total", None),
+            (70, "OU_AWAY", "total", None),
+        ],
+        "H2": [
+            (83, "1X2", None, None),
+            (85, "DC", None, None),
+            (86, "DNB", None, None),
+            (88, "AH", "hcp", None),
+            (90, "OU", "total", None),
+            (91, "OU_HOME", "total", None),
+            (92, "OU_AWAY", "total", None),
+        ],
+    },
+    "american_football": {
+        "REG": [
+            (1, "1X2", None, None),
+        ],
+        "MATCH": [
+            (223, "AH", "hcp", None),
+            (225, "OU", "total", None),
+            (227, "OU_HOME", "total", None),
+            (228, "OU_AWAY", "total", None),
+            (229, "OE", None, None),
+        ],
+        "H1": [
+            (60, "1X2", None, None),
+            (63, "DC", None, None),
+            (64, "DNB", None, None),
+            (66, "AH", "hcp", None),
+            (68, "OU", "total", None),
+            (69, "OU_HOME", "total", None),
+            (70, "OU_AWAY", "total", None),
+        ],
+        "H2": [
+            (83, "1X2", None, None),
+            (85, "DC", None, None),
+        ],
+        "Q": [
+            (235, "1X2", None, None),
+            (236, "OU", "total", None),
+            (302, "DNB", None, None),
+            (303, "AH", "hcp", None),
+        ],
+    },
+    "tennis": {
+        "MATCH": [
+            (186, "ML", None, None),
+            (187, "AH", "hcp", None),
+            (188, "AH_SETS", "hcp", None),
+            (189, "OU", "total", None),
+            (190, "OU_HOME", "total", None),
+            (191, "OU_AWAY", "total", None),
+            (198, "OE", None, None),
+        ],
+        "S": [
+            (202, "ML", None, None),
+            (203, "AH", "hcp", None),
+            (204, "OU", "total", None),
+        ],
+    },
+    "volleyball": {
+        "MATCH": [
+            (186, "ML", None, None),
+            (188, "AH_SETS", "hcp", "set"),
+            (237, "AH", "hcp", "bod"),
+            (238, "OU", "total", "bod"),
+        ],
+        "S": [
+            (202, "ML", None, None),
+            (310, "OU", "total", "bod"),
+        ],
+    },
+    "baseball": {
+        "MATCH": [
+            (251, "ML", None, None),
+            (256, "AH", "hcp", None),
+            (258, "OU", "total", None),
+            (260, "OU_HOME", "total", None),
+            (261, "OU_AWAY", "total", None),
+        ],
+    },
+    "mma": {
+        "REG": [
+            (1, "1X2", None, None),
+        ],
+    },
+    "boxing": {
+        "REG": [
+            (1, "1X2", None, None),
+        ],
+    },
+    "darts": {
+        "MATCH": [
+            (186, "ML", None, None),
+            (188, "AH_SETS", "hcp", "set"),
+            (314, "OU_SETS", "total", "set"),
+            (366, "AH", "hcp", "leg"),
+            (367, "OU", "total", "leg"),
+        ],
+    },
+    "snooker": {
+        "MATCH": [
+            (186, "ML", None, None),
+            (493, "AH", "hcp", "fram"),
+            (494, "OU", "total", "fram"),
+        ],
+    },
+    "table_tennis": {
+        "MATCH": [
+            (186, "ML", None, None),
+            (187, "AH_SETS", "hcp", "set"),
+            (237, "AH", "hcp", "bod"),
+            (238, "OU", "total", "bod"),
+        ],
+    },
 }
 PART_COUNT = {"P": 3, "Q": 4, "S": 5}
 # Outcome numbers by type.
@@ -54,14 +266,7 @@ OUTCOME_IDS = {
 
 
 def definitions() -> list[tuple]:
-    out = []
-    for sport, families in FAMILIES.items():
-        for scope, text in families:
-            for entry in text.split(", "):
-                number, kind, *name = entry.split(" ")
-                spec = ("hcp" if kind.startswith("AH") else "total") if kind.endswith("*") else None
-                out.append((sport, int(number), kind.rstrip("*"), scope, spec, name[0] if name else None))
-    return out
+    return [(sport, number, kind, scope, spec, name) for sport, scopes in MARKETS.items() for scope, own in scopes.items() for number, kind, spec, name in own]
 
 
 def market_dimension(spark: SparkSession) -> DataFrame:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.series import fold
+
 LIVE_FOR_MS = 60_000
 CHANGES = "bk int, event_id long, market string, sel string, kind string, odds double, is_open boolean, previous_odds double, at long"
 _STATE = "state string"
@@ -49,16 +51,8 @@ def _frame(key: tuple, rows: list[dict]) -> pd.DataFrame:
 
 
 def recorded_changes(fetches: DataFrame) -> DataFrame:
-    """Changes of recorded fetches; a key's history is a group."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for fetch in pdf.sort_values("seq").to_dict("records"):
-            state, rows = apply_fetch(state, fetch)
-            out += rows
-        return _frame(key, out)
-
-    return fetches.groupBy(*_KEYS).applyInPandas(run, CHANGES)
+    """Changes of recorded fetches, each key's in order of ``seq``."""
+    return fold(fetches, _KEYS, ["seq"], lambda: None, apply_fetch, CHANGES)
 
 
 def stream_changes(fetches: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..domain import BOOKS, Settings
 from ..operators.groups import candidate_groups, group_legs
+from ..operators.series import fold
 
 OUTPUT = "event_id long, group_key string, combo string, change string, at long, first_seen long, margin double, max_margin double, end_reason string"
 MOST_AT_ONCE = 3
@@ -232,16 +233,13 @@ def _frame(event_id: int, rows: list[dict]) -> pd.DataFrame:
 
 
 def recorded_opportunities(messages: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """Changes of opportunities over recorded messages; an event's messages are a group."""
+    """Changes of opportunities over recorded messages, each event's in order of ``seq``."""
     own = settings or Settings()
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        machine, out = EventMachine(own), []
-        for m in pdf.sort_values("seq").itertuples():
-            out += machine.handle(m.kind, json.loads(m.body), int(m.at))
-        return _frame(key[0], out)
+    def step(machine: EventMachine, m: dict) -> tuple[EventMachine, list[dict]]:
+        return machine, machine.handle(m["kind"], json.loads(m["body"]), int(m["at"]))
 
-    return messages.groupBy("event_id").applyInPandas(run, OUTPUT)
+    return fold(messages, ["event_id"], ["seq"], lambda: EventMachine(own), step, OUTPUT)
 
 
 def stream_opportunities(messages: DataFrame, settings: Settings | None = None) -> DataFrame:
