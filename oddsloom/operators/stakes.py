@@ -1,9 +1,9 @@
 """Stake allocation in whole units.
 
-All ways to round the ideal stakes down or up (2 to the number of legs) are rows of an exploded sequence; the best is
-taken by a struct order: profitable in every outcome, then the least profit, then the total nearest to the bankroll,
-then the first way. Where no way at the bankroll is profitable, neighbouring totals are tried, and the first that has
-a profitable way, in order of distance (less before more), is taken.
+All ways to round the ideal stakes down or up (2 to the number of legs) are an array of a row; the best is its greatest by a
+struct order: profitable in every outcome, then the least profit, then the total nearest to the bankroll, then the first way.
+Where no way at the bankroll is profitable, neighbouring totals are tried, and the first that has a profitable way, in order
+of distance (less before more), is taken. A row needs no other row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,60 +14,60 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up
 
 MOST_STEPS = 400
+_WAY = "struct<order:struct<positive:boolean,least:double,near:double,first:int>,stakes:array<double>,profits:array<double>,sum:double>"
 
 
-def profits(stakes: Column, odds: Column) -> Column:
-    total = F.aggregate(stakes, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(F.arrays_zip(stakes.alias("s"), odds.alias("o")), lambda x: half_up(x["s"] * x["o"] - total, 2))
+def _inverse(odds: Column) -> Column:
+    return F.aggregate(odds, F.lit(0.0), lambda s, o: s + F.lit(1.0) / o)
 
 
-def _ways(df: DataFrame, odds: str, total: Column, unit: float, fixed: Column | None = None) -> DataFrame:
-    """All roundings of the ideal stakes for a total; ``fixed`` (1-based place) keeps its leg as it is."""
-    n = F.size(odds)
-    inverse = F.aggregate(odds, F.lit(0.0), lambda s, o: s + F.lit(1.0) / o)
-    df = df.withColumn("_inv", inverse).withColumn("_total", total).withColumn("_mask", F.explode(F.sequence(F.lit(0), F.pow(F.lit(2), n).cast("int") - 1)))
-    ideal = lambda o: F.col("_total") / o / F.col("_inv")
-    bit = lambda i: F.expr("shiftright(_mask, 0)").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0
-    stake = lambda o, i: (F.floor(ideal(o) / unit) + F.when(bit(i), 1).otherwise(0)).cast("double") * unit
-    if fixed is not None:
-        stakes = F.transform(odds, lambda o, i: F.when(i + 1 == fixed, F.col("_fixed_stake")).otherwise(stake(o, i)))
-        df = df.withColumn("_stakes", stakes).where(~bit(fixed - 1))
+def _best(odds: Column, inverse: Column, total: Column, unit: float, bankroll: Column, fixed: tuple[Column, Column] | None = None) -> Column:
+    """The best rounding of the ideal stakes for a total (null if none has only positive stakes); ``fixed`` is the place (from 1)
+    and the stake of a leg that is given."""
+    bit = lambda mask, i: mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0
+    rounded = lambda o, up: (F.floor(total / o / inverse / unit) + F.when(up, 1).otherwise(0)).cast("double") * unit
+    masks = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(odds)).cast("int") - 1)
+    if fixed:
+        place, given = fixed
+        masks = F.filter(masks, lambda m: ~bit(m, place - 1))
+        stake = lambda m: lambda o, i: F.when(i + 1 == place, given).otherwise(rounded(o, bit(m, i)))
     else:
-        df = df.withColumn("_stakes", F.transform(odds, stake))
-    return df.where(F.forall("_stakes", lambda s: s > 0))
+        stake = lambda m: lambda o, i: rounded(o, bit(m, i))
+    ways = F.transform(masks, lambda m: F.struct(m.alias("m"), F.transform(odds, stake(m)).alias("s")))
+    ways = F.filter(ways, lambda w: F.forall(w["s"], lambda s: s > 0))
+    ways = F.transform(ways, lambda w: F.struct(w["m"].alias("m"), w["s"].alias("s"), F.aggregate(w["s"], F.lit(0.0), lambda a, x: a + x).alias("t")))
+    gain = lambda w: F.transform(F.arrays_zip(w["s"].alias("s"), odds.alias("o")), lambda x: half_up(x["s"] * x["o"] - w["t"], 2))
+    ways = F.transform(ways, lambda w: F.struct(w["m"].alias("m"), w["s"].alias("s"), w["t"].alias("t"), gain(w).alias("p")))
+    order = lambda w: F.struct((F.array_min(w["p"]) > 0).alias("positive"), F.array_min(w["p"]).alias("least"), (-F.abs(w["t"] - bankroll)).alias("near"), (-w["m"]).alias("first"))
+    return F.array_max(F.transform(ways, lambda w: F.struct(order(w).alias("order"), w["s"].alias("stakes"), w["p"].alias("profits"), w["t"].alias("sum")))).cast(_WAY)
 
 
-def _rated(ways: DataFrame, odds: str, bankroll: Column) -> DataFrame:
-    gains = ways.withColumn("_profits", profits(F.col("_stakes"), F.col(odds))).withColumn("_sum", F.aggregate("_stakes", F.lit(0.0), lambda s, x: s + x))
-    least = F.array_min("_profits")
-    return gains.withColumn("_order", F.struct((least > 0).alias("positive"), least.alias("least"), (-F.abs(F.col("_sum") - bankroll)).alias("near"), (-F.col("_mask")).alias("first")))
-
-
-def _plan(rated: DataFrame, keys: list[str]) -> DataFrame:
-    best = rated.groupBy(*keys).agg(F.max(F.struct("_order", "_stakes", "_profits", "_sum")).alias("b"))
-    return best.select(*keys, F.col("b._stakes").alias("stakes"), F.col("b._profits").alias("profits"), F.col("b._sum").alias("total"), F.col("b._order.least").alias("min_profit"), F.col("b._order.positive").alias("positive"))
+def _plan(df: DataFrame, keys: list[str], best: str) -> DataFrame:
+    b = F.col(best)
+    return df.where(b.isNotNull()).select(*keys, b["stakes"].alias("stakes"), b["profits"].alias("profits"), b["sum"].alias("total"), b["order"]["least"].alias("min_profit"), b["order"]["positive"].alias("positive"))
 
 
 def allocate(arbs: DataFrame, keys: list[str], odds: str = "odds", bankroll: float = 10_000.0, unit: float = 1.0) -> DataFrame:
     """``stakes``, ``profits``, ``total``, ``min_profit``, ``positive`` for each row of ``arbs`` (an array of prices a row)."""
-    bank = F.lit(float(bankroll))
-    first = _plan(_rated(_ways(arbs.select(*keys, odds), odds, bank, unit), odds, bank), keys)
+    bank, prices = F.lit(float(bankroll)), F.col(odds)
     steps = min(MOST_STEPS, int(bankroll / unit / 2))
-    missing = arbs.select(*keys, odds).join(first.where("positive").select(*keys), keys, "left_anti")
-    offsets = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, steps))), lambda k: F.array(-k, k)))
-    tried = missing.select("*", F.posexplode(offsets).alias("_rank", "_k")).withColumn("_t", bank + F.col("_k") * unit)
-    tried = tried.where((F.col("_t") > 0) & (F.col("_t") <= bankroll * 1.05))
-    rated = _rated(_ways(tried, odds, F.col("_t"), unit), odds, bank).where("_order.positive")
-    best = rated.groupBy(*keys).agg(F.max(F.struct((-F.col("_rank")).alias("early"), "_order", "_stakes", "_profits", "_sum")).alias("b"))
-    second = best.select(*keys, F.col("b._stakes").alias("stakes"), F.col("b._profits").alias("profits"), F.col("b._sum").alias("total"), F.col("b._order.least").alias("min_profit"), F.lit(True).alias("positive"))
-    rest = first.where("not positive").join(second.select(*keys), keys, "left_anti")
-    return first.where("positive").unionByName(second).unionByName(rest)
+    near = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, steps))), lambda k: F.array(bank - k * unit, bank + k * unit)))
+    near = F.filter(near, lambda t: (t > 0) & (t <= bankroll * 1.05))
+    df = arbs.select(*keys, odds).withColumn("_inv", _inverse(prices)).withColumn("_first", _best(prices, F.col("_inv"), bank, unit, bank))
+
+    def next_total(found: Column, total: Column) -> Column:
+        tried = _best(prices, F.col("_inv"), total, unit, bank)
+        return F.when(found.isNotNull(), found).otherwise(F.get(F.filter(F.array(tried), lambda w: F.coalesce(w["order"]["positive"], F.lit(False))), F.lit(0)))
+
+    # a total is only tried while none before it was profitable
+    second = F.aggregate(near, F.lit(None).cast(_WAY), next_total)
+    positive = F.coalesce(F.col("_first")["order"]["positive"], F.lit(False))
+    return _plan(df.withColumn("_best", F.when(positive, F.col("_first")).otherwise(F.coalesce(second, F.col("_first")))), keys, "_best")
 
 
 def allocate_fixed(arbs: DataFrame, keys: list[str], place: Column, stake: Column, odds: str = "odds", unit: float = 1.0) -> DataFrame:
     """As :func:`allocate` when one leg's stake is given: the others cover its return."""
-    own = arbs.select(*keys, odds, place.alias("_place"), stake.cast("double").alias("_fixed_stake"))
-    inverse = F.aggregate(odds, F.lit(0.0), lambda s, o: s + F.lit(1.0) / o)
-    total = F.col("_fixed_stake") * F.element_at(odds, F.col("_place")) * inverse
-    ways = _ways(own.withColumn("_target", total), odds, F.col("_target"), unit, F.col("_place"))
-    return _plan(_rated(ways, odds, F.col("_target")), keys)
+    own = arbs.select(*keys, odds, place.alias("_place"), stake.cast("double").alias("_given")).withColumn("_inv", _inverse(F.col(odds)))
+    own = own.withColumn("_target", F.col("_given") * F.element_at(odds, F.col("_place")) * F.col("_inv"))
+    best = _best(F.col(odds), F.col("_inv"), F.col("_target"), unit, F.col("_target"), (F.col("_place"), F.col("_given")))
+    return _plan(own.withColumn("_best", best), keys, "_best")
