@@ -119,6 +119,30 @@ def test_cox(spark):
     assert row.lp == pytest.approx(0.6) and row.p_needed == pytest.approx(math.exp(-0.25 * math.exp(0.6)))
 
 
+def test_cox_trains_on_all_rows(spark):
+    rng = np.random.default_rng(2)
+    n = 1500
+    mode, margin = rng.choice(["A", "B", "C"], n, p=[0.5, 0.3, 0.2]), rng.integers(0, 20, n) / 4
+    t = np.ceil(rng.exponential(np.exp(-0.7 * (mode == "B") - 0.1 * margin)) * 20) * 1000
+    e, seen = rng.random(n) < 0.8, rng.integers(0, 40, n)
+    rows = [(int(i), int(seen[i]), int(t[i]), bool(e[i]), str(mode[i]), float(margin[i])) for i in range(n)]
+    obs = spark.createDataFrame(rows, "arb_id long, first_seen long, duration_ms long, event boolean, mode string, margin double").repartition(3)
+    model = cox.train(obs, {"mode": 5}, ["margin"])
+    order = np.lexsort((np.arange(n), seen))
+    a, b = order[: int(n * 0.8)], order[int(n * 0.8) :]
+    mean, std = margin[a].mean(), margin[a].std()
+    x = np.stack([mode == "B", mode == "C", (margin - mean) / std], 1).astype(float)
+    beta = cox.fit(x[a], t[a], e[a])
+    assert model.categorical == {"mode": ("A", "B", "C")} and model.n_train == len(a)
+    assert [model.coef[k] for k in ("mode=B", "mode=C", "margin")] == pytest.approx(beta.tolist(), abs=1e-7)
+    assert np.array(model.baseline) == pytest.approx(np.array(cox.baseline(x[a], t[a], e[a], beta)), rel=1e-6)
+    risk = np.round(x @ beta, 12)
+    assert model.c_index == pytest.approx(cox.concordance(t[b], e[b], risk[b]), abs=1e-9)
+    assert model.metrics["c_index_train"] == pytest.approx(cox.concordance(t[a], e[a], risk[a]), abs=1e-9)
+    assert sum(g["n"] for g in model.metrics["calibration"]) == len(b)
+    assert not hasattr(cox, "MOST_OBSERVATIONS")
+
+
 @pytest.mark.parametrize(("a", "b", "sport", "same"), [
     ("FC Bayern München", "Bayern Munich", "football", True),
     ("Slavia Praha", "SK Slavia Prague", "football", True),
