@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 UNIT, HOP, RATE, FAN = 192, 96, 8000, 3
 _FRAMES = 20_000
@@ -90,17 +90,26 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What the query returns of the media columns: sizes and digests of the stored bytes, and of the pair arrays."""
+    """What the query returns of the media columns, stored and read again: sizes and digests of the media and of the pair arrays."""
+    columns = materialize(media_columns(docs, id_col, text_col), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            stored = [to_wav(t) for t in batch.column(1).to_pylist()]
-            payloads = [from_wav(m) for _, m in stored]
-            features = [f"frames={len(p) // HOP - 1};pairs={len(t)};sha256={hashlib.sha256(t.astype('<i4').tobytes() + c.astype('<i4').tobytes()).hexdigest()}" for p, (t, c) in zip(payloads, _many(payloads), strict=True)]
-            columns = [
-                pa.array([n for n, _ in stored], pa.int64()), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(m) for _, m in stored], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for _, m in stored]), pa.array(features)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for batch in small_batches(batches, text_at=2):
+            medias = batch.column(2).to_pylist()
+            payloads = [from_wav(m) for m in medias]
+            times, codes = (_rows(batch.column(i)) for i in (3, 4))
+            features = [f"frames={len(p) // HOP - 1};pairs={len(t)};sha256={hashlib.sha256(t.astype('<i4').tobytes() + c.astype('<i4').tobytes()).hexdigest()}" for p, t, c in zip(payloads, times, codes, strict=True)]
+            out = [
+                batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
+                pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(m) for m in medias], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in medias]), pa.array(features)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=[id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return columns.select(id_col, "n_bytes", "media", "pair_time", "pair_code").mapInArrow(run, schema)
+
+
+def _rows(lists: pa.Array) -> list[np.ndarray]:
+    """The values of each list."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(flat, ends[:-1])

@@ -233,6 +233,19 @@ def test_media(docs, empty):
     assert media.media_digests(empty).count() == 0
 
 
+def test_media_digests_are_of_the_stored_columns(docs, monkeypatch):
+    stored = []
+    monkeypatch.setattr(media, "materialize", lambda df, name: stored.append(common.materialize(df, name)) or stored[-1])
+    got = sorted((str(r.doc_id), r.media_sha256, r.feature) for r in media.media_digests(docs).collect())
+    want = []
+    for r in stored[0].collect():
+        arrays = np.array(r.pair_time, "<i4").tobytes() + np.array(r.pair_code, "<i4").tobytes()
+        feature = f"frames={len(media.from_wav(bytes(r.media))) // 96 - 1};pairs={len(r.pair_time)};sha256={hashlib.sha256(arrays).hexdigest()}"
+        want.append((str(r.doc_id), hashlib.sha256(bytes(r.media)).hexdigest(), feature))
+    assert set(stored[0].columns) == {"doc_id", "n_bytes", "media", "pair_time", "pair_code"}
+    assert got == sorted(want) and len(got) == docs.count()
+
+
 def test_media_peak_of_a_tone():
     wave = (128 + 100 * np.sin(2 * np.pi * 24 * np.arange(1920) / 192)).astype(np.uint8)
     assert set(media.peaks(wave).tolist()) == {24}
