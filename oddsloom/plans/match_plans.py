@@ -41,6 +41,12 @@ def nearest_candidates(spark, d):
     return matching.nearest(e, v, ["sport"], "entry_id", "start", "ev_start", "event_id", 3 * HOUR, 3).select("entry_id", "event_id", "gap", F.col("rank").cast("long").alias("rank"))
 
 
+def review_candidates(spark, d):
+    """All that the reference offers a reviewer: the 50 nearest events within 3 hours."""
+    e, v = _sides(spark, d)
+    return matching.nearest(e, v, ["sport"], "entry_id", "start", "ev_start", "event_id", 3 * HOUR, 50).select("entry_id", "event_id", "gap", F.col("rank").cast("long").alias("rank"))
+
+
 def same_participants(spark, d):
     o = B.read(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey % 60 AS home", "CAST(floor(o_totalprice) AS BIGINT) % 60 AS away")
     pairs = matching.exact_pairs(o.where("id % 2 = 0"), o.where("id % 2 = 1"), "home", "away")
@@ -152,6 +158,7 @@ QUERIES = {
     "time_candidates": (time_candidates, f"WITH {SIDES} SELECT entry_id, event_id, start - ev_start AS gap FROM e JOIN v USING (sport) WHERE abs(start - ev_start) <= 900000"),
     "wide_candidates": (wide_candidates, f"WITH {SIDES} SELECT entry_id, count(*) AS n, min(event_id) AS first_event FROM e JOIN v USING (sport) WHERE abs(start - ev_start) <= 10800000 GROUP BY entry_id"),
     "nearest_candidates": (nearest_candidates, f"WITH {SIDES}, r AS (SELECT entry_id, event_id, abs(start - ev_start) AS gap, row_number() OVER (PARTITION BY entry_id ORDER BY abs(start - ev_start), event_id) AS rank FROM e JOIN v USING (sport) WHERE abs(start - ev_start) <= 10800000) SELECT * FROM r WHERE rank <= 3"),
+    "review_candidates": (review_candidates, f"WITH {SIDES}, r AS (SELECT entry_id, event_id, abs(start - ev_start) AS gap, row_number() OVER (PARTITION BY entry_id ORDER BY abs(start - ev_start), event_id) AS rank FROM e JOIN v USING (sport) WHERE abs(start - ev_start) <= 10800000) SELECT * FROM r WHERE rank <= 50"),
     "same_participants": (same_participants, "WITH o AS (SELECT o_orderkey AS id, o_custkey % 60 AS home, CAST(floor(o_totalprice) AS BIGINT) % 60 AS away FROM orders) SELECT a.id, count(*) AS n, count(*) FILTER (a.home <> b.home) AS swapped FROM o a JOIN o b ON least(a.home, a.away) = least(b.home, b.away) AND greatest(a.home, a.away) = greatest(b.home, b.away) WHERE a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY a.id"),
     "folded_texts": (folded_texts, r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(regexp_replace(text, '\b([A-Za-z])\.\s?([A-Za-z])\.(\s|$)', '\1\2\3', 'g'), 'ß', 'ss'))), '[’''`´]', '', 'g'), '[^a-z0-9/]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, md5(t) AS folded, length(t) AS chars FROM f"""),
     "folded_names": (folded_names, "SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9/]+', ' ', 'g')) AS name, count(*) AS n FROM part GROUP BY 1"),

@@ -14,3 +14,9 @@ def test_query(spark, sf, name):
         assert rows and columns
         return
     assert (columns, rows) == sql_rows(sf, text)
+
+
+def test_review_candidates_go_past_rank_three(spark):
+    near = catalog.queries()["nearest_candidates"](spark, "/root/testdata/sf0.01").count()
+    rows = catalog.queries()["review_candidates"](spark, "/root/testdata/sf0.01").collect()
+    assert 3 < max(r.rank for r in rows) <= 50 and sum(r.rank <= 3 for r in rows) == near < len(rows)
