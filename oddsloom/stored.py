@@ -5,18 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The temporary folder of each local application that names none.
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local session (one machine, as in tests) may go without the setting; it then gets a temporary folder, the same
+    one as long as its application lasts.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a shared folder")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="oddsloom-")
+    return _LOCAL[context.applicationId]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back, so that what reads it twice computes it once and
-    lost executors lose nothing. Only a local session may go without the setting; it then gets a temporary folder."""
+    """``df`` written as Parquet under :func:`shared_dir` and read back, so that what reads it twice computes it once and lost
+    executors lose nothing."""
     spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is unset; on a cluster it must name a shared folder")
-        spark.conf.set("spark.checkpoint.dir", where := "file://" + tempfile.mkdtemp(prefix="oddsloom-"))
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oddsloom import stored
 from oddsloom.domain import Settings
 from oddsloom.functions import names
 from oddsloom.functions import scalars as S
@@ -283,3 +284,18 @@ def test_core_stands_without_the_llm_folder():
     root = Path(oddsloom.__file__).parent
     own = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
     assert own and not any(re.search(r"\bllm\b", p.read_text()) for p in own)
+
+
+def test_local_sessions_get_one_shared_folder(spark):
+    """A session without the setting: ``spark.checkpoint.dir`` can't be set at run time, so the folder is kept beside it."""
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    where = stored.shared_dir(Session())
+    assert where.startswith("file:///") and stored.shared_dir(Session()) == where
+    assert stored.stored(spark.range(3), "three").count() == 3
