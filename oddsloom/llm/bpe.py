@@ -1,7 +1,7 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
 A BPE encoding of a string ends, for every prefix of it, in one token that depends on the prefix alone; the rest
-of the encoding is that of the prefix without this token. So the distinct words of a task go into a trie over
+of the encoding is that of the prefix without this token. So the distinct words of a batch go into a trie over
 their symbols, a depth-first walk computes each node's last token from those of its ancestors, and prefixes that
 words share are encoded once. A word's ids are read by following last tokens from its end node upwards.
 
@@ -10,8 +10,11 @@ The last token of a node is the one vocabulary entry ``t`` that spells the end o
 
 Text is split as the tokenizer file says (NFC, white space, lower case, then the word pattern); chunks with
 characters above U+024F, or with control characters, are split by the library's own normalizer and pre-tokenizer,
-the rest by the same pattern here. Memory is bounded: a batch has one trie, and a worker forgets
-encoded words beyond ``MAX_KEPT`` and pair tests beyond ``MAX_PAIRS``.
+the rest by the same pattern here.
+
+Memory is bounded by bytes: texts are encoded a portion of about ``PORTION`` bytes at a time (cut at white space), words
+and chunks met are kept up to ``KEPT_BYTES`` and dropped when a task ends, pair tests up to ``MAX_PAIRS``. A word of more
+than ``LONG`` symbols is walked alone, with its last tokens held only as far back as later ones can reach, and not kept.
 
 Null or empty texts give no ids and decode to an empty text. Rows repeat as they come.
 """
@@ -23,6 +26,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,13 +37,16 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-MAX_KEPT = 800_000
-MAX_PAIRS = 500_000
+PORTION = 2_000_000
+KEPT_BYTES = 80_000_000
+MAX_PAIRS = 200_000
+LONG = 16_384
 _SAFE_TOP = 0x250
 _LETTERS = "".join(chr(c) for c in range(_SAFE_TOP) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(_SAFE_TOP) if unicodedata.category(chr(c))[0] == "N")
 #: Contractions, letter runs, single numbers, runs of anything else: the split of the tokenizer file.
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_GAP = re.compile("[ \t\n\v\f\r]")
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
 
 
@@ -74,13 +81,20 @@ class TrieEncoder:
         self.split_special = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
         self.symbol = byte_symbols()
         self.longest = max(len(s.removesuffix(self.end)) for s in self.vocab)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.names = pa.array([self.pieces.get(i, "") for i in range(max(self.pieces) + 1)], pa.string())
+        self.forget_pairs()
         self.alone: dict[str, bool] = {}
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, bytes] = {}  # packed ids of a word, by its byte symbols
         self.chunks: dict[str, bytes] = {}  # the same of a run without white space
+        self.kept = 0  # bytes held by both, about
+
+    def forget_pairs(self) -> None:
+        #: After each last token (None at the root): id of every token that may follow it there, or -1 where it may not.
+        self.after: dict[int | None, dict[str, int]] = defaultdict(dict)
+        self.pairs = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE of a short symbol list, for the pair tests."""
@@ -111,56 +125,113 @@ class TrieEncoder:
     def is_pair(self, left: str, right: str) -> bool:
         return self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
 
-    def grow(self, words: list[str]) -> None:
-        """Encode distinct words (byte symbols, without end mark).
+    def follows(self, left: int | None, token: str) -> int:
+        """The id of ``token`` if it is a last token after ``left``, else -1."""
+        known = self.after[left].get(token)
+        if known is None:
+            ok = self.is_token(token) and (left is None or self.is_pair(self.pieces[left], token))
+            known = self.after[left][token] = self.vocab[token] if ok else -1
+            self.pairs += 1
+        return known
+
+    def search(self, word: str, d: int, end: str, last: list, base: int = 0) -> tuple[int, int]:
+        """(id, size) of the last token of the path ``word[:d]``; ``last[b - base]`` is the last token's id at depth b."""
+        for before in range(max(base, d - self.longest), d):
+            token = word[before:d] + end
+            if token in self.vocab and (this := self.follows(last[before - base], token)) >= 0:
+                return this, d - before
+        raise ValueError(f"no token ends {word[max(0, d - 40) : d]!r}")
+
+    def grow(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of distinct words (byte symbols, without end mark).
 
         In sorted order the words are a depth-first walk of their trie: the nodes of the current path are kept
         from the root down, a word leaves those it shares with the one before, and only new nodes get a last
-        token. ``last[d]`` is that of the path's node at depth d, ``up[d]`` the depth without it.
+        token. ``last[d]`` is that of the path's node at depth d, ``size[d]`` its length, ``next_[d]`` what may follow it.
         """
-        vocab, fits, end, longest, packed = self.vocab, self.fits, self.end, self.longest, self.words
-        last, up, path = [""], [0], ""
-        if len(fits) > MAX_PAIRS:
-            fits.clear()
+        end, packed, after, search = self.end, {}, self.after, self.search
+        last, size, next_, path = [None], [0], [after[None]], ""
         for word in sorted(words):
-            depth, full = 0, len(word) - 1 if end else len(word)
+            if len(word) > LONG:
+                packed[word] = self.walk(word)
+                continue
+            if self.pairs > MAX_PAIRS:
+                self.forget_pairs()
+                after = self.after
+                last, size, next_, path = [None], [0], [after[None]], ""
+            depth, stop = 0, len(word)
+            full = stop - 1 if end else stop
             for x, y in zip(path, word[:full], strict=False):
                 if x != y:
                     break
                 depth += 1
-            del last[depth + 1 :], up[depth + 1 :]
+            del last[depth + 1 :], size[depth + 1 :], next_[depth + 1 :]
             path = word[:full]
-            for d in range(depth + 1, len(word) + 1):
-                suffix = end if d > full else ""
+            for d in range(depth + 1, full + 1):
                 # the last token most often grows by the symbol, or the symbol stands alone; else any start may be right
-                for before in (up[d - 1], d - 1, *range(d - longest if d > longest else 0, d - 1)):
-                    token = word[before:d] + suffix
-                    if token in vocab:
-                        left = last[before]
-                        ok = fits.get((left, token))
-                        if ok is None:
-                            ok = fits[left, token] = self.is_token(token) and (not before or self.is_pair(left, token))
-                        if ok:
-                            break
-                else:
-                    raise ValueError(f"no token ends {word[:d]!r}")
-                last.append(token)
-                up.append(before)
-            ids, d = [], len(word)
+                n = size[d - 1] + 1
+                this = next_[d - n].get(word[d - n : d], -1)
+                if this < 0:
+                    this, n = next_[d - 1].get(word[d - 1], -1), 1
+                    if this < 0:
+                        this, n = search(word, d, "", last)
+                last.append(this)
+                size.append(n)
+                next_.append(after[this])
+            if end:
+                n = size[full] + 1
+                this = next_[stop - n].get(word[stop - n :] + end, -1)
+                if this < 0:
+                    this, n = search(word, stop, end, last)
+                ids, d = [this], stop - n
+            else:
+                ids, d = [], stop
             while d:
-                ids.append(vocab[last[d]])
-                d = up[d]
+                ids.append(last[d])
+                d -= size[d]
             ids.reverse()
             packed[word] = array("I", ids).tobytes()
-            del last[full + 1 :], up[full + 1 :]
+        return packed
+
+    def walk(self, word: str) -> bytes:
+        """Packed ids of one long word. Whenever ``LONG`` symbols are held, all last tokens that a later one can still build on
+        are followed back to where they meet; what lies before that place is settled and let go."""
+        out, base, last, size, held = array("I"), 0, [None], [0], LONG
+        full = len(word) - 1 if self.end else len(word)
+
+        def settle(d: int) -> None:
+            ids = []
+            while d > base:
+                ids.append(last[d - base])
+                d -= size[d - base]
+            out.extend(reversed(ids))
+
+        for d in range(1, len(word) + 1):
+            this, n = self.search(word, d, self.end if d > full else "", last, base)
+            last.append(this)
+            size.append(n)
+            if d - base > held:
+                open_ = set(range(max(base, d - self.longest), d + 1))
+                while len(open_) > 1:
+                    top = max(open_)
+                    open_.remove(top)
+                    open_.add(top - size[top - base])
+                settle(meet := open_.pop())
+                del last[: meet - base], size[: meet - base]
+                base = meet
+                held = d - base + LONG
+        settle(len(word))
+        return out.tobytes()
 
     def learn(self, chunks: set[str]) -> None:
         """Encode white-space-free chunks not met before. Normal form, lower case and split look at no more than a chunk."""
         found = {c: self.byte_words(c) for c in chunks}
         words = self.words
-        self.grow(list({w for ws in found.values() for w in ws if w not in words}))
+        words |= (new := self.grow(list({w for ws in found.values() for w in ws if w not in words})))
+        self.kept += sum(len(w) + len(b) for w, b in new.items()) + 250 * len(new)
         for c, ws in found.items():
-            self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            ids = self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+            self.kept += 2 * len(c) + 200 + (len(ws) > 1) * len(ids)
 
     def byte_words(self, chunk: str) -> list[str]:
         if _UNSAFE.search(chunk) or _UNSAFE.search(low := chunk.lower()):
@@ -175,16 +246,25 @@ class TrieEncoder:
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, one after the other, and where each text's ids end, with 0 before.
 
-        The new words of the column go into one trie; ids are then gathered for all white-space-free chunks at once.
+        Texts are encoded as pieces between special tokens and of at most about ``PORTION`` bytes, and put together again.
         """
         column = pc.fill_null(column, "")
-        if self.special and pc.any(pc.match_substring_regex(column, self.split_special.pattern)).as_py():
-            parts = [self.pieces_of(t) for t in column.to_pylist()]
-            ids, ends = self.encode_column(pa.array([p for ps in parts for p in ps if isinstance(p, str)], pa.string()))
-            texts = iter(np.split(ids, ends[1:-1]) if len(ends) > 1 else [])
-            whole = [np.concatenate([np.empty(0, np.uint32), *[next(texts) if isinstance(p, str) else np.array([p], np.uint32) for p in ps]]) for ps in parts]
-            return np.concatenate([np.empty(0, np.uint32), *whole]), np.cumsum([0, *map(len, whole)])
-        if len(self.words) + len(self.chunks) > MAX_KEPT:
+        size = pc.max(pc.binary_length(column)).as_py() or 0
+        if size <= PORTION and not (self.special and pc.any(pc.match_substring_regex(column, self.split_special.pattern)).as_py()):
+            return self.encode_portion(column)
+        ids, ends = [np.empty(0, np.uint32)], [0]
+        for text in column.to_pylist():
+            n = 0
+            for piece in self.pieces_of(text):
+                own = self.encode_portion(pa.array([piece], pa.string()))[0] if isinstance(piece, str) else np.array([piece], np.uint32)
+                ids.append(own)
+                n += len(own)
+            ends.append(ends[-1] + n)
+        return np.concatenate(ids), np.array(ends)
+
+    def encode_portion(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The new words of the column go into one trie; ids are then gathered for all white-space-free chunks at once."""
+        if self.kept > KEPT_BYTES:
             self.forget()
         lists = pc.ascii_split_whitespace(column)
         coded = lists.flatten().dictionary_encode()
@@ -201,27 +281,37 @@ class TrieEncoder:
         cuts = lists.offsets.to_numpy()
         return ids, ends[cuts - cuts[0]]
 
-    def pieces_of(self, text: str) -> list[str | int]:
-        """A text cut at special tokens; these stand as their ids."""
-        out, at = [], 0
-        for m in self.split_special.finditer(text):
-            out += [text[at : m.start()], self.special[m.group()]]
-            at = m.end()
-        return [*out, text[at:]]
+    def pieces_of(self, text: str) -> Iterator[str | int]:
+        """A text cut at special tokens, which stand as their ids, and at white space where a piece passes ``PORTION``."""
+        at = 0
+        for m in [*(self.split_special.finditer(text) if self.special else ()), None]:
+            stop = m.start() if m else len(text)
+            while stop - at > PORTION and (gap := _GAP.search(text, at + PORTION, stop)):
+                yield text[at : gap.start()]
+                at = gap.start()
+            yield text[at:stop]
+            if m:
+                yield self.special[m.group()]
+                at = m.end()
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_column(pa.array([text], pa.string()))[0].tolist()
 
+    def decode_column(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids laid one after the other. The tokenizer file names no decoder: tokens are joined by single spaces,
+        special tokens kept."""
+        pieces = self.names.take(pa.array(ids.view(np.int32)))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces), " ")
+
     def decode(self, ids: list[int]) -> str:
-        """The tokenizer file names no decoder: pieces are joined by single spaces, special tokens kept."""
-        return " ".join(map(self.pieces.__getitem__, ids))
+        return self.decode_column(np.array(ids, np.uint32), np.array([0, len(ids)]))[0].as_py()
 
 
 _ENCODERS: dict[str, TrieEncoder] = {}
 
 
 def encoder(path: str) -> TrieEncoder:
-    """One encoder for each vocabulary in a Python worker, kept between tasks."""
+    """One encoder for each vocabulary in a Python worker; its vocabulary is kept between tasks, what it has learnt is not."""
     if path not in _ENCODERS:
         _ENCODERS[path] = TrieEncoder(path)
     return _ENCODERS[path]
@@ -240,14 +330,19 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in small_batches(batches):
-            ids, ends = enc.encode_column(batch.column(1))
-            each = np.split(ids, ends[1:-1])
-            columns = [batch.column(0), pa.array(np.diff(ends), pa.int64())]
-            if keep_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))))
-            columns.append(pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in each]))
-            columns.append(pa.array([hashlib.sha256(enc.decode(x.tolist()).encode()).hexdigest() for x in each]))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        try:
+            for batch in small_batches(batches, most_bytes=PORTION):
+                ids, ends = enc.encode_column(batch.column(1))
+                each = np.split(ids, ends[1:-1])
+                columns = [batch.column(0), pa.array(np.diff(ends), pa.int64())]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32))))
+                columns.append(pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in each]))
+                texts = enc.decode_column(ids, ends).cast(pa.binary())
+                columns.append(pa.array([hashlib.sha256(t.as_buffer()).hexdigest() for t in texts]))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        finally:  # a worker outlives its task: what the task has learnt goes with it
+            enc.forget()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(run, T.StructType(fields))
