@@ -32,8 +32,8 @@ from .common import small_batches, table_path
 #: (ids a word, bits an id) of selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 CHUNK = 65_536
-#: Distinct pieces whose ids a worker keeps.
-MAX_PIECES = 1_500_000
+#: Bytes of distinct pieces and their ids that a worker keeps between batches; all go when the task ends.
+KEPT_BYTES = 24_000_000
 
 
 _WIDTH16 = np.array([x.bit_length() for x in range(1 << 16)], np.uint8)
@@ -252,7 +252,7 @@ class ByteEncoder:
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and where each text's ids end, with 0 before."""
-        if len(self.keys) > MAX_PIECES:
+        if self.keys.nbytes + self.flat.nbytes + self.starts.nbytes + self.sizes.nbytes > KEPT_BYTES:
             self.forget()
         column = pa.concat_arrays([pc.fill_null(column, ""), pa.array([], column.type)])  # a copy of its own: if_else mistakes slices
         hard = pc.match_substring_regex(column, self.hard)
@@ -313,13 +313,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(vocabulary), TaskContext.get().partitionId()
-        for block, batch in enumerate(small_batches(batches, most_bytes=8_000_000)):
-            ids, ends = enc.encode_column(batch.column(1))
-            whole = np.insert(ids, ends[1:], np.uint32(end_id))
-            offsets, words, escapes = pack_block(whole)
-            row = [[part], [block], [batch.column(0).to_pylist()], [(np.diff(ends) + 1).tolist()], [len(whole)], [offsets], [words], [escapes]]
-            types = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["part", "block", "doc_ids", "doc_sizes", "n_ids", "offsets", "words", "escapes"])
+        try:
+            for block, batch in enumerate(small_batches(batches)):
+                ids, ends = enc.encode_column(batch.column(1))
+                whole = np.insert(ids, ends[1:], np.uint32(end_id))
+                offsets, words, escapes = pack_block(whole)
+                row = [[part], [block], [batch.column(0).to_pylist()], [(np.diff(ends) + 1).tolist()], [len(whole)], [offsets], [words], [escapes]]
+                types = [pa.int32(), pa.int32(), pa.list_(batch.schema.field(0).type), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], names=["part", "block", "doc_ids", "doc_sizes", "n_ids", "offsets", "words", "escapes"])
+        finally:  # a worker outlives its task
+            enc.forget()
+            pa.default_memory_pool().release_unused()
 
     ordered.mapInArrow(run, _BLOCK.format(kind)).write.parquet(path)
 
