@@ -10,7 +10,13 @@ The anchors of a half are the words of the code "Hamming(31,26) times one free b
 fingerprint goes to every anchor within radius 1 plus threshold 1 of its half: at most 17 a half. Of two halves at
 distance 1 or less, the nearest anchor of the first is within 2 of the second, so the two meet at an anchor and no
 link is lost. Anchors compare exactly and give back links that span what they connect, never all pairs: a batch of
-anchors joins what it links (union-find over the batch's fingerprints).
+anchors joins what it links (union-find over the batch's fingerprints). An anchor of more than ``ANCHOR_ROWS`` fingerprints
+is compared in pieces, one for each two blocks of its rows, so no task holds it whole.
+
+Near copies of texts (:func:`near_texts`, five-word shingles, Jaccard similarity of the shingle sets) differ in up to a dozen
+bits, more than anchors can cover: two texts at 0.8 differ in 10 bits of 64 on average. So the links of the anchors are
+joined by those of another method: 25 band keys of 5 minima of the shingle hashes find candidates (two texts at 0.8 share
+one with probability 0.99995), and the exact similarity of the sets decides.
 
 Components of the links come from rounds of joins over stored tables. Exact copies share a fingerprint, so copies
 cost one row however many there are. Repeated doc_ids are one document in two rows; null ids are compared last.
@@ -26,32 +32,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, small_batches
+from .common import drop_table, join_spread, materialize, small_batches, units
 
 _WEIGHT = 256  # rows of one anchor compared at a time
+ANCHOR_ROWS = 65_536
+#: Bands of minima: keys a text, minima a key; and the most bytes of shingle sets compared at a time.
+BANDS, BAND_ROWS = 25, 5
+SET_BYTES = 32_000_000
+_MULTIPLY = np.array([xxhash.xxh64_intdigest(b"multiply", i) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
+_ADD = np.array([xxhash.xxh64_intdigest(b"add", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 values of all word shingles, repeats included; none for a text without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False))
+    grams = map(b" ".join, zip(*[words[i:] for i in range(shingle)], strict=False)) if len(words) >= shingle else [b" ".join(words)] if words else []
     seed = xxhash.xxh64_intdigest
-    counts, n, block = np.zeros(64, np.int64), 0, []
-    for g in grams:
-        block.append(seed(g, 42))
-        if len(block) == 65_536:
-            counts, n, block = counts + _bit_counts(block), n + len(block), []
-    if block:
-        counts, n = counts + _bit_counts(block), n + len(block)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+    return np.fromiter((seed(g, 42) for g in grams), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the values."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        counts += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
-def _bit_counts(values: list[int]) -> np.ndarray:
-    return np.unpackbits(np.array(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a shingle set: band number and hash of ``BAND_ROWS`` minima of the values under fixed mixings."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1_024):
+        mixed = hashes[i : i + 1_024, None] * _MULTIPLY + _ADD
+        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for c in range(BAND_ROWS):
+        key = (key ^ rows[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -165,15 +188,18 @@ def linked(fps: DataFrame, most: int = 3, batch_rows: int = 400_000) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own[row])], names=["anchor", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
         def flush(last: bool) -> pa.RecordBatch:
             nonlocal held, count
-            anchor, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            end = len(anchor) if last else int(np.searchsorted(anchor, anchor[-1], "left"))
-            links = _links(anchor[:end], fps[:end], most)
-            held, count = [(anchor[end:], fps[end:])], len(anchor) - end
+            anchor, unit, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+            starts = np.flatnonzero((anchor[1:] != anchor[:-1]) | (unit[1:] != unit[:-1])) + 1
+            end = len(anchor) if last else int(starts[-1]) if len(starts) else 0  # the last piece may go on
+            piece = np.zeros(end, np.int64)
+            piece[starts[starts < end]] = 1
+            links = _links(np.cumsum(piece), fps[:end], most)
+            held, count = [(anchor[end:], unit[end:], fps[end:])], len(anchor) - end
             a, b = zip(*links, strict=True) if links else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -185,8 +211,8 @@ def linked(fps: DataFrame, most: int = 3, batch_rows: int = 400_000) -> DataFram
         if count:
             yield flush(last=True)
 
-    dealt = fps.select("fp").distinct().mapInArrow(spread, "anchor long, fp long")
-    met = dealt.repartition("anchor").sortWithinPartitions("anchor", "fp")
+    dealt = units(fps.select("fp").distinct().mapInArrow(spread, "anchor long, fp long"), "anchor", "fp", ANCHOR_ROWS)
+    met = dealt.select("anchor", "unit", "fp").repartition("anchor", "unit").sortWithinPartitions("anchor", "unit", "fp")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -194,23 +220,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node connected with node; only nodes that have links.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest neighbour (large and
-    small star). Rounds are joins and aggregates over stored tables; they end when a round changes nothing.
+    small star). Rounds are joins and aggregates over stored tables; they end when a round changes nothing. Nodes with very
+    many neighbours are few and broadcast (:func:`~.common.join_spread`).
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, many = None, edges.count()
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(least, F.col("u") == F.col("k"))
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
+        least = least.select("u", F.least("u", "m").alias("m"), "n").where("n > 0")
+        large = join_spread(both.where("v > u"), least, "u", "n", many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        joined = join_spread(large, least, "u", "n", many)
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         after = materialize(small.distinct(), "edges")
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(edges)
         drop_table(large)
-        edges = after
+        edges, many = after, now[0]
         if tuple(now) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(now)
@@ -221,15 +249,154 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``id_col``, ``fp``, ``component_id``: the smallest id that links reach from the row's document."""
     own = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     roots = components(linked(own))
-    least = own.groupBy("fp").agg(F.min(id_col).alias("_least"))
-    grouped = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_least")
-    firsts = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = grouped.join(firsts, "_root").select(F.col("fp").alias("_fp"), "component_id")
-    return own.join(named, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+    least = own.groupBy("fp").agg(F.min(id_col).alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    grouped = least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("_root"), "_least", "_rows")
+    grouped = materialize(grouped, "grouped")
+    firsts = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_prints"))
+    named = join_spread(grouped, firsts, "_root", "_prints", grouped.count()).select("fp", "component_id", "_rows")
+    return join_spread(own, named, "fp", "_rows", own.count()).select(id_col, "fp", "component_id")
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """(``node``, ``component_id``) of each different text, by the smallest id that has it (a null id comes last).
+
+    Texts are linked if their fingerprints differ in at most 3 bits or if their sets of word shingles have Jaccard similarity
+    ``similar`` or more, and so on. Texts of equal words in equal case-folded form are one text.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            texts, prints, keys, counts = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(text, shingle)
+                texts.append(xxhash.xxh128_digest(b" ".join((text or "").encode().lower().split())))
+                prints.append(majority(hashes))
+                keys.append(band_keys(hashes).tobytes() if len(hashes) else b"")
+                counts.append(len(np.unique(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["id", "words", "fp", "keys", "n"])
+
+    rows = docs.select(id_col, text_col).mapInArrow(read, f"id {kind}, words binary, fp long, keys binary, n long")
+    # one row a text: its smallest id; keys and fingerprint depend on the words alone
+    texts = rows.groupBy("words").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    texts = materialize(texts.withColumn("node", F.xxhash64("words")), "texts")
+
+    prints = texts.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
+    prints = materialize(prints, "prints")
+    same = join_spread(texts.select("fp", "node"), prints.select("fp", F.col("node").alias("first"), "m"), "fp", "m", texts.count()).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = linked(prints).join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = materialize(same.union(near).where("a <> b").distinct(), "links")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 5_000):
+                part = batch.slice(i, 5_000)
+                keys = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), BANDS))), pa.array(keys)], names=["node", "key"])
+
+    members = texts.where("n > 0").select("node", "keys").mapInArrow(split, "node long, key long")
+    first = members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = materialize(members.join(first, "key"), "bands")
+    sets = _sets(docs, texts.join(shared.select("node").distinct(), "node").select("id", "node"), id_col, text_col, shingle)
+    # first every member of a key against the key's first; then what is still apart in a key of three or more
+    pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    found = materialize(_similar(pairs, sets, similar), "links")
+    joined = materialize(components(links.union(found)), "joined")
+    rest = _unsettled(shared.where("m > 2"), joined)
+    more = _compared(rest, sets, similar)
+    links = materialize(links.union(found).union(more).distinct(), "links")
+    roots = components(links)
+    placed = materialize(texts.join(roots, "node", "left").select("id", "words", F.coalesce("root", "node").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    return join_spread(placed, least, "root", "m", placed.count()).select(F.col("id").alias("node"), "component_id")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(``node``, ``n``, ``grams``): the shingle sets, as sorted arrays, of the texts ``wanted`` by ``id`` and ``node``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 0, 1_000_000):
+            texts = batch.column(0).to_pylist()
+            words = [xxhash.xxh128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            grams = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+            ends = np.cumsum([0, *map(len, grams)])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(grams)))], names=["words", "n", "grams"])
+
+    ids = wanted.select(F.col("id").alias("_sid")).distinct()
+    chosen = docs.select(F.col(id_col).alias("_did"), F.col(text_col).alias("_dtext")).join(ids, F.col("_did").eqNullSafe(F.col("_sid")), "left_semi")
+    own = chosen.select("_dtext").mapInArrow(read, "words binary, n long, grams array<long>").withColumn("node", F.xxhash64("words"))
+    return materialize(own.join(wanted.select("node"), "node", "left_semi").select("node", "n", "grams").dropDuplicates(["node"]), "sets")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Those pairs (a, b) whose sets have the similarity. A first with very many others is dealt out over copies of its set."""
+    pairs = materialize(pairs, "pairs")
+    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("copies"))
+    left = degree.join(sets, degree["a"] == sets["node"]).select("a", F.col("grams").alias("left"), F.col("n").alias("na"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    dealt = pairs.join(degree, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
+    right = dealt.join(sets, dealt["b"] == sets["node"]).select("a", "b", "copy", F.col("grams").alias("right"), F.col("n").alias("nb"))
+    both = right.join(left, ["a", "copy"]).where((F.least("na", "nb") >= similar * F.greatest("na", "nb")))
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(common >= similar * (F.col("na") + F.col("nb") - common)).select("a", "b")
+
+
+def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Members of the keys that still hold more than one component, with their components."""
+    own = members.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+    own = materialize(own, "parts")
+    mixed = own.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return own.join(mixed, "key")
+
+
+def _compared(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between members of a key that belong to different components: enough to connect what is similar there.
+
+    Pieces of a key (:func:`~.common.units`) are compared one at a time, sets of like size only.
+    """
+
+    def links(part: np.ndarray, node: np.ndarray, grams: list[np.ndarray], out: list[tuple[int, int]]) -> None:
+        union = _Union()
+        for x, p in zip(node.tolist(), part.tolist(), strict=True):
+            union.join(x, p)
+        order = sorted(range(len(grams)), key=lambda i: len(grams[i]))
+        for i, x in enumerate(order):
+            for y in order[i + 1 :]:
+                if len(grams[x]) < similar * len(grams[y]):
+                    break
+                if union.root(int(node[x])) != union.root(int(node[y])):
+                    common = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
+                    if common >= similar * (len(grams[x]) + len(grams[y]) - common):
+                        union.join(int(node[x]), int(node[y]))
+                        out.append((int(node[x]), int(node[y])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        out: list[tuple[int, int]] = []
+
+        def done() -> pa.RecordBatch:
+            links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], out)
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for i, key in enumerate(keys):
+                if key != now and held:
+                    yield done()
+                    held = []
+                now = key
+                held.append((batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), batch.column(4)[i].values.to_numpy().copy()))
+        if held:
+            yield done()
+
+    sized = materialize(members.join(sets, "node").select("key", "part", "node", "grams"), "sized")
+    dealt = units(sized, "key", "node", SET_BYTES, F.size("grams") * 8 + 200).select("key", "unit", "part", "node", "grams")
+    return dealt.repartition("key", "unit").sortWithinPartitions("key", "unit").mapInArrow(run, "a long, b long")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-duplicates: of each component the one with the smallest id. Columns stay as they are."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    found = near_texts(docs, id_col, text_col)
+    kept = found.where(F.col("node").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_kept")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
