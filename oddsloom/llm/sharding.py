@@ -6,9 +6,10 @@ each round a group's documents elsewhere want to move to the shard that holds mo
 with room the one that holds most; a shard admits what fits its quota or is balanced by what leaves. Rounds are joins over stored tables; they end
 when nothing moves. Then documents without neighbours, and what exceeds a quota, fill the shards that have room.
 
-Law: ``rows``. Shards hold N // shards rows each, the first N % shards one more. A group larger than a quota spans
-several shards; such groups are cut into chunks (by id hash, about a 64th of a shard each) that move separately, so no
-key is handled whole by one task. Null texts count as empty; repeated ids are rows of their own.
+Law: ``rows``. Shards hold N // shards rows each, the first N % shards one more. A group larger than a quota must span
+several shards: it is cut into chunks (by id hash, about a 64th of a quota each) that start and move separately. Any other
+group is one chunk and, but for what exceeds a quota at the end, comes together. Groups of more than a 1024th of all rows are few
+and broadcast to their rows, so no key is handled whole by one task. Null texts count as empty; repeated ids are rows of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, with_ordinals
+from .common import HOT_SHARE, drop_table, materialize, with_ordinals
 
 CLASSES = 64
 #: While labels move, a shard may hold this fraction (one in so many) over its quota; the end brings it to the quota.
@@ -34,23 +35,32 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = 12, id_col:
     base = materialize(base, "sizes")
     rows = base.count()
     quota = [rows // shards + (b < rows % shards) for b in range(shards)]
-    chunk_rows = max(1, rows // (64 * shards))
+    most = max(1, rows // shards)  # a group of more rows than this is cut
+    chunk_rows = max(1, most // 64)
 
     groups = base.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_group").alias("_g"), "_n")
-    chunks = F.ceil(F.col("_n") / chunk_rows).cast("long")
-    first = F.pmod(F.xxhash64(F.lit("first"), "_id"), F.lit(shards)).cast("int")
-    linked = base.join(groups, base["_group"] == groups["_g"], "left").select(
-        "_id", "size", "text_crc32", "_group", "_n", first.alias("_first"), F.pmod(F.xxhash64(F.lit("chunk"), "_id"), F.coalesce(chunks, F.lit(1))).alias("_chunk"))
+    found_groups = materialize(groups, "groups")
+    hot = F.broadcast(found_groups.where(F.col("_n") * HOT_SHARE > rows).select(F.col("_g").alias("_hg"), F.col("_n").alias("_hn")))
+    cold = found_groups.where(F.col("_n") * HOT_SHARE <= rows)
+    known = base.join(hot, base["_group"] == F.col("_hg"), "left")
+    # rows of a hot group, whose count is known, meet the shuffle under keys of their own and find nothing there
+    key = F.when(F.col("_hn").isNull(), F.col("_group")).otherwise(F.concat(F.lit("hot"), F.xxhash64("_id").cast("string")).cast("binary"))
+    known = known.withColumn("_key", key).join(cold, F.col("_key") == cold["_g"], "left").withColumn("_rows", F.coalesce("_hn", "_n"))
+    cut = F.coalesce(F.col("_rows") > most, F.lit(False))
+    chunk = F.when(cut, F.pmod(F.xxhash64(F.lit("chunk"), "_id"), F.ceil(F.col("_rows") / chunk_rows).cast("long"))).otherwise(F.lit(0).cast("long"))
+    start = F.when(cut, F.xxhash64(F.lit("first"), "_group", "_chunk")).otherwise(F.xxhash64(F.lit("first"), "_id"))
+    linked = known.withColumn("_chunk", chunk).withColumn("_first", F.pmod(start, F.lit(shards)).cast("int")).select("_id", "size", "text_crc32", "_group", F.col("_rows").alias("_n"), "_first", "_chunk")
     linked = materialize(linked, "linked")
     drop_table(base)
 
-    cells = linked.where("_n > 1").groupBy("_group", "_chunk", "_first").agg(F.count(F.lit(1)).alias("m"), (F.max("_n") > chunk_rows).alias("_large")).withColumn("_shard", F.col("_first"))
+    cells = linked.where("_n > 1").groupBy("_group", "_chunk", "_first").agg(F.count(F.lit(1)).alias("m"), (F.max("_n") > most).alias("_large")).withColumn("_shard", F.col("_first"))
     cells = propagate(materialize(cells, "cells"), quota, rounds)
 
     found = cells.select(F.col("_group").alias("_cg"), F.col("_chunk").alias("_cc"), F.col("_first").alias("_cf"), F.col("_shard").alias("_cs"))
     placed = linked.join(found, (linked["_group"] == found["_cg"]) & (linked["_chunk"] == found["_cc"]) & (linked["_first"] == found["_cf"]), "left")
-    key = F.coalesce(F.col("_cs") * 2 + (F.col("_n") > chunk_rows).cast("int"), F.lit(2 * shards))
+    key = F.coalesce(F.col("_cs") * 2 + (F.col("_n") > most).cast("int"), F.lit(2 * shards))
     placed = materialize(placed.select("_id", "size", "text_crc32", key.alias("_key")), "placed")
+    drop_table(found_groups)
     drop_table(linked)
     drop_table(cells)
 
