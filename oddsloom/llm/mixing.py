@@ -2,165 +2,181 @@
 
 Each source gets a target number of words: its share of ``budget`` times all words by weight, no more than ``most``
 times its own words, the excess reshared by weight. Document rates are the base rates (1 by default) exponentially
-tilted, ``min(most, base * exp(lambda_source))``: the tilt that meets the source's word target with the least relative
-entropy. The multipliers solve the convex dual by Newton steps; each step is one aggregate over the documents' cells
-(source, size, base rate). Rates are then rounded to whole copies: cells of a source in order of size share one
-running sum of rates, and a document gets as many copies as whole numbers its rate passes, so that the words taken
-miss the target by about one document; a few single-copy changes of well-chosen sizes close that gap.
-
-No random numbers: reruns agree. Rates are held in billionths, and sums are exact. Sources are ordered by code point,
-null last, and weigh 3, 1, 2, repeating. A source table of up to ``MAX_SOURCES`` rows is held on the driver (checked).
-Documents without words take none and get one copy if their rate reaches it; null texts have no words. Rows with equal
-ids are told apart only by the order in which their copies fall, which yields the same rows.
+tilted by the quantity that is constrained, the document's words: ``min(most, base * exp(lambda_source * words / mean))``.
+Of all rates up to ``most`` that meet the source's word target these have the least entropy relative to the base rates. The
+multipliers solve the convex dual by Newton steps inside a bracket; each step is one aggregate over the documents' cells
+(source, size, base rate) with exact sums, so that reruns agree to the last bit.
+
+Rates, in billionths, are then rounded to whole copies: cells of a source in order of size share one running sum of rates,
+and a document gets as many copies as whole numbers its rate passes, so that the words taken miss the target by about one
+document; ``polish`` rounds of one copy more or less in the cell whose size comes nearest close that gap. What is
+left is ``target`` less ``source_taken``.
+
+Sources are ordered by code point, null last, and weigh 3, 1, 2, repeating. Sources, multipliers and corrections are tables,
+however many there are. Documents without words take none and get the copies of their base rate; null texts have no words.
+Base rates are taken in thousandths. Rows with equal ids are told apart only by the order in which their copies fall, which
+yields the same rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_table, materialize, with_ordinals, word_count
+from .common import drop_table, fresh, materialize, with_ordinals, word_count
 
-MAX_SOURCES = 200_000
 WEIGHTS = (3, 1, 2)
 UNIT = 1_000_000_000
-EACH = 8
-
-
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Word targets of sources given in order: shares by weight, stopped at ``most`` times the size, excess reshared."""
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(sizes)}
-    size = dict(sizes)
-    left, open_, out = budget * sum(size.values()), list(size), {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * size[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        out |= {s: most * size[s] for s in over}
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in out]
-    return out
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base_rate: str | None = None, budget: float = 1.5, most: int = 2, polish: int = 6) -> DataFrame:
-    """``id_col``, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken`` of every document."""
-    spark = docs.sparkSession
-    q = F.coalesce(F.col(base_rate).cast("double"), F.lit(0.0)) if base_rate else F.lit(1.0)
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), word_count(F.col(text_col)).alias("_size"), F.least(F.greatest(q, F.lit(0.0)), F.lit(float(most))).alias("_q"))
-    base = materialize(base, "mix")
-    cells = materialize(base.groupBy("_source", "_size", "_q").agg(F.count(F.lit(1)).alias("_n")), "cells")
-    rows = cells.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_n")).alias("s")).orderBy(F.col("_source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [(r["_source"], r["s"]) for r in rows]
-    target = targets(sizes, budget=budget, most=most)
-    tilt = _solve(cells, dict(sizes), target, most)
-    table = _sources(spark, [(s, n, float(target[s]), tilt[s]) for s, n in sizes], "_s string, source_size long, target double, _tilt double")
-
-    # rates in billionths; a cell starts where the running sum of the smaller cells of its source ends
-    rate = F.least(F.lit(most * UNIT), F.floor(F.col("_q") * F.exp("_tilt") * UNIT + 0.5)).cast("long")
-    rated = cells.join(F.broadcast(table), cells["_source"].eqNullSafe(table["_s"])).withColumn("_rate", rate)
-    before = Window.partitionBy("_source").orderBy("_size", "_q").rowsBetween(Window.unboundedPreceding, -1)
-    run = F.sum(F.col("_n").cast("decimal(38,0)") * F.col("_rate")).over(before)
-    rated = rated.withColumn("_start", F.pmod(F.coalesce(run, F.lit(0).cast("decimal(38,0)")) + UNIT // 2, F.lit(UNIT).cast("decimal(38,0)")).cast("long"))
-    rated = materialize(rated.select("_source", "_size", "_q", "_n", "_rate", "_start", "source_size", "target"), "rates")
-    changes = _polish(spark, rated, most, polish)
-
-    numbered = with_ordinals(base, ["_source", "_size", "_q"], sum(r[1] for r in rated.agg(F.lit(0), F.sum("_n")).collect() if r[1]), "_o", [F.xxhash64("_id"), F.col("_id")], F.col("_id"))
-    keys = [F.col(c).alias(f"{c}2") for c in ("_source", "_size", "_q")]
-    found = rated.select(*keys, "_rate", "_start", "source_size", "target")
-    joined = numbered.join(found, numbered["_source"].eqNullSafe(found["_source2"]) & (numbered["_size"] == found["_size2"]) & (numbered["_q"] == found["_q2"]))
-    changed = spark.createDataFrame(changes, "_cs string, _cz long, _cq double, _co long, _d int")
-    joined = joined.join(F.broadcast(changed), joined["_source"].eqNullSafe(changed["_cs"]) & (joined["_size"] == changed["_cz"]) & (joined["_q"] == changed["_cq"]) & (joined["_o"] == changed["_co"]), "left")
-    copies = _passed(F.col("_o") + 1) - _passed(F.col("_o")) + F.coalesce("_d", F.lit(0))
-    return joined.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", (F.col("_rate") / UNIT).alias("rate"), copies.cast("int").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
-
-
-def _passed(ordinal: F.Column) -> F.Column:
-    """Whole numbers passed after so many documents of the cell."""
-    return F.floor((F.col("_start").cast("decimal(38,0)") + ordinal.cast("decimal(19,0)") * F.col("_rate")) / F.lit(UNIT).cast("decimal(38,0)")).cast("long")
+#: Steps end when every source's words are this near to the target, in proportion; rounding to copies is coarser.
+NEAR = 1e-7
 
 
-def _sources(spark, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", base_rate: str | None = None, budget: float = 1.5, most: int = 2, polish: int = 8) -> DataFrame:
+    """``id_col``, ``size``, ``source_size``, ``target``, ``source_taken``, ``rate``, ``copies``, ``taken`` of every document."""
+    q = F.round(F.coalesce(F.col(base_rate).cast("double"), F.lit(0.0)) * 1000).cast("long") if base_rate else F.lit(1000).cast("long")
+    source = F.col(source_col).cast("string")
+    base = docs.select(
+        F.col(id_col).alias("_id"), F.when(source.isNull(), "z").otherwise(F.concat(F.lit("s"), source)).alias("_key"), word_count(F.col(text_col)).alias("_size"),
+        F.least(F.greatest(q, F.lit(0)), F.lit(most * 1000)).cast("long").alias("_q"))
+    base = materialize(base, "mix")
+    cells = materialize(base.groupBy("_key", "_size", "_q").agg(F.count(F.lit(1)).alias("_n")), "cells")
+    sources = targets(cells, budget, most)
+    tilts = solve(cells, sources, most)
+
+    # a cell starts where the running sum of the smaller cells of its source ends
+    rated = cells.join(tilts, "_key").withColumn("_rate", _rate(most))
+    before = Window.partitionBy("_key").orderBy("_size", "_q").rowsBetween(Window.unboundedPreceding, -1)
+    run = F.coalesce(F.sum(_whole("_n") * F.col("_rate")).over(before), F.lit(0).cast("decimal(38,0)"))
+    rated = rated.withColumn("_start", F.pmod(run + UNIT // 2, F.lit(UNIT).cast("decimal(38,0)")).cast("long"))
+    rated = materialize(rated.select("_key", "_size", "_q", "_n", "_rate", "_start", "source_size", "target"), "rates")
+    fixes, left = _polish(rated, most, polish)
+    found = rated.join(fixes, ["_key", "_size", "_q"], "left").join(left, "_key").withColumn("source_taken", F.col("target") - F.col("_missing"))
+
+    rows = cells.agg(F.sum("_n")).first()[0] or 0
+    numbered = with_ordinals(base, ["_key", "_size", "_q"], rows, "_o", [F.xxhash64("_id"), F.col("_id")], F.col("_id"), more=found.drop("_n", "_missing"))
+    fix = F.when(F.col("_o") == F.col("_fixed"), F.col("_d")).otherwise(0)
+    copies = _passed(F.col("_o") + 1) - _passed(F.col("_o")) + fix
+    return numbered.select(
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.round("source_taken").cast("long").alias("source_taken"), (F.col("_rate") / UNIT).alias("rate"),
+        copies.cast("int").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
+
+
+def targets(cells: DataFrame, budget: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(``_key``, ``source_size``, ``mean``, ``target``) of every source: shares by weight, stopped at ``most`` times the size, excess reshared.
+
+    A share is level times weight; a source stops where that passes its limit, which raises the level of the others. Each
+    round is one aggregate, until the level stands.
+    """
+    sized = cells.groupBy("_key").agg(F.sum(F.col("_size") * F.col("_n")).alias("source_size"), F.sum(F.when(F.col("_size") > 0, F.col("_n"))).alias("_docs"))
+    # ordinals of the sources: range partitions in order, numbered inside and by the counts of those before. "z" (null) sorts after "s..."
+    ranged = materialize(sized.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_m"))
+    first = counts.select(F.col("_part"), F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key")) - 1
+    place = ((F.col("_first") + F.col("_inside")) % len(weights) + 1).cast("int")
+    ordered = ranged.withColumn("_inside", inside).join(first, "_part").withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), place))
+    ordered = materialize(ordered.select("_key", "source_size", "_weight", (F.col("source_size") / F.greatest(F.col("_docs"), F.lit(1))).alias("mean")), "sources")
+    drop_table(ranged)
+
+    limit, level = F.col("source_size") * float(most), 0.0
+    while True:
+        stopped = limit < F.col("_weight") * level
+        words, used, weight = ordered.agg(F.sum("source_size"), F.sum(F.when(stopped, F.col("source_size"))), F.sum(F.when(~stopped, F.col("_weight")))).first()
+        if not weight:
+            break
+        now = (budget * words - float(most) * (used or 0)) / weight
+        if now <= level:
+            break
+        level = now
+    return ordered.select("_key", "source_size", "mean", F.least(limit, F.col("_weight") * level).alias("target"))
 
 
-def _solve(cells: DataFrame, size: dict, target: dict, most: int, steps: int = 50) -> dict:
-    """Newton on the dual of the word constraints, all sources at once; each step is one aggregate over the cells."""
-    spark, tilt = cells.sparkSession, dict.fromkeys(size, 0.0)
-    flat = cells.groupBy("_source", "_q").agg(F.sum(F.col("_size") * F.col("_n")).alias("_words"))
-    flat = materialize(flat, "words")
+def solve(cells: DataFrame, sources: DataFrame, most: int, steps: int = 80) -> DataFrame:
+    """``sources`` with ``_tilt``: Newton on the dual of the word constraints, all sources at once.
+
+    A step is one aggregate over the cells and gives each source's words at its present multiplier and their derivative. A
+    Newton step that leaves the bracket of multipliers known to be too low and too high is replaced by its middle. A source
+    whose target is all it can give takes ``most`` of everything (multiplier infinite), one whose target is nothing gives none.
+    """
+    weight = _whole(F.col("_n") * F.col("_size"))
+    able = cells.where("_q > 0").groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("_able"))
+    now = sources.join(able, "_key", "left").withColumn("_reach", F.coalesce("_able", F.lit(0)) * float(most))
+    infinite = F.lit(float("inf"))
+    start = F.when(F.col("target") <= 0, -infinite).when(F.col("target") >= F.col("_reach"), infinite).otherwise(0.0)
+    now = materialize(now.select(*sources.columns, start.alias("_tilt"), (-infinite).alias("_lo"), infinite.alias("_hi"), (F.abs(start) == infinite).alias("_done")), "tilt")
     for _ in range(steps):
-        table = _sources(spark, list(tilt.items()), "_s string, _tilt double")
-        free = F.col("_q") * F.exp("_tilt")
-        got = flat.join(F.broadcast(table), flat["_source"].eqNullSafe(table["_s"])).groupBy("_source").agg(
-            F.sum(F.col("_words") * F.least(free, F.lit(float(most)))).alias("g"), F.sum(F.when(free < most, F.col("_words") * free)).alias("h"))
-        worst = 0.0
-        for s, g, h in got.collect():
-            gap = target[s] - (g or 0.0)
-            if target[s] > 0 and h:
-                worst = max(worst, abs(gap) / target[s])
-                tilt[s] = round(max(-30.0, min(30.0, tilt[s] + max(-2.0, min(2.0, gap / h)))), 12)
-        if worst < 1e-10:
+        open_ = now.where("not _done")
+        if open_.isEmpty():
             break
-    drop_table(flat)
-    return {s: x if target[s] > 0 else -30.0 for s, x in tilt.items()}
+        rate = _rate(most)
+        free = F.when(rate < most * UNIT, weight * _whole("_size") * rate)
+        got = cells.where("_size > 0").join(open_.select("_key", "mean", "_tilt"), "_key").groupBy("_key").agg(
+            (F.sum(weight * rate).cast("double") / UNIT).alias("_g"), (F.sum(free).cast("double") / UNIT / F.first("mean")).alias("_h"))
+        gap = F.col("target") - F.col("_g")
+        lo = F.when(gap > 0, F.col("_tilt")).otherwise(F.col("_lo"))
+        hi = F.when(gap < 0, F.col("_tilt")).otherwise(F.col("_hi"))
+        # as long as one side is open, a step at most doubles the multiplier or moves it by 1
+        reach = F.greatest(F.lit(1.0), F.abs("_tilt"))
+        newton = F.col("_tilt") + F.greatest(-reach, F.least(reach, F.when(F.col("_h") > 0, gap / F.col("_h")).otherwise(F.signum(gap) * reach)))
+        moved = now.join(got, "_key", "left").withColumn("_l", lo).withColumn("_u", hi).withColumn("_near", F.abs(gap) <= NEAR * F.col("target")).withColumn("_new", newton)
+        inside = (F.col("_new") > F.col("_l")) & (F.col("_new") < F.col("_u"))
+        done = F.col("_done") | F.coalesce("_near", F.lit(True)) | (F.col("_u") - F.col("_l") <= 1e-14)
+        tilt = F.when(done, F.col("_tilt")).when(inside, F.col("_new")).otherwise((F.col("_l") + F.col("_u")) / 2)
+        after = materialize(moved.select(*sources.columns, tilt.alias("_tilt"), F.col("_l").alias("_lo"), F.col("_u").alias("_hi"), done.alias("_done")), "tilt")
+        drop_table(now)
+        now = after
+    return now.select(*sources.columns, "_tilt")
+
+
+def _rate(most: int) -> Column:
+    """A document's rate in billionths at multiplier ``_tilt``."""
+    tilted = F.when(F.col("_size") > 0, F.least(F.col("_q") / 1000 * F.exp(F.col("_tilt") * F.col("_size") / F.col("mean")), F.lit(float(most)))).otherwise(F.col("_q") / 1000)
+    return F.when(F.col("_q") == 0, 0).otherwise(F.floor(tilted * UNIT + 0.5)).cast("long")
+
+
+def _whole(x: str | Column) -> Column:
+    return (F.col(x) if isinstance(x, str) else x).cast("decimal(19,0)")
+
+
+def _passed(ordinal: Column) -> Column:
+    """Whole numbers passed after so many documents of the cell."""
+    return F.floor((_whole("_start").cast("decimal(38,0)") + _whole(ordinal) * F.col("_rate")) / F.lit(UNIT).cast("decimal(38,0)")).cast("long")
 
 
-def _polish(spark, rated: DataFrame, most: int, rounds: int) -> list[tuple]:
-    """Single-copy changes (source, size, base rate, ordinal, +1 or -1) that bring each source's words to its target.
+def _polish(rated: DataFrame, most: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Single-copy corrections (``_key``, ``_size``, ``_q``, ``_fixed`` ordinal, ``_d`` +1 or -1) and each source's ``_missing`` words after them.
 
-    A round takes, for each source, the cell whose size, up to ``EACH`` times, comes nearest to what is missing. At most
-    ``rounds * EACH`` changes a source; the cells stay distributed, only the chosen one of each source comes to the driver.
+    A round takes, for each source, the unused cell whose size comes nearest to what is missing.
     """
-    whole = _passed(F.col("_n"))
-    got = rated.groupBy("_source").agg(F.first("target").alias("t"), F.sum((whole - _passed(F.lit(0))) * F.col("_size")).alias("g")).collect()
-    missing = {s: t - (g or 0) for s, t, g in got}
-    changes: list[tuple] = []
-    used: set[tuple] = set()
+    keys = ["_key", "_size", "_q"]
+    taken = F.sum(_whole(_passed(F.col("_n")) - _passed(F.lit(0))) * F.col("_size")).cast("double")
+    left = materialize(rated.groupBy("_key").agg((F.first("target") - taken).alias("_missing")), "missing")
+    up = F.col("_missing") > 0
+    # the first document of a cell with a copy to give (rates below 1) or to get (rates from 1 on, where some have 2)
+    part, gap = F.col("_rate") % UNIT, UNIT - F.col("_rate") % UNIT
+    gets = F.when(F.col("_rate") < UNIT, 0).when(F.col("_rate") < most * UNIT, F.when(part == 0, 0).otherwise(F.floor(F.col("_start") / gap)))
+    gives = F.when(F.col("_rate") >= UNIT, 0).when(F.col("_rate") > 0, F.ceil((UNIT - F.col("_start")) / F.col("_rate")) - 1)
+    ordinal = F.when(up, gets).otherwise(gives).cast("long")
+    still = F.abs(F.abs("_missing") - F.col("_size"))
+    fixes = rated.limit(0).select(*keys, F.lit(0).cast("long").alias("_fixed"), F.lit(0).alias("_d"))
     for _ in range(rounds):
-        table = _sources(spark, [(s, float(x)) for s, x in missing.items()], "_s string, _missing double")
-        cell = rated.where("_size > 0").join(F.broadcast(table), rated["_source"].eqNullSafe(table["_s"]))
-        sign = F.when(F.col("_missing") > 0, 1).otherwise(-1)
-        # a cell can give up copies if its rate is above zero, and take them if it is below the most; each is used once
-        able = F.when(sign > 0, F.col("_rate") < most * UNIT).otherwise(F.col("_rate") > 0)
-        fresh = ~F.concat_ws("|", F.coalesce("_source", F.lit("\0")), "_size", "_q").isin([f"{'\0' if s is None else s}|{z}|{qq}" for s, z, qq in used] or ["\0none"])
-        times = F.least(F.greatest(F.floor(F.abs("_missing") / F.col("_size")), F.lit(1)), F.col("_n"), F.lit(EACH)).cast("int")
-        left = F.abs(F.abs("_missing") - F.col("_size") * times)
-        best = cell.where(able & fresh & (left < F.abs("_missing"))).groupBy("_source").agg(F.min(F.struct(left.alias("left"), "_size", "_q", "_n", "_rate", "_start", sign.alias("sign"), times.alias("times"))).alias("b")).collect()
-        for s, b in best:
-            if (s, b["_size"], b["_q"]) in used:
-                continue
-            used.add((s, b["_size"], b["_q"]))
-            for ordinal in _who(b["_n"], b["_rate"], b["_start"], b["sign"], most, b["times"]):
-                changes.append((s, b["_size"], b["_q"], ordinal, b["sign"]))
-                missing[s] -= b["sign"] * b["_size"]
-        if not best:
+        able = rated.where("_size > 0").join(fixes, keys, "left_anti").join(left, "_key").withColumn("_o", ordinal)
+        able = able.where((F.col("_o") < F.col("_n")) & (still < F.abs("_missing")))
+        best = able.groupBy("_key").agg(F.min(F.struct(still.alias("still"), "_size", "_q", "_o", F.when(up, 1).otherwise(-1).alias("_d"))).alias("_b"))
+        picked = materialize(best.select("_key", F.col("_b._size").alias("_size"), F.col("_b._q").alias("_q"), F.col("_b._o").alias("_fixed"), F.col("_b._d").alias("_d")), "fixes")
+        if picked.isEmpty():
             break
-    return changes
-
-
-def _who(n: int, rate: int, start: int, sign: int, most: int, times: int) -> list[int]:
-    """The first documents of a cell that can take (or give up) a copy."""
-    out: list[int] = []
-    for i in range(min(n, 1_000_000)):
-        copies = (start + (i + 1) * rate) // UNIT - (start + i * rate) // UNIT
-        if (copies < most) if sign > 0 else (copies > 0):
-            out.append(i)
-            if len(out) == times:
-                break
-        elif rate % UNIT == 0:
-            break  # all have as many
-    return out
+        after = left.join(picked.select("_key", "_size", "_d"), "_key", "left").select("_key", (F.col("_missing") - F.coalesce(F.col("_size") * F.col("_d"), F.lit(0))).alias("_missing"))
+        left, fixes = materialize(after, "missing"), fixes.union(picked)
+    return fixes, left
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents, each as often as the mix takes it; columns stay as they are."""
-    found = mix(docs, id_col, text_col, source_col)
-    copies = found.groupBy(F.col(id_col).alias("_mid")).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_r"))
-    joined = docs.join(copies.where("_c > 0"), docs[id_col].eqNullSafe(copies["_mid"]))
-    # rows that share an id take the copies of their id together, evenly
-    times = F.greatest(F.ceil(F.col("_c") / F.col("_r")), F.lit(0)).cast("int")
-    return joined.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])
+    """The documents, each as often as the mix takes it; columns stay as they are. Rows that share an id take the copies of
+    their id together, evenly."""
+    one = fresh(docs, "copy")
+    found = mix(docs, id_col, text_col, source_col).groupBy(id_col).agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("r"))
+    copies = found.where("c > 0").select(F.col(id_col).alias("id"), F.sequence(F.lit(1), F.ceil(F.col("c") / F.col("r")).cast("int")).alias("times"))
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["id"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(copies["times"]).alias(one)).drop(one)
