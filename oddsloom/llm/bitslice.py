@@ -9,8 +9,9 @@ scores are exact inner products.
 
 Work is dealt out in units (row block, query group). Queries are streamed past a unit's index, so a task holds one
 block and a batch of queries, and keeps k rows a query. Vectors that are null, or hold null or non-finite components,
-take no part; shorter vectors count as padded with zeros. A query id that repeats is asked once; candidates that repeat
-count each.
+take no part; shorter vectors count as padded with zeros. A query is a row: rows that share an id are asked each, all rows but
+the asked one are its candidates, and each has its own ranks 1 to k. Equal rows get equal answers, as often as they come.
+Scores are 64-bit: if the largest component could make one pass that, ``ValueError`` is raised before any work.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,11 +85,13 @@ class BitSlicedIndex:
         return out
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best rows, the query's own id left out; ties to smaller ids."""
+        """Ids and exact scores of the k best rows, the query's own row left out; ties to smaller ids."""
         sure, even = np.zeros_like(self.every), self.every.copy()
         a, b = np.searchsorted(self.ids, query_id, "left"), np.searchsorted(self.ids, query_id, "right")
         for i in range(int(a), int(b)):
-            even[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))
+            if (self.values[i] == query).all():  # equal rows are alike: one of them is the query
+                even[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))
+                break
         have = 0
         for s in reversed(self.score_slices(query)):
             ones = even & s
@@ -125,18 +128,21 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
     return words[row] * 64 + bit
 
 
-def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", *more: Column) -> DataFrame:
     """(id, v): whole-number vectors of the rows that take part."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     own = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).alias("id"), own.alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).alias("id"), own.alias("v"), *more)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's k best rows; queries are the ids divisible by ``every``."""
     spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vector_col)
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    largest = F.array_max(F.transform(vector_col, lambda x: F.abs(x.cast("double"))))
+    n, width, reach = quantised(vectors, scale, id_col, vector_col, largest.alias("reach")).agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("reach")).first()
+    if (scale * (reach or 0.0) + 1) ** 2 * (width or 0) >= 2**63:
+        raise ValueError(f"components up to {reach} make scores that pass 64 bits")
     blocks = max(1, math.ceil(n / block_rows))
     groups = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / blocks))
     width = max(1, width or 1)
@@ -144,9 +150,12 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
     block = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks))
     group = F.pmod(F.xxhash64(F.lit("group"), "id"), F.lit(groups))
     units = lambda b, g: (b * groups + g).cast("int")
-    index = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(units(block, F.col("_g")).alias("unit"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(F.col("id") % every == 0).dropDuplicates(["id"]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.select(units(F.col("_b"), group).alias("unit"), F.lit(1).alias("kind"), "id", "v")
+    index = rows.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(
+        units(block, F.col("_g")).alias("unit"), F.lit(0).alias("kind"), "id", "v", F.lit(0).alias("nth"), F.lit(0).cast("long").alias("times"))
+    # the different rows of an asked id are told apart by the order of their vectors; equal ones are asked once, their answers repeated
+    asked = rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times"))
+    asked = asked.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("v"))).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.select(units(F.col("_b"), group).alias("unit"), F.lit(1).alias("kind"), "id", "v", "nth", "times")
     dealt = index.unionByName(asked).repartition(blocks * groups, "unit").sortWithinPartitions("unit", "kind", "id")
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -178,11 +187,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
                 if built is None:
                     built = BitSlicedIndex(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 found = [(q, *built.top(q, v, k)) for q, v in zip(ids.tolist(), values, strict=True)]
-                n = [len(x[1]) for x in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))],
-                    names=["query_id", "vec_id", "score"])
-
-    best = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                row = pa.array(np.repeat(np.arange(len(ids)), [len(x[1]) for x in found]))
+                own = [part.column(c).take(row) for c in (2, 4, 5)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], names=["query_id", "nth", "times", "vec_id", "score"])
+
+    best = dealt.mapInArrow(search, "query_id long, nth int, times long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "nth").orderBy(F.col("score").desc(), "vec_id"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("query_id", "rank", "vec_id", "score")
