@@ -54,12 +54,29 @@ def test_bpe_equals_library(docs, empty):
 def test_bpe_forgets_and_stays_right(monkeypatch):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(bpe, "MAX_KEPT", 10)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 10)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 5)
     enc, lib = bpe.TrieEncoder(WORD_BPE()), Tokenizer.from_file(WORD_BPE())
     for t in TEXTS[1:]:
         assert enc.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_bpe_long_texts_and_words(monkeypatch):
+    """Texts beyond a portion, words beyond the walk's window: the same ids, with special tokens between."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PORTION", 50)
+    monkeypatch.setattr(bpe, "LONG", 40)
+    rng = random.Random(4)
+    lib, enc = Tokenizer.from_file(WORD_BPE()), bpe.TrieEncoder(WORD_BPE())
+    texts = ["".join(rng.choice("etaoin shrdlu") for _ in range(400)) + "<|endoftext|>the end", "".join(rng.choice("etaoinshrdlu") for _ in range(700)), "x" * 500, "a b", ""]
+    ids, ends = enc.encode_column(pa.array(texts))
+    said = enc.decode_column(ids, ends).to_pylist()
+    for t, a, b, s in zip(texts, ends, ends[1:], said):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert ids[a:b].tolist() == want and s == lib.decode(want, skip_special_tokens=False)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_any_text(text):
@@ -105,11 +122,61 @@ def test_sharding_keeps_groups_and_splits_a_hot_one(spark):
     assert {(r.doc_id, r.shard) for r in rows} == {(r.doc_id, r.shard) for r in again}
 
 
-def test_mix_targets():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == {"a": 200, "b": 250 / 3, None: 500 / 3}
-    t = mixing.targets([("a", 10), ("b", 0), ("c", 1000)])
-    assert t["a"] == 20 and t["b"] == 0 and abs(sum(t.values()) - 1515) < 1e-9
-    assert mixing.targets([]) == {}
+def brute_targets(sizes, weights=(3, 1, 2), budget=1.5, most=2.0):
+    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(sizes)}
+    size = dict(sizes)
+    left, open_, out = budget * sum(size.values()), list(size), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * size[s]]
+        if not over:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: most * size[s] for s in over}
+        left -= sum(out[s] for s in over)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_mix_targets(spark):
+    assert brute_targets([("a", 100), ("b", 100), (None, 100)]) == {"a": 200, "b": 250 / 3, None: 500 / 3}
+    rng = random.Random(8)
+    for n in (1, 2, 5, 300):
+        sizes = [(f"s{i:03}", rng.choice([0, 1, 7, 100, 5000])) for i in range(n)] + [("z", 40)]
+        cells = spark.createDataFrame([(s, z, 1) for s, z in sizes], "_key string, _size long, _n long")
+        got = {r["_key"]: r.target for r in mixing.targets(cells).collect()}
+        want = brute_targets(sizes)
+        assert set(got) == set(want) and all(abs(got[s] - t) <= 1e-6 * (1 + t) for s, t in want.items())
+
+
+def brute_tilt(sizes, target, most=2.0):
+    """Multiplier of the least relative entropy: bisection on the sum of capped, tilted rates."""
+    mean = sum(sizes) / sum(z > 0 for z in sizes)
+    lo, hi = -60.0, 60.0 * mean
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        if sum(z * min(most, np.exp(min(700, mid * z / mean))) for z in sizes if z) < target:
+            lo = mid
+        else:
+            hi = mid
+    return {z: min(most, np.exp(min(700, lo * z / mean))) for z in sizes}
+
+
+def test_mix_rates_equal_a_reference_solver(spark):
+    rng = random.Random(11)
+    texts = [(i, " ".join(["w"] * rng.choice([1, 2, 5, 9, 30, 400])), f"s{i % 4}") for i in range(400)]
+    rows = mixing.mix(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+    for s in range(4):
+        own = [r for r in rows if r.doc_id % 4 == s]
+        want = brute_tilt([r["size"] for r in own], own[0].target)
+        assert all(abs(r.rate - want[r["size"]]) < 1e-5 for r in own)
+        assert sum(r.taken for r in own) == own[0].source_taken
+    assert len({round(r.rate, 4) for r in rows}) > 8  # longer documents are tilted more
+
+
+def test_mix_of_many_sources(spark):
+    texts = [(i, "w " * (1 + i % 13), f"s{i % 500:03}") for i in range(3000)]
+    rows = mixing.mix(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+    assert len(rows) == 3000 and all(0 <= r.taken <= 2 * r["size"] for r in rows)
 
 
 def test_mix(spark, empty):
@@ -144,8 +211,11 @@ def test_mix_with_base_rates(spark):
         own = [r for r in rows if r.doc_id % 2 == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= 0.01 * own[0].target
         assert all(r.rate <= 2 for r in own)
-    low = {r.doc_id % 5: r.rate for r in rows if r.doc_id % 2 and r.rate < 1.99}
-    assert len({round(x / (0.2 + k / 5), 6) for k, x in low.items()}) == 1 and len(low) > 2  # tilted by one factor
+    factors = defaultdict(set)
+    for r in rows:
+        if r.doc_id % 2 and r.rate < 1.99:
+            factors[r["size"]].add(round(r.rate / (0.2 + r.doc_id % 5 / 5), 6))
+    assert all(len(f) == 1 for f in factors.values()) and len(factors) > 2  # tilted by one factor for each size
 
 
 def brute_top(vectors, every, k):
@@ -176,6 +246,21 @@ def test_top_k_small(spark):
     assert bitslice.top_k(none).count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """A query is a row: those of one id are asked each, and the others of the id are candidates; the order of rows is nothing."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [0.0, 2.0]), (1, [3.0, 0.0]), (2, [0.0, 1.0]), (3, None)]
+    want = []
+    for n, (i, v) in enumerate(rows):
+        if i == 50:
+            scores = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), j) for m, (j, w) in enumerate(rows) if m != n and w)
+            want += [(50, k + 1, j, -s) for k, (s, j) in enumerate(scores[:5])]
+    for order in (rows, rows[::-1]):
+        got = bitslice.top_k(spark.createDataFrame(order, "vec_id long, embedding array<float>"), 50, 5, block_rows=2)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    with pytest.raises(ValueError, match="64 bits"):
+        bitslice.top_k(spark.createDataFrame([(0, [1e18])], "vec_id long, embedding array<float>"))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(-5000, 5000))
 def test_signed_digits(q):
@@ -280,17 +365,72 @@ def brute_components(fps):
     return {i: find(i) for i in ids}
 
 
+def brute_words(text):
+    return tuple((text or "").encode().lower().split())
+
+
+def brute_near_texts(rows, k=5, similar=0.8):
+    """Smallest id of each row's component: fingerprints of five-word shingles within 3 bits, or Jaccard similarity of the sets."""
+    fps = {i: brute_fingerprint(t, k) for i, t in rows}
+    words = {i: brute_words(t) for i, t in rows}
+    sets = {i: {w[n : n + k] for n in range(len(w) - k + 1)} if len(w) >= k else {w} if w else set() for i, w in words.items()}
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            common = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 3 or (common and common >= similar * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
 def test_simhash(docs, empty):
     fps = {i: brute_fingerprint(t) for i, t in enumerate(TEXTS)}
     want = brute_components(fps)
     for r in simhash.near_duplicates(docs).collect():
         assert r.fp % 2**64 == fps[r.doc_id] and r.component_id == want[r.doc_id]
     assert simhash.near_duplicates(empty).count() == 0
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert kept == set(want.values())
-
-
-def test_simhash_chains_and_crowds(spark):
+    shared = brute_near_texts(list(enumerate(TEXTS)))
+    assert {r.node: r.component_id for r in simhash.near_texts(docs).collect()} == {i: shared[i] for i in {min(j for j, t in enumerate(TEXTS) if brute_words(t) == brute_words(u)) for u in TEXTS}}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(shared.values())
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(empty).count() == 0
+
+
+def test_near_texts_of_crowds(spark, monkeypatch):
+    """Near copies in crowds, chains of near copies whose ends are far apart, and texts that share much but too little."""
+    monkeypatch.setattr(simhash, "SET_BYTES", 20_000)
+    monkeypatch.setattr(simhash, "ANCHOR_ROWS", 8)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = []
+    for _ in range(60):  # a crowd around one text
+        own = list(base)
+        own[rng.randrange(120)] = word()
+        texts.append(own)
+    chain = [word() for _ in range(100)]
+    for _ in range(15):
+        chain = [*chain[6:], *[word() for _ in range(6)]]
+        texts.append(chain)
+    half = [word() for _ in range(75)]
+    texts += [[*half, *[word() for _ in range(rng.choice([12, 16, 20, 30]))]] for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(200 + i, rows[0][1].upper()) for i in range(30)] + [(300, None), (301, "")]
+    want = brute_near_texts(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.node: r.component_id for r in simhash.near_texts(df).collect()}
+    assert got == {i: want[i] for i in got} and len(set(got.values())) == len(set(want.values())) < len(texts)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(want.values())
+
+
+def test_simhash_chains_and_crowds(spark, monkeypatch):
     """A chain of links whose ends are far apart, and a crowd of near fingerprints at one anchor."""
     rng = random.Random(3)
     base = rng.getrandbits(64)
@@ -304,6 +444,8 @@ def test_simhash_chains_and_crowds(spark):
     df = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in fps.items()], "id long, fp long")
     links = simhash.linked(df)
     assert links.count() < len(fps) * 6
+    monkeypatch.setattr(simhash, "ANCHOR_ROWS", 20)  # the crowd's anchors are compared in pieces
+    links = simhash.linked(df)
     roots = {r.node: r.root for r in simhash.components(links).collect()}
     want = brute_components(fps)
     signed = {i: f - 2**64 if f >= 2**63 else f for i, f in fps.items()}
@@ -428,6 +570,49 @@ def test_quality_edges(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_columns_that_clash(spark, docs):
+    """Columns named like those the operators use inside; also a repeated id."""
+    labels = spark.createDataFrame([(i, i % 3 > 0, 0) for i in range(len(TEXTS))], "doc_id long, quality boolean, toxic int").withColumn("quality", F.col("quality").cast("int"))
+    names = ("_p", "_u", "p", "u", "x", "_id", "_c", "_r", "_times", "c", "r", "id", "times", "copy", "_copy", "_kept", "node", "component_id", "_quality_score", "keep", "_key", "words", "fp", "n")
+    other = docs
+    for n in names:
+        other = other.withColumn(n, F.lit("clash"))
+    assert quality.classify(other, labels).count() == len(TEXTS) + 1
+    for step in (lambda d: quality.keep_good(d, labels), simhash.keep_one, secret_scan.redact_documents, mixing.mixed_documents):
+        plain, clashing = step(docs), step(other)
+        assert clashing.columns == other.columns
+        assert sorted(str(r.doc_id) for r in clashing.collect()) == sorted(str(r.doc_id) for r in plain.collect())
+    assert bpe.encode_documents(other, WORD_BPE()).count() == len(TEXTS) + 1
+
+
+def test_quality_fit_equals_brute_force(spark):
+    """The weights minimise the unbiased risk written out over all texts."""
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice(["the", "cat", "sat", "on", "mat"]) for _ in range(30))
+    bad = lambda: " ".join(rng.choice(["BUY!!", "now!!", "$$$", "the"]) for _ in range(30))
+    texts = [(i, good() if i % 3 else bad()) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 240, 2)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x = np.hstack([model.squash(np.stack([quality.features(t) for _, t in texts])), np.ones((240, 1))])
+    trusted = [i for i in range(0, 240, 2) if i % 3 and zlib.crc32(str(i).encode()) % 5]
+    mean_score = model.score(np.stack([quality.features(t) for _, t in texts])).mean()
+    assert abs(mean_score - model.prior) < 0.01
+    w = np.append(model.weights, model.bias - model.shift)
+
+    def parts(w):
+        z = x @ w
+        part = np.logaddexp(0, z).mean() - model.prior * np.logaddexp(0, z[trusted]).mean()
+        return part + model.prior * np.logaddexp(0, -z[trusted]).mean() + quality.RIDGE / 2 * (w[:-1] ** 2).sum(), part
+
+    best, part = parts(w)
+    assert part >= -quality.EDGE and best < parts(np.append(np.zeros(quality.SIZE), model.bias))[0] / 4
+    rng = np.random.default_rng(1)
+    for _ in range(200):  # no small move betters the risk by more than the steps' tolerance
+        risk, part = parts(w + rng.normal(0, 0.01, len(w)))
+        assert part < -quality.EDGE or risk > best - 2e-3
+
+
 def test_quality_ignores_everything_but_text(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = quality.train(docs, labels)

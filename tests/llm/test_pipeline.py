@@ -6,7 +6,7 @@ import corpus_pipeline
 from oddsloom.llm import common, mixing, quality, secret_scan
 from oddsloom.llm.queries import WORD_BPE
 
-from .test_operators import brute_components, brute_fingerprint, brute_spans
+from .test_operators import brute_near_texts, brute_spans
 
 
 def test_run_equals_brute_force(spark, sf):
@@ -15,7 +15,7 @@ def test_run_equals_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     rows = [r for r in docs.collect() if float(model.score(quality.features(r.text)[None])[0]) >= 0.3]
-    roots = brute_components({r.doc_id: brute_fingerprint(r.text) for r in rows})
+    roots = brute_near_texts([(r.doc_id, r.text) for r in rows])
     rows = [r for r in rows if roots[r.doc_id] == r.doc_id]
     clean = [(r.doc_id, secret_scan._cut(r.text, brute_spans(r.text), "[SECRET]"), r.lang, r.source, r.n_chars) for r in rows]
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(clean, docs.schema)).collect()}
