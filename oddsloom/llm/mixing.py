@@ -12,7 +12,7 @@ and a document gets as many copies as whole numbers its rate passes, so that the
 document; ``polish`` rounds of one copy more or less in the cell whose size comes nearest close that gap. What is
 left is ``target`` less ``source_taken``.
 
-Sources are ordered by code point, null last, and weigh 3, 1, 2, repeating. Sources, multipliers and corrections are tables,
+Sources are ordered by code point, null last, and weigh 3, 1, 2, repeating. Sources and multipliers are tables,
 however many there are. Documents without words take none and get the copies of their base rate; null texts have no words.
 Base rates are taken in thousandths. Rows with equal ids are told apart only by the order in which their copies fall, which
 yields the same rows.
@@ -20,7 +20,9 @@ yields the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,16 +51,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("_key").orderBy("_size", "_q").rowsBetween(Window.unboundedPreceding, -1)
     run = F.coalesce(F.sum(_whole("_n") * F.col("_rate")).over(before), F.lit(0).cast("decimal(38,0)"))
     rated = rated.withColumn("_start", F.pmod(run + UNIT // 2, F.lit(UNIT).cast("decimal(38,0)")).cast("long"))
-    rated = materialize(rated.select("_key", "_size", "_q", "_n", "_rate", "_start", "source_size", "target"), "rates")
-    fixes, left = _polish(rated, most, polish)
-    found = rated.join(fixes, ["_key", "_size", "_q"], "left").join(left, "_key").withColumn("source_taken", F.col("target") - F.col("_missing"))
+    rated = rated.withColumn("_copies", _passed(F.col("_n")) - _passed(F.lit(0))).select("_key", "_size", "_q", "_n", "_rate", "_start", "_copies", "source_size", "target")
+    found = rated.groupBy("_key").applyInPandas(polisher(most, polish), "_key string, _size long, _q long, _rate long, _start long, source_size long, target double, source_taken long, _fixed long, _d int")
 
     rows = cells.agg(F.sum("_n")).first()[0] or 0
-    numbered = with_ordinals(base, ["_key", "_size", "_q"], rows, "_o", [F.xxhash64("_id"), F.col("_id")], F.col("_id"), more=found.drop("_n", "_missing"))
+    numbered = with_ordinals(base, ["_key", "_size", "_q"], rows, "_o", [F.xxhash64("_id"), F.col("_id")], F.col("_id"), more=found)
     fix = F.when(F.col("_o") == F.col("_fixed"), F.col("_d")).otherwise(0)
     copies = _passed(F.col("_o") + 1) - _passed(F.col("_o")) + fix
     return numbered.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", F.round("source_taken").cast("long").alias("source_taken"), (F.col("_rate") / UNIT).alias("rate"),
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", "target", "source_taken", (F.col("_rate") / UNIT).alias("rate"),
         copies.cast("int").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
 
 
@@ -104,11 +105,13 @@ def solve(cells: DataFrame, sources: DataFrame, most: int, steps: int = 80) -> D
     now = sources.join(able, "_key", "left").withColumn("_reach", F.coalesce("_able", F.lit(0)) * float(most))
     infinite = F.lit(float("inf"))
     start = F.when(F.col("target") <= 0, -infinite).when(F.col("target") >= F.col("_reach"), infinite).otherwise(0.0)
-    now = materialize(now.select(*sources.columns, start.alias("_tilt"), (-infinite).alias("_lo"), infinite.alias("_hi"), (F.abs(start) == infinite).alias("_done")), "tilt")
+    watch = Observation()
+    left = F.sum((~F.col("_done")).cast("long")).alias("left")
+    now = materialize(now.select(*sources.columns, start.alias("_tilt"), (-infinite).alias("_lo"), infinite.alias("_hi"), (F.abs(start) == infinite).alias("_done")).observe(watch, left), "tilt")
     for _ in range(steps):
-        open_ = now.where("not _done")
-        if open_.isEmpty():
+        if not watch.get.get("left"):
             break
+        open_, watch = now.where("not _done"), Observation()
         rate = _rate(most)
         free = F.when(rate < most * UNIT, weight * _whole("_size") * rate)
         got = cells.where("_size > 0").join(open_.select("_key", "mean", "_tilt"), "_key").groupBy("_key").agg(
@@ -123,7 +126,7 @@ def solve(cells: DataFrame, sources: DataFrame, most: int, steps: int = 80) -> D
         inside = (F.col("_new") > F.col("_l")) & (F.col("_new") < F.col("_u"))
         done = F.col("_done") | F.coalesce("_near", F.lit(True)) | (F.col("_u") - F.col("_l") <= 1e-14)
         tilt = F.when(done, F.col("_tilt")).when(inside, F.col("_new")).otherwise((F.col("_l") + F.col("_u")) / 2)
-        after = materialize(moved.select(*sources.columns, tilt.alias("_tilt"), F.col("_l").alias("_lo"), F.col("_u").alias("_hi"), done.alias("_done")), "tilt")
+        after = materialize(moved.select(*sources.columns, tilt.alias("_tilt"), F.col("_l").alias("_lo"), F.col("_u").alias("_hi"), done.alias("_done")).observe(watch, left), "tilt")
         drop_table(now)
         now = after
     return now.select(*sources.columns, "_tilt")
@@ -144,32 +147,35 @@ def _passed(ordinal: Column) -> Column:
     return F.floor((_whole("_start").cast("decimal(38,0)") + _whole(ordinal) * F.col("_rate")) / F.lit(UNIT).cast("decimal(38,0)")).cast("long")
 
 
-def _polish(rated: DataFrame, most: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Single-copy corrections (``_key``, ``_size``, ``_q``, ``_fixed`` ordinal, ``_d`` +1 or -1) and each source's ``_missing`` words after them.
+def polisher(most: int, rounds: int):
+    """Adds to a source's cells the single-copy corrections ``_d`` (+1 or -1) of their documents ``_fixed``, and ``source_taken``.
 
-    A round takes, for each source, the unused cell whose size comes nearest to what is missing.
+    A round takes the unused cell whose size comes nearest to what is missing. A source has at most as many cells as its
+    documents have sizes and base rates: k sizes take k * k / 2 words, so the cells of one source are few beside its documents.
     """
-    keys = ["_key", "_size", "_q"]
-    taken = F.sum(_whole(_passed(F.col("_n")) - _passed(F.lit(0))) * F.col("_size")).cast("double")
-    left = materialize(rated.groupBy("_key").agg((F.first("target") - taken).alias("_missing")), "missing")
-    up = F.col("_missing") > 0
-    # the first document of a cell with a copy to give (rates below 1) or to get (rates from 1 on, where some have 2)
-    part, gap = F.col("_rate") % UNIT, UNIT - F.col("_rate") % UNIT
-    gets = F.when(F.col("_rate") < UNIT, 0).when(F.col("_rate") < most * UNIT, F.when(part == 0, 0).otherwise(F.floor(F.col("_start") / gap)))
-    gives = F.when(F.col("_rate") >= UNIT, 0).when(F.col("_rate") > 0, F.ceil((UNIT - F.col("_start")) / F.col("_rate")) - 1)
-    ordinal = F.when(up, gets).otherwise(gives).cast("long")
-    still = F.abs(F.abs("_missing") - F.col("_size"))
-    fixes = rated.limit(0).select(*keys, F.lit(0).cast("long").alias("_fixed"), F.lit(0).alias("_d"))
-    for _ in range(rounds):
-        able = rated.where("_size > 0").join(fixes, keys, "left_anti").join(left, "_key").withColumn("_o", ordinal)
-        able = able.where((F.col("_o") < F.col("_n")) & (still < F.abs("_missing")))
-        best = able.groupBy("_key").agg(F.min(F.struct(still.alias("still"), "_size", "_q", "_o", F.when(up, 1).otherwise(-1).alias("_d"))).alias("_b"))
-        picked = materialize(best.select("_key", F.col("_b._size").alias("_size"), F.col("_b._q").alias("_q"), F.col("_b._o").alias("_fixed"), F.col("_b._d").alias("_d")), "fixes")
-        if picked.isEmpty():
-            break
-        after = left.join(picked.select("_key", "_size", "_d"), "_key", "left").select("_key", (F.col("_missing") - F.coalesce(F.col("_size") * F.col("_d"), F.lit(0))).alias("_missing"))
-        left, fixes = materialize(after, "missing"), fixes.union(picked)
-    return fixes, left
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        size, n, rate, start = (cells[c].to_numpy() for c in ("_size", "_n", "_rate", "_start"))
+        fixed, change = np.full(len(size), -1), np.zeros(len(size), np.int64)
+        taken = sum(c * z for c, z in zip(cells["_copies"].tolist(), size.tolist(), strict=True))
+        # the first document of a cell with a copy to get (rates from 1 on: where some have 2) or to give (rates below 1)
+        gets = np.where(rate < UNIT, 0, np.where(rate % UNIT == 0, 0, start // (UNIT - rate % UNIT)))
+        gives = np.where(rate >= UNIT, 0, -(-(UNIT - start) // np.maximum(rate, 1)) - 1)
+        can_get, can_give = (size > 0) & (rate < most * UNIT) & (gets < n), (size > 0) & (rate > 0) & (gives < n)
+        for _ in range(rounds):
+            missing = float(cells["target"].iloc[0]) - taken
+            still = np.abs(abs(missing) - size)
+            able = np.flatnonzero((can_get if missing > 0 else can_give) & (change == 0) & (still < abs(missing)))
+            if not len(able):
+                break
+            at = able[np.lexsort((cells["_q"].to_numpy()[able], size[able], still[able]))[0]]
+            change[at] = 1 if missing > 0 else -1
+            fixed[at] = (gets if missing > 0 else gives)[at]
+            taken += int(change[at] * size[at])
+        out = cells[["_key", "_size", "_q", "_rate", "_start", "source_size", "target"]]
+        return out.assign(source_taken=taken, _fixed=fixed, _d=change)
+
+    return run
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -39,8 +39,8 @@ ANCHOR_ROWS = 65_536
 #: Bands of minima: keys a text, minima a key; and the most bytes of shingle sets compared at a time.
 BANDS, BAND_ROWS = 25, 5
 SET_BYTES = 32_000_000
-_MULTIPLY = np.array([xxhash.xxh64_intdigest(b"multiply", i) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
-_ADD = np.array([xxhash.xxh64_intdigest(b"add", i) for i in range(BANDS * BAND_ROWS)], np.uint64)
+_MULTIPLY = np.array([[xxhash.xxh32_intdigest(b"multiply", i) | 1] for i in range(BANDS * BAND_ROWS)], np.uint32)
+_ADD = np.array([[xxhash.xxh32_intdigest(b"add", i)] for i in range(BANDS * BAND_ROWS)], np.uint32)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -65,10 +65,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """``BANDS`` keys of a shingle set: band number and hash of ``BAND_ROWS`` minima of the values under fixed mixings."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), 1_024):
-        mixed = hashes[i : i + 1_024, None] * _MULTIPLY + _ADD
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(0), out=least)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint32).max, np.uint32)
+    half = (hashes >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(half), 512):
+        np.minimum(least, (_MULTIPLY * half[i : i + 512] + _ADD).min(1), out=least)
+    least = least.astype(np.uint64)
     rows = least.reshape(BANDS, BAND_ROWS)
     key = np.arange(BANDS, dtype=np.uint64)
     for c in range(BAND_ROWS):
@@ -220,25 +221,23 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node connected with node; only nodes that have links.
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest neighbour (large and
-    small star). Rounds are joins and aggregates over stored tables; they end when a round changes nothing. Nodes with very
-    many neighbours are few and broadcast (:func:`~.common.join_spread`).
+    small star). Rounds are joins and aggregates over stored tables; they end when a round changes nothing. A node with very
+    many neighbours has one row on the other side of its join, which adaptive execution splits.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before, many = None, edges.count()
+    before = None
     for _ in range(most_rounds):
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n"))
-        least = least.select("u", F.least("u", "m").alias("m"), "n").where("n > 0")
-        large = join_spread(both.where("v > u"), least, "u", "n", many).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        joined = join_spread(large, least, "u", "n", many)
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v")))
         after = materialize(small.distinct(), "edges")
         now = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_table(edges)
         drop_table(large)
-        edges, many = after, now[0]
+        edges = after
         if tuple(now) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(now)
@@ -283,7 +282,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     prints = texts.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("m"))
     prints = materialize(prints, "prints")
-    same = join_spread(texts.select("fp", "node"), prints.select("fp", F.col("node").alias("first"), "m"), "fp", "m", texts.count()).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    same = texts.select("fp", "node").join(prints.where("m > 1").select("fp", F.col("node").alias("first")), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
     near = linked(prints).join(prints.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     links = materialize(same.union(near).where("a <> b").distinct(), "links")
 
@@ -299,13 +298,10 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(members.join(first, "key"), "bands")
     sets = _sets(docs, texts.join(shared.select("node").distinct(), "node").select("id", "node"), id_col, text_col, shingle)
     # first every member of a key against the key's first; then what is still apart in a key of three or more
-    pairs = shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialize(shared.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = materialize(_similar(pairs, sets, similar), "links")
-    joined = materialize(components(links.union(found)), "joined")
-    rest = _unsettled(shared.where("m > 2"), joined)
-    more = _compared(rest, sets, similar)
-    links = materialize(links.union(found).union(more).distinct(), "links")
-    roots = components(links)
+    more = _compared(_unsettled(shared.where("m > 2"), found), sets, similar)
+    roots = components(links.union(found).union(more))
     placed = materialize(texts.join(roots, "node", "left").select("id", "words", F.coalesce("root", "node").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("m"))
     return join_spread(placed, least, "root", "m", placed.count()).select(F.col("id").alias("node"), "component_id")
@@ -330,7 +326,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
 
 def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Those pairs (a, b) whose sets have the similarity. A first with very many others is dealt out over copies of its set."""
-    pairs = materialize(pairs, "pairs")
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("copies"))
     left = degree.join(sets, degree["a"] == sets["node"]).select("a", F.col("grams").alias("left"), F.col("n").alias("na"), "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     dealt = pairs.join(degree, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
@@ -340,18 +335,18 @@ def _similar(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return both.where(common >= similar * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
-def _unsettled(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of the keys that still hold more than one component, with their components."""
-    own = members.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the keys in which some are not linked with the key's first. ``part``: the first where they are, else themselves."""
+    linked_ = found.select(F.col("a").alias("first"), F.col("b").alias("node"), F.lit(True).alias("with"))
+    own = members.join(linked_, ["first", "node"], "left").select("key", "node", F.when(F.col("with"), F.col("first")).otherwise(F.col("node")).alias("part"), "first")
     own = materialize(own, "parts")
-    mixed = own.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
-    return own.join(mixed, "key")
+    return own.join(own.where("part <> first").select("key").distinct(), "key", "left_semi").select("key", "node", "part")
 
 
 def _compared(members: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between members of a key that belong to different components: enough to connect what is similar there.
 
-    Pieces of a key (:func:`~.common.units`) are compared one at a time, sets of like size only.
+    Each member comes with the ``part`` it is known to be linked with. Pieces of a key (:func:`~.common.units`) are compared one at a time, sets of like size only.
     """
 
     def links(part: np.ndarray, node: np.ndarray, grams: list[np.ndarray], out: list[tuple[int, int]]) -> None:
