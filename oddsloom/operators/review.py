@@ -27,16 +27,24 @@ def valid_links(entries: DataFrame, links: DataFrame, events: DataFrame, setting
     return found.where((F.col("swapped") == F.col("_was")) & (F.col("score") >= settings.review - 0.1)).select("bk", "entry_id", "event_id", "swapped")
 
 
-def by_alias(entries: DataFrame, events: DataFrame, aliases: DataFrame, settings: Settings) -> DataFrame:
+def by_alias(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: DataFrame, rejected: DataFrame, settings: Settings) -> DataFrame:
     """Entries whose both names are known aliases (``bk, sport, raw_name, participant_id``) of an event's participants
-    (``home_id``, ``away_id``), in either order, within the matching window."""
+    (``home_id``, ``away_id``), in either order, within the matching window.
+
+    Events the book is linked to already, and pairs a reviewer has rejected, are left out. Of the entries of a book that
+    find one event, the one nearest in time gets it.
+    """
     known = lambda side: aliases.select("bk", "sport", F.col("raw_name").alias(side), F.col("participant_id").alias(f"{side}_pid"))
     named = entries.join(known("home"), ["bk", "sport", "home"]).join(known("away"), ["bk", "sport", "away"])
     named = named.withColumn("_lo", F.least("home_pid", "away_pid")).withColumn("_hi", F.greatest("home_pid", "away_pid"))
     e = events.select("event_id", "sport", F.col("start").alias("ev_start"), "home_id", F.least("home_id", "away_id").alias("_lo"), F.greatest("home_id", "away_id").alias("_hi"))
     found = named.join(e, ["sport", "_lo", "_hi"]).where(F.abs(F.col("start") - F.col("ev_start")) <= settings.match_minutes * matching.MINUTE)
-    rank = F.row_number().over(Window.partitionBy("entry_id").orderBy(F.abs(F.col("start") - F.col("ev_start")), "event_id"))
-    return found.withColumn("_r", rank).where("_r = 1").select("entry_id", "event_id", (F.col("home_pid") != F.col("home_id")).alias("swapped"))
+    found = found.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
+    found = found.withColumn("_off", F.abs(F.col("start") - F.col("ev_start")))
+    nearest = F.row_number().over(Window.partitionBy("entry_id").orderBy("_off", "event_id"))
+    first = F.row_number().over(Window.partitionBy("bk", "event_id").orderBy("_off", "entry_id"))
+    best = found.withColumn("_r", nearest).where("_r = 1").withColumn("_r", first).where("_r = 1")
+    return best.select("entry_id", "bk", "event_id", (F.col("home_pid") != F.col("home_id")).alias("swapped"))
 
 
 def resolve(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: DataFrame, rejected: DataFrame, settings: Settings, vocabulary: Vocabulary | None = None) -> DataFrame:
@@ -46,10 +54,12 @@ def resolve(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: Da
     """
     kept = stored(valid_links(entries, links, events, settings, vocabulary).select("entry_id", "event_id", "swapped", F.lit("link").alias("method")), "links")
     rest = entries.join(kept.select("entry_id"), "entry_id", "left_anti")
-    alias = by_alias(rest, events, aliases, settings).withColumn("method", F.lit("alias"))
+    named = stored(by_alias(rest, events, links, aliases, rejected, settings), "aliases")
+    alias = named.select("entry_id", "event_id", "swapped", F.lit("alias").alias("method"))
+    taken = links.select("bk", "event_id").unionByName(named.select("bk", "event_id"))
     rest = rest.join(alias.select("entry_id"), "entry_id", "left_anti")
     reach = F.when(F.col("sport").isin(*matching.INDIVIDUAL_SPORTS), 6 * HOUR).otherwise(3 * HOUR)
-    wide = stored(matching.scored_pool(rest, events, links, rejected, settings, 6 * HOUR, vocabulary, reach), "pool")
+    wide = stored(matching.scored_pool(rest, events, taken, rejected, settings, 6 * HOUR, vocabulary, reach), "pool")
     narrow = wide.where(F.abs(F.col("start") - F.col("ev_start")) <= settings.match_minutes * matching.MINUTE)
     decided = matching.one_event_a_book(matching.decide(narrow, wide, rest.select("entry_id", "sport"), settings), rest.select("entry_id", "bk"))
     fuzzy = decided.select("entry_id", F.when(F.col("status") != "create", F.col("event_id")).alias("event_id"), "swapped", F.col("status").alias("method"))

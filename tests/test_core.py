@@ -189,6 +189,19 @@ def test_resolution(spark):
     assert len(got) == 7
 
 
+def test_aliases_respect_links_rejections_and_one_event_a_book(spark):
+    events = spark.createDataFrame([(2, "football", "Arsenal", "Chelsea", 0, 21, 22)], "event_id long, sport string, home string, away string, start long, home_id long, away_id long")
+    entries = spark.createDataFrame(
+        [entry(1, 1, "Gunners", "Blues", 60_000), entry(2, 1, "Gunners", "Blues", 0), entry(3, 2, "Gunners", "Blues", 0), entry(4, 3, "Blues", "Gunners", 0), entry(5, 4, "Gunners", "Blues", 0)],
+        "entry_id long, sport string, bk int, home string, away string, start long")
+    aliases = spark.createDataFrame([(b, "football", n, i) for b in (1, 2, 3, 4) for n, i in (("Gunners", 21), ("Blues", 22))], "bk int, sport string, raw_name string, participant_id long")
+    links = spark.createDataFrame([(2, 99, 2, False)], "bk int, entry_id long, event_id long, swapped boolean")
+    rejected = spark.createDataFrame([(5, 2)], "entry_id long, event_id long")
+    got = {r.entry_id: (r.method, r.event_id, r.swapped) for r in review.resolve(entries, events, links, aliases, rejected, Settings()).collect()}
+    assert got[2] == ("alias", 2, False) and got[4] == ("alias", 2, True)
+    assert {got[i][0] for i in (1, 3, 5)} == {"create"}  # a second entry of the book, a book that has the event, a rejected pair
+
+
 def test_pairs_near_in_time_equal_brute_force(spark):
     rng = random.Random(2)
     a, b = ([(i, rng.choice("xy"), rng.randrange(-5000, 5000)) for i in range(60)] for _ in range(2))
