@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..domain import INDIVIDUAL_SPORTS, Settings
 from ..functions.names import Vocabulary, similarity_column
+from .series import running
 
 MINUTE = 60_000
 
@@ -25,8 +26,25 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_at: str, right_at: str, right_id: str, tolerance_ms: int, limit: int) -> DataFrame:
-    """The candidates nearest in time of each row, up to ``limit`` (what a reviewer is shown)."""
-    pairs = near_in_time(left, right, keys, left_at, right_at, tolerance_ms).withColumn("gap", F.abs(F.col(left_at) - F.col(right_at)))
+    """The candidates nearest in time of each row, up to ``limit`` (what a reviewer is shown); times and keys that are null meet nothing.
+
+    The right side is numbered along time, once forwards and once backwards, and put in blocks of ``limit`` rows. A left row knows
+    how many rows come before it, so it reads the two blocks after it in either direction: at most 4 times ``limit`` rows,
+    however many lie within the tolerance.
+    """
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType)
+    found = None
+    for sign, left_side, right_side in ((1, 0, 1), (-1, 1, 0)):  # backwards, rows of the same time come before the left row
+        a = left.where(F.col(left_at).isNotNull()).select(*keys, (F.col(left_at) * sign).alias("_at"), F.lit(left_side).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"), F.struct(*left.columns).alias("_l"), none(right).alias("_r"))
+        b = right.where(F.col(right_at).isNotNull()).select(*keys, (F.col(right_at) * sign).alias("_at"), F.lit(right_side).alias("_side"), F.col(right_id).alias("_id"), none(left).alias("_l"), F.struct(*right.columns).alias("_r"))
+        both = running(a.unionByName(b), keys, "_at", ["_side", "_id"], tolerance_ms, total={"_n": F.col("_r").isNotNull().cast("long")})
+        block = lambda n: F.floor(n / limit)
+        blocks = both.where("_r IS NOT NULL").groupBy(*keys, block(F.col("_n") - 1).alias("_block")).agg(F.collect_list(F.struct("_n", "_r")).alias("_own"))
+        asked = both.where("_l IS NOT NULL").select(*keys, "_l", F.col("_n").alias("_p"), F.explode(F.array(block(F.col("_n")), block(F.col("_n")) + 1)).alias("_block"))
+        met = asked.join(blocks, [*keys, "_block"]).select("_l", "_p", F.explode("_own").alias("_o")).where((F.col("_o._n") > F.col("_p")) & (F.col("_o._n") <= F.col("_p") + limit))
+        pairs = met.select("_l.*", *[F.col(f"_o._r.{c}") for c in right.columns if c not in keys])
+        found = found.unionByName(pairs) if found is not None else pairs
+    pairs = found.withColumn("gap", F.abs(F.col(left_at) - F.col(right_at))).where(F.col("gap") <= tolerance_ms)
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy("gap", right_id))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
 

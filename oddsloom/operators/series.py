@@ -67,6 +67,21 @@ def width_for(span: int, chunks: int = 1000) -> int:
     return max(1, span // chunks)
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], width: float) -> DataFrame:
+    """One row with ``e``: the exact quantiles, interpolated between neighbours, of ``value``; null values do not count.
+
+    Equal values are counted first; running counts over chunks of ``width`` then place each value, so that no task
+    holds or sorts all of them.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
+    placed = running(counted, [], "_x", [], width, total={"_upto": F.col("_m")}).crossJoin(F.broadcast(counted.agg(F.sum("_m").alias("_all_rows"))))
+    at = [F.lit(q) * (F.col("_all_rows") - 1) for q in shares]
+    first = lambda place: F.min(F.when(F.col("_upto") > place, F.col("_x")))
+    sums = placed.agg(*[first(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(at)], *[first(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(at)], *[F.first(p).alias(f"_at{i}") for i, p in enumerate(at)])
+    between = [F.col(f"_lo{i}") + (F.col(f"_at{i}") - F.floor(f"_at{i}")) * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(shares))]
+    return sums.select(F.array(*between).alias("e"))
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step: Callable, schema: T.StructType | str) -> DataFrame:
     """Stream each key's rows in order through ``step(state, row) -> (state, rows)``, from the state ``start()``.
 

@@ -5,6 +5,8 @@ Observations have ``duration_ms`` and ``event`` (false: censored). Curves are ro
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,15 +66,19 @@ def summaries(counted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def predict(rows: DataFrame, model: DataFrame, key: str, least: int = LEAST_SAMPLES) -> DataFrame:
-    """Summary of the finest segment with enough samples. Each row asks its six segments; one join, one aggregate."""
+    """Summary of the finest segment with enough samples.
+
+    The different finest segments of the rows, few beside the rows, ask their six levels; the rows then meet one summary each.
+    """
     columns = list(HIERARCHY)
     asked = [F.struct(F.lit(lv).alias("level"), segment_key({c: F.col(c) for c in columns[: len(columns) - lv]} or {"none": F.lit(None)}).alias("segment")) for lv in range(len(columns) + 1)]
     known = model.where(F.col("n") >= least)
-    wide = rows.select(key, F.explode(F.array(*asked)).alias("a")).select(key, "a.level", "a.segment")
+    wide = rows.select(*columns).distinct().select(*columns, F.explode(F.array(*asked)).alias("a")).select(*columns, "a.level", "a.segment")
     values = [c for c in known.columns if c not in ("level", "segment")]
     joined = wide.join(known.drop("level"), "segment")
-    best = joined.groupBy(key).agg(F.min(F.struct("level", "segment", *values)).alias("b"))
-    return best.select(key, "b.*")
+    best = joined.groupBy(*columns).agg(F.min(F.struct("level", "segment", *values)).alias("b")).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)], "b")
+    same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(best[f"_k{i}"]) for i, c in enumerate(columns)])
+    return rows.join(best, same).select(rows[key], "b.*")
 
 
 def survival_at(points: DataFrame, asked: DataFrame, keys: list[str], t: str, width: int = 1_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import cox, survival
+from ..operators.series import quantiles
 from . import bindings as B
 from .stat_plans import CENSORED, A
 
@@ -81,8 +82,7 @@ def cox_levels(spark, d):
 def risk_quintiles(spark, d):
     """Observations by exact quantile edges of the linear predictor, with mean predicted survival."""
     out = MODEL.predict(_obs(spark, d)).withColumn("lp", F.round("lp", 9))
-    edges = out.agg(F.percentile("lp", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("e"))
-    out = out.join(F.broadcast(edges))
+    out = out.crossJoin(F.broadcast(quantiles(out, "lp", [0.2, 0.4, 0.6, 0.8], 0.001)))  # one row
     bucket = sum((F.when(F.col("lp") >= F.element_at("e", i), 1).otherwise(0) for i in range(1, 5)), F.lit(0))
     return out.groupBy(bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event").cast("long")).alias("events"), F.round(F.avg("over_30"), 6).alias("predicted"))
 

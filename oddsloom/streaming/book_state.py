@@ -18,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.series import fold
 
 LIVE_FOR_MS = 60_000
+#: How long a stream keeps the state of a book's event of which nothing comes any more.
+KEPT_MS = 7 * 86_400_000
 CHANGES = "bk int, event_id long, market string, sel string, kind string, odds double, is_open boolean, previous_odds double, at long"
 _STATE = "state string"
 _KEYS = ["bk", "event_id"]
@@ -56,15 +58,19 @@ def recorded_changes(fetches: DataFrame) -> DataFrame:
 
 
 def stream_changes(fetches: DataFrame) -> DataFrame:
-    """The same over a stream; state is kept by key between micro-batches."""
+    """The same over a stream; state is kept by key between micro-batches, until a key sends nothing for ``KEPT_MS``."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, out = json.loads(state.get[0]) if state.exists else None, []
         fetched = pd.concat(list(frames))
         for fetch in fetched.sort_values("seq").to_dict("records"):
             held, rows = apply_fetch(held, fetch)
             out += rows
         state.update((json.dumps(held),))
+        state.setTimeoutDuration(KEPT_MS)
         yield _frame(key, out)
 
-    return fetches.groupBy(*_KEYS).applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return fetches.groupBy(*_KEYS).applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -29,6 +29,9 @@ from ..operators.series import fold
 OUTPUT = "event_id long, group_key string, combo string, change string, at long, first_seen long, margin double, max_margin double, end_reason string"
 MOST_AT_ONCE = 3
 TICK_MS = 200
+#: How long a stream keeps the state of an event that sends nothing, and of one that has finished.
+KEPT_MS = 7 * 86_400_000
+FINISHED_KEPT_MS = 86_400_000
 
 
 def _reason(before: dict, after: dict) -> str | None:
@@ -243,14 +246,21 @@ def recorded_opportunities(messages: DataFrame, settings: Settings | None = None
 
 
 def stream_opportunities(messages: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The same over a stream; the machine is kept as JSON by event between micro-batches."""
+    """The same over a stream; the machine is kept as JSON by event between micro-batches.
+
+    The state of an event without messages goes after ``KEPT_MS``, that of a finished one after ``FINISHED_KEPT_MS``.
+    """
     own = settings or Settings()
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine, out = EventMachine(own, state.get[0] if state.exists else None), []
         for m in pd.concat(list(frames)).sort_values("seq").itertuples():
             out += machine.handle(m.kind, json.loads(m.body), int(m.at))
         state.update((machine.dump(),))
+        state.setTimeoutDuration(FINISHED_KEPT_MS if machine.event and machine.event["finished"] else KEPT_MS)
         yield _frame(key[0], out)
 
-    return messages.groupBy("event_id").applyInPandasWithState(run, OUTPUT, "machine string", "append", GroupStateTimeout.NoTimeout)
+    return messages.groupBy("event_id").applyInPandasWithState(run, OUTPUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
