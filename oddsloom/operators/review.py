@@ -77,6 +77,11 @@ def listed(queue: DataFrame, status: str = "pending", limit: int = 200) -> DataF
     return queue.where(F.col("status") == status).orderBy("start", "entry_id").limit(limit)
 
 
+def waiting(queue: DataFrame) -> DataFrame:
+    """How many entries are pending."""
+    return queue.where("status = 'pending'").agg(F.count(F.lit(1)).alias("n"))
+
+
 def decided(queue: DataFrame, answers: DataFrame) -> DataFrame:
     """The queue after a reviewer's answers (``entry_id, answer, event_id, swapped``): ``confirm`` takes the event named, else the
     candidate; ``reject`` closes the entry; a confirmation without any event leaves it pending."""

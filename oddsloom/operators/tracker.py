@@ -111,6 +111,30 @@ def standstill_pauses(history: DataFrame) -> DataFrame:
     return out.withColumn("paused", paused).withColumn("pause_source", source).withColumn("pause_type", F.when(paused, kind)).withColumn("pause_started", F.when(F.col("pause_source") == "clock", F.col("_clock_since")).when(paused, F.col("at"))).drop("_clock", "_clock_since", "_score_since")
 
 
+SET_BREAK_MS = 600_000
+
+
+def set_pauses(history: DataFrame) -> DataFrame:
+    """Breaks between sets of tennis, over a history of reports (``event_id, bk, at, period, games`` (both sides together),
+    ``progress_key, status, flag, market_open``): a set after the first has begun less than ten minutes ago without a game, and
+    nothing has moved for the sport's time while the market is open and nothing reports play. The break started with the set.
+    """
+    w = Window.partitionBy("event_id", "bk").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = history
+    # a report without a period leaves the set as it was
+    for name, c in (("_set_since", "period"), ("_moved", "progress_key")):
+        before = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        new = F.when(F.col(c).isNotNull() & (before.isNull() | (before != F.col(c))), F.col("at"))
+        out = out.withColumn(f"{name}_new", new).withColumn(name, F.last(f"{name}_new", ignorenulls=True).over(upto)).drop(f"{name}_new")
+    told = feed_pause(F.col("status"), F.col("flag"))
+    idle = F.col("at") - F.greatest("_set_since", "_moved") >= STANDSTILL_SECONDS["tennis"] * 1000
+    fresh = (F.coalesce("games", F.lit(0)) == 0) & (F.col("period") > 1) & (F.col("at") - F.col("_set_since") < SET_BREAK_MS)
+    found = F.coalesce(told.isNull() & F.col("market_open") & idle & fresh, F.lit(False))
+    source = F.when(F.coalesce(told, F.lit(False)), "feed").when(found, "clock")
+    return out.withColumn("pause_source", source).withColumn("pause_started", F.when(found, F.col("_set_since")).when(source.isNotNull(), F.col("at"))).drop("_set_since", "_moved")
+
+
 def swap_score(score: Column) -> Column:
     """A pair of home and away values in the other order."""
     return F.struct(score["a"].alias("h"), score["h"].alias("a"))

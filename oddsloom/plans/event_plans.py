@@ -78,6 +78,21 @@ r AS (SELECT event_id, t, cs, CASE WHEN flag THEN 'feed' WHEN is_open AND t - cs
 SELECT event_id, src AS pause_source, CASE WHEN src IS NOT NULL THEN 'football_ht' END AS pause_type, count(*) AS n, min(CASE src WHEN 'clock' THEN cs WHEN 'feed' THEN t END) AS first FROM r GROUP BY event_id, src"""
 
 
+def set_pauses(spark, d):
+    """Breaks between sets, over the reports of each book; a set and its games are derived from the report's number and price."""
+    h = B.relation(spark, d, B.FEED).selectExpr(
+        "event_id", "bk", "uid", "uid * 40000 AS at", "CASE WHEN uid % 6 > 0 THEN CAST(uid DIV 4000 % 5 + 1 AS INT) END AS period", "CASE WHEN odds > 2 THEN 1 ELSE 0 END AS games", "CAST(odds > 3 AS STRING) AS progress_key",
+        "CAST(NULL AS STRING) AS status", "CASE WHEN uid % 13 = 0 THEN true WHEN uid % 17 = 0 THEN false END AS flag", "uid % 8 > 0 AS market_open")
+    return tracker.set_pauses(h).where("pause_source IS NOT NULL").select("event_id", F.col("bk").cast("long").alias("bk"), "uid", "pause_source", "pause_started")
+
+
+SETS = f"""WITH f AS ({B.sql(B.FEED)}), h AS (SELECT event_id, bk, uid, uid * 40000 AS t, CASE WHEN uid % 6 > 0 THEN uid // 4000 % 5 + 1 END AS period, odds > 2 AS games, odds > 3 AS moved, CASE WHEN uid % 13 = 0 THEN true WHEN uid % 17 = 0 THEN false END AS flag, uid % 8 > 0 AS is_open FROM f),
+p AS (SELECT *, last_value(period IGNORE NULLS) OVER w AS p0, lag(moved) OVER (PARTITION BY event_id, bk ORDER BY t) AS m0 FROM h WINDOW w AS (PARTITION BY event_id, bk ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q AS (SELECT *, last_value(CASE WHEN period IS NOT NULL AND (p0 IS NULL OR p0 <> period) THEN t END IGNORE NULLS) OVER w AS ps, last_value(CASE WHEN m0 IS NULL OR m0 <> moved THEN t END IGNORE NULLS) OVER w AS ms FROM p WINDOW w AS (PARTITION BY event_id, bk ORDER BY t ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, CASE WHEN flag THEN 'feed' WHEN flag IS NULL AND is_open AND NOT games AND period > 1 AND t - greatest(ps, ms) >= 30000 AND t - ps < 600000 THEN 'clock' END AS src FROM q)
+SELECT event_id, CAST(bk AS BIGINT) AS bk, uid, src AS pause_source, CASE src WHEN 'clock' THEN ps ELSE t END AS pause_started FROM r WHERE src IS NOT NULL"""
+
+
 def _participants(spark, d):
     """Orders as feed entries (odd) and events (even): two part names each, some with marks a source adds."""
     part = B.read(spark, d, "part").select("p_partkey", "p_name")
@@ -112,6 +127,10 @@ def review_queue(spark, d):
     return review.listed(review.expired(_queue(spark, d), F.lit(LATER))).select("entry_id", "start", "candidate_event_id")
 
 
+def waiting_entries(spark, d):
+    return review.waiting(review.expired(_queue(spark, d), F.lit(LATER)))
+
+
 def review_answers(spark, d):
     q = review.expired(_queue(spark, d), F.lit(LATER))
     answers = q.where("status = 'pending'").select("entry_id", F.when(F.col("muted"), "reject").otherwise("confirm").alias("answer"), F.when(F.col("start") % 2 == 0, F.col("start")).alias("event_id"), F.lit(True).alias("swapped"))
@@ -175,8 +194,10 @@ QUERIES = {
     "swapped_states": (swapped_states, SWAPPED),
     "period_clocks": (period_clocks, CLOCKS),
     "clock_pauses": (clock_pauses, PAUSES),
+    "set_pauses": (set_pauses, SETS),
     "resolved_entries": (resolved_entries, None),
     "review_queue": (review_queue, f"WITH {QUEUE} SELECT entry_id, start, candidate_event_id FROM q WHERE status = 'pending' AND start >= {LATER} - 14400000 ORDER BY start, entry_id LIMIT 200"),
+    "waiting_entries": (waiting_entries, f"WITH {QUEUE} SELECT count(*) AS n FROM q WHERE status = 'pending' AND start >= {LATER} - 14400000"),
     "review_answers": (review_answers, ANSWERS),
     "merged_aliases": (merged_aliases, "WITH c AS (SELECT o_custkey % 9 AS bk, o_orderpriority AS sport, CAST(o_custkey % 200 AS VARCHAR) AS raw_name, o_orderkey AS participant_id, CASE WHEN o_orderstatus = 'P' THEN 'manual' ELSE 'auto' END AS source, o_totalprice AS at_ms FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY bk, sport, raw_name ORDER BY source = 'manual' DESC, at_ms DESC, participant_id DESC) AS rn FROM c) SELECT bk, sport, raw_name, participant_id, source FROM r WHERE rn = 1"),
     "started_prematch": (started_prematch, f"WITH {A} SELECT sport, first_seen <= {LATER} AS started, count(*) AS n FROM a WHERE mode = 'PREMATCH' AND first_seen >= {LATER} - 28800000 GROUP BY 1, 2"),

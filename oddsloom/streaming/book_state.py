@@ -57,8 +57,9 @@ def recorded_changes(fetches: DataFrame) -> DataFrame:
     return fold(fetches, _KEYS, ["seq"], lambda: None, apply_fetch, CHANGES)
 
 
-def stream_changes(fetches: DataFrame) -> DataFrame:
-    """The same over a stream; state is kept by key between micro-batches, until a key sends nothing for ``KEPT_MS``."""
+def stream_changes(fetches: DataFrame, expire: bool = False) -> DataFrame:
+    """The same over a stream; state is kept by key between micro-batches, with ``expire`` until a key sends nothing for ``KEPT_MS``
+    (for streams that run on: a trigger that should end never does with such timers)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -70,7 +71,8 @@ def stream_changes(fetches: DataFrame) -> DataFrame:
             held, rows = apply_fetch(held, fetch)
             out += rows
         state.update((json.dumps(held),))
-        state.setTimeoutDuration(KEPT_MS)
+        if expire:
+            state.setTimeoutDuration(KEPT_MS)
         yield _frame(key, out)
 
-    return fetches.groupBy(*_KEYS).applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return fetches.groupBy(*_KEYS).applyInPandasWithState(run, CHANGES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

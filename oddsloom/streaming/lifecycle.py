@@ -245,10 +245,11 @@ def recorded_opportunities(messages: DataFrame, settings: Settings | None = None
     return fold(messages, ["event_id"], ["seq"], lambda: EventMachine(own), step, OUTPUT)
 
 
-def stream_opportunities(messages: DataFrame, settings: Settings | None = None) -> DataFrame:
+def stream_opportunities(messages: DataFrame, settings: Settings | None = None, expire: bool = False) -> DataFrame:
     """The same over a stream; the machine is kept as JSON by event between micro-batches.
 
-    The state of an event without messages goes after ``KEPT_MS``, that of a finished one after ``FINISHED_KEPT_MS``.
+    With ``expire`` the state of an event without messages goes after ``KEPT_MS``, that of a finished one after
+    ``FINISHED_KEPT_MS``: for streams that run on. A trigger that should end (``availableNow``) never does with such timers.
     """
     own = settings or Settings()
 
@@ -260,7 +261,8 @@ def stream_opportunities(messages: DataFrame, settings: Settings | None = None)
         for m in pd.concat(list(frames)).sort_values("seq").itertuples():
             out += machine.handle(m.kind, json.loads(m.body), int(m.at))
         state.update((machine.dump(),))
-        state.setTimeoutDuration(FINISHED_KEPT_MS if machine.event and machine.event["finished"] else KEPT_MS)
+        if expire:
+            state.setTimeoutDuration(FINISHED_KEPT_MS if machine.event and machine.event["finished"] else KEPT_MS)
         yield _frame(key[0], out)
 
-    return messages.groupBy("event_id").applyInPandasWithState(run, OUTPUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("event_id").applyInPandasWithState(run, OUTPUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
