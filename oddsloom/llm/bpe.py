@@ -13,7 +13,8 @@ characters above U+024F, or with control characters, are split by the library's
 the rest by the same pattern here.
 
 Memory is bounded by bytes: texts are encoded a portion of about ``PORTION`` bytes at a time (cut at white space), words
-and chunks met are kept up to ``KEPT_BYTES`` and dropped when a task ends, pair tests up to ``MAX_PAIRS``. A word of more
+and chunks met are kept up to about ``KEPT_BYTES`` (those met lately outlive the others) and dropped when a task ends, pair
+tests up to ``MAX_PAIRS``. A word of more
 than ``LONG`` symbols is walked alone, with its last tokens held only as far back as later ones can reach, and not kept.
 
 Null or empty texts give no ids and decode to an empty text. Rows repeat as they come.
@@ -26,8 +27,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +46,8 @@ _LETTERS = "".join(chr(c) for c in range(_SAFE_TOP) if unicodedata.category(chr(
 _NUMBERS = "".join(chr(c) for c in range(_SAFE_TOP) if unicodedata.category(chr(c))[0] == "N")
 #: Contractions, letter runs, single numbers, runs of anything else: the split of the tokenizer file.
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: The same with the line feeds that end chunks.
+_WORDS = re.compile(f"{_WORD.pattern}|\n")
 _GAP = re.compile("[ \t\n\v\f\r]")
 _UNSAFE = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ]")
 
@@ -80,6 +82,7 @@ class TrieEncoder:
         self.pieces |= {i: s for s, i in self.special.items()}
         self.split_special = re.compile("|".join(sorted(map(re.escape, self.special), key=len, reverse=True))) if self.special else None
         self.symbol = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(self.symbol)}
         self.longest = max(len(s.removesuffix(self.end)) for s in self.vocab)
         self.names = pa.array([self.pieces.get(i, "") for i in range(max(self.pieces) + 1)], pa.string())
         self.forget_pairs()
@@ -87,13 +90,22 @@ class TrieEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, bytes] = {}  # packed ids of a word, by its byte symbols
+        self.words: dict[str, bytes] = {}  # packed ids of a word in normal form
         self.chunks: dict[str, bytes] = {}  # the same of a run without white space
         self.kept = 0  # bytes held by both, about
+        self.older_words: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        """Words and chunks become the older ones; those not met since the last time are let go."""
+        words, chunks = self.words, self.chunks
+        self.forget()
+        self.older_words, self.older_chunks = words, chunks
 
     def forget_pairs(self) -> None:
-        #: After each last token (None at the root): id of every token that may follow it there, or -1 where it may not.
-        self.after: dict[int | None, dict[str, int]] = defaultdict(dict)
+        #: A last token is (id, size, the last tokens that may follow it by their spelling, None for those that may not).
+        self.root: tuple = (None, 0, {})
+        self.last_tokens: dict[str, tuple] = {}
         self.pairs = 0
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -125,70 +137,64 @@ class TrieEncoder:
     def is_pair(self, left: str, right: str) -> bool:
         return self.merged(self.symbols(left) + self.symbols(right)) == [left, right]
 
-    def follows(self, left: int | None, token: str) -> int:
-        """The id of ``token`` if it is a last token after ``left``, else -1."""
-        known = self.after[left].get(token)
-        if known is None:
-            ok = self.is_token(token) and (left is None or self.is_pair(self.pieces[left], token))
-            known = self.after[left][token] = self.vocab[token] if ok else -1
-            self.pairs += 1
-        return known
-
-    def search(self, word: str, d: int, end: str, last: list, base: int = 0) -> tuple[int, int]:
-        """(id, size) of the last token of the path ``word[:d]``; ``last[b - base]`` is the last token's id at depth b."""
+    def follows(self, left: tuple, token: str) -> tuple | None:
+        """``token`` as a last token after ``left``, or None if it may not follow."""
+        after = left[2]
+        if token in after:
+            return after[token]
+        found = None
+        if self.is_token(token) and (left is self.root or self.is_pair(self.pieces[left[0]], token)):
+            found = self.last_tokens.get(token)
+            if found is None:
+                found = self.last_tokens[token] = (self.vocab[token], len(token.removesuffix(self.end)) if self.end else len(token), {})
+        after[token] = found
+        self.pairs += 1
+        return found
+
+    def search(self, word: str, d: int, end: str, last: list[tuple], base: int = 0) -> tuple:
+        """The last token of the path ``word[:d]``; ``last[b - base]`` is that at depth b."""
         for before in range(max(base, d - self.longest), d):
             token = word[before:d] + end
-            if token in self.vocab and (this := self.follows(last[before - base], token)) >= 0:
-                return this, d - before
+            if token in self.vocab and (this := self.follows(last[before - base], token)):
+                return this
         raise ValueError(f"no token ends {word[max(0, d - 40) : d]!r}")
 
-    def grow(self, words: list[str]) -> dict[str, bytes]:
+    def grow(self, words: Iterable[str]) -> dict[str, bytes]:
         """Packed ids of distinct words (byte symbols, without end mark).
 
-        In sorted order the words are a depth-first walk of their trie: the nodes of the current path are kept
-        from the root down, a word leaves those it shares with the one before, and only new nodes get a last
-        token. ``last[d]`` is that of the path's node at depth d, ``size[d]`` its length, ``next_[d]`` what may follow it.
+        In sorted order the words are a depth-first walk of their trie: the last tokens of the current path's nodes are
+        kept from the root down, a word leaves those it shares with the one before, and only new nodes get one.
         """
-        end, packed, after, search = self.end, {}, self.after, self.search
-        last, size, next_, path = [None], [0], [after[None]], ""
+        end, packed, search = self.end, {}, self.search
+        last, path = [self.root], ""
         for word in sorted(words):
             if len(word) > LONG:
                 packed[word] = self.walk(word)
                 continue
             if self.pairs > MAX_PAIRS:
                 self.forget_pairs()
-                after = self.after
-                last, size, next_, path = [None], [0], [after[None]], ""
+                last, path = [self.root], ""
             depth, stop = 0, len(word)
             full = stop - 1 if end else stop
             for x, y in zip(path, word[:full], strict=False):
                 if x != y:
                     break
                 depth += 1
-            del last[depth + 1 :], size[depth + 1 :], next_[depth + 1 :]
-            path = word[:full]
+            del last[depth + 1 :]
+            path, this = word[:full], last[depth]
             for d in range(depth + 1, full + 1):
                 # the last token most often grows by the symbol, or the symbol stands alone; else any start may be right
-                n = size[d - 1] + 1
-                this = next_[d - n].get(word[d - n : d], -1)
-                if this < 0:
-                    this, n = next_[d - 1].get(word[d - 1], -1), 1
-                    if this < 0:
-                        this, n = search(word, d, "", last)
+                start = d - 1 - this[1]
+                this = last[start][2].get(word[start:d]) or this[2].get(word[d - 1]) or search(word, d, "", last)
                 last.append(this)
-                size.append(n)
-                next_.append(after[this])
             if end:
-                n = size[full] + 1
-                this = next_[stop - n].get(word[stop - n :] + end, -1)
-                if this < 0:
-                    this, n = search(word, stop, end, last)
-                ids, d = [this], stop - n
-            else:
-                ids, d = [], stop
+                start = full - this[1]
+                this = last[start][2].get(word[start:] + end) or search(word, stop, end, last)
+            ids, d = [], stop
             while d:
-                ids.append(last[d])
-                d -= size[d]
+                ids.append(this[0])
+                d -= this[1]
+                this = last[d]
             ids.reverse()
             packed[word] = array("I", ids).tobytes()
         return packed
@@ -196,51 +202,66 @@ class TrieEncoder:
     def walk(self, word: str) -> bytes:
         """Packed ids of one long word. Whenever ``LONG`` symbols are held, all last tokens that a later one can still build on
         are followed back to where they meet; what lies before that place is settled and let go."""
-        out, base, last, size, held = array("I"), 0, [None], [0], LONG
+        out, base, last, held = array("I"), 0, [self.root], LONG
         full = len(word) - 1 if self.end else len(word)
 
         def settle(d: int) -> None:
             ids = []
             while d > base:
-                ids.append(last[d - base])
-                d -= size[d - base]
+                ids.append(last[d - base][0])
+                d -= last[d - base][1]
             out.extend(reversed(ids))
 
         for d in range(1, len(word) + 1):
-            this, n = self.search(word, d, self.end if d > full else "", last, base)
-            last.append(this)
-            size.append(n)
+            last.append(self.search(word, d, self.end if d > full else "", last, base))
             if d - base > held:
                 open_ = set(range(max(base, d - self.longest), d + 1))
                 while len(open_) > 1:
                     top = max(open_)
                     open_.remove(top)
-                    open_.add(top - size[top - base])
+                    open_.add(top - last[top - base][1])
                 settle(meet := open_.pop())
-                del last[: meet - base], size[: meet - base]
+                del last[: meet - base]
                 base = meet
                 held = d - base + LONG
         settle(len(word))
         return out.tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode white-space-free chunks not met before. Normal form, lower case and split look at no more than a chunk."""
-        found = {c: self.byte_words(c) for c in chunks}
-        words = self.words
-        words |= (new := self.grow(list({w for ws in found.values() for w in ws if w not in words})))
-        self.kept += sum(len(w) + len(b) for w, b in new.items()) + 250 * len(new)
-        for c, ws in found.items():
-            ids = self.chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-            self.kept += 2 * len(c) + 200 + (len(ws) > 1) * len(ids)
-
-    def byte_words(self, chunk: str) -> list[str]:
-        if _UNSAFE.search(chunk) or _UNSAFE.search(low := chunk.lower()):
-            return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-        return list(map(self.key, _WORD.findall(low)))
+        """Encode white-space-free chunks not met before. Normal form, lower case and split look at no more than a chunk.
+
+        Chunks of safe characters are split in one pass over all of them, each ended by a line feed; the others one by one.
+        """
+        safe = list(chunks)
+        if _UNSAFE.search(low := "\n".join([*safe, ""]).lower()) or not low.isascii() and _UNSAFE.search("\n".join(safe)):
+            safe = [c for c in safe if not (_UNSAFE.search(c) or _UNSAFE.search(c.lower()))]
+            low = "\n".join([*safe, ""]).lower()
+        words = _WORDS.findall(low)
+        rest = chunks.difference(safe)
+        for c in rest:
+            words += [*self.library_words(c), "\n"]
+        new = set(words).difference(self.words, "\n")
+        again = {w: self.older_words[w] for w in new if w in self.older_words}
+        keys = {self.key(w): w for w in new if w not in again}
+        again |= {keys[k]: ids for k, ids in self.grow(keys).items()}
+        self.words |= again
+        packed = [b"" if w == "\n" else self.words[w] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))
+        ends = ends[np.fromiter((w == "\n" for w in words), bool, len(words))].tolist()
+        flat = b"".join(packed)
+        self.chunks |= zip([*safe, *rest], [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True)
+        self.kept += sum(map(len, again)) + sum(map(len, again.values())) + 250 * len(again)
+        self.kept += 2 * sum(map(len, chunks)) + len(flat) + 250 * len(chunks)
+
+    def library_words(self, chunk: str) -> list[str]:
+        """The normal form of a chunk, split by the library, whose byte symbols are turned back into characters."""
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.byte.__getitem__, p)).decode() for p, _ in found]
 
     def key(self, word: str) -> str:
-        if word.isascii():
-            return word if word.isprintable() and " " not in word else "".join(map(self.symbol.__getitem__, word.encode()))
+        """A word's byte symbols."""
+        if word.isascii() and word.isprintable() and " " not in word:
+            return word
         return "".join(map(self.symbol.__getitem__, word.encode()))
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -264,12 +285,16 @@ class TrieEncoder:
 
     def encode_portion(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The new words of the column go into one trie; ids are then gathered for all white-space-free chunks at once."""
-        if self.kept > KEPT_BYTES:
-            self.forget()
+        if 2 * self.kept > KEPT_BYTES:
+            self.age()
         lists = pc.ascii_split_whitespace(column)
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        self.learn(set(distinct).difference(self.chunks))
+        new = set(distinct).difference(self.chunks)
+        again = {c: self.older_chunks[c] for c in new if c in self.older_chunks}
+        self.chunks |= again
+        self.kept += 2 * sum(map(len, again)) + sum(map(len, again.values())) + 250 * len(again)
+        self.learn(new.difference(again))
         packed = list(map(self.chunks.__getitem__, distinct))
         flat = np.frombuffer(b"".join(packed), np.uint32)
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
