@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, bpe, chat, media, mixing, quality, secret_scan, sharding, simhash, token_file
+from . import bitslice, bpe, chat, media, mixing, oracles, pii, quality, secret_scan, sharding, simhash, token_file, turn_repair, vector_codes
 
 #: The folder of the public tokenizer files may be given by ODDSLOOM_TOKENIZERS.
 def _vocabulary(name: str) -> str:
@@ -75,6 +75,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,12 +94,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_bpe, op2_sharding, op3_mixing, op4_top_k, op5_secrets, op6_media, op7_simhash, op8_chat, op9_tokens, op10_quality, pipeline)
+    own = (op1_bpe, op2_sharding, op3_mixing, op4_top_k, op5_secrets, op6_media, op7_simhash, op8_chat, op9_tokens, op10_quality, op11_pii, op12_vector_codes, op13_turn_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_top_k": TOP_K, "op5_secrets": SECRETS, "op8_chat": CHAT}
+    return {"op4_top_k": TOP_K, "op5_secrets": SECRETS, "op8_chat": CHAT, "op11_pii": oracles.PII, "op12_vector_codes": oracles.CODES, "op13_turn_repair": oracles.REPAIR}
 
 
 #: Brute force over every query and candidate.
