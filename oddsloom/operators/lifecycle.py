@@ -23,9 +23,11 @@ def intervals(history: DataFrame, order: list) -> DataFrame:
 RUN = 32
 
 
-def instants(versions: DataFrame, groups: DataFrame) -> DataFrame:
+def instants(versions: DataFrame, groups: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Best legs and margin of each group at each of its instants; a group without all its legs has a null margin.
 
+    ``carry``: columns of the versions that go along with the legs, in column ``own``.
+
     A group's instants are numbered and cut into runs of ``RUN``. A version knows the numbers between which it was current
     and goes to the runs in between, so an instant meets what was current in its run: at most one version a source and those
     that changed in the run. Work grows with the length of a history, not with its square, and a long history is dealt out by run.
@@ -35,19 +37,19 @@ def instants(versions: DataFrame, groups: DataFrame) -> DataFrame:
     ends = served.withColumn("t", F.explode(F.array("changed_at", "until"))).where("t IS NOT NULL").withColumn("_place", F.dense_rank().over(of_group.orderBy("t")))
     run = lambda place: F.floor((place - 1) / RUN)
     own = ends.select("event_id", "group_key", "t", "_place").distinct()
-    current = ends.where("is_open").groupBy("event_id", "group_key", "mode", "legs", "leg", "bk", "src", "market", "sel", "odds", "changed_at", "until").agg(F.min("_place").alias("_from"), F.max("_place").alias("_to"))
+    current = ends.where("is_open").groupBy("event_id", "group_key", "mode", "legs", "leg", "bk", "src", "market", "sel", "odds", "changed_at", "until", *carry).agg(F.min("_place").alias("_from"), F.max("_place").alias("_to"))
     last = own.groupBy("event_id", "group_key").agg((F.max("_place") + 1).alias("_last"))
     current = current.join(last, ["event_id", "group_key"]).withColumn("_to", F.when(F.col("until").isNull(), F.col("_last")).otherwise(F.col("_to")))
     current = current.withColumn("_run", F.explode(F.sequence(run(F.col("_from")), run(F.col("_to") - 1))))
     at = own.withColumn("_run", run(F.col("_place"))).join(current, ["event_id", "group_key", "_run"]).where("_from <= _place AND _place < _to")
     own = own.drop("_place")
-    best = at.groupBy("event_id", "group_key", "t", "mode", "legs", "leg").agg(F.min(F.struct((-F.col("odds")).alias("neg"), "bk", "src")).alias("b"))
+    best = at.groupBy("event_id", "group_key", "t", "mode", "legs", "leg").agg(F.min(F.struct((-F.col("odds")).alias("neg"), "bk", "src", *carry)).alias("b"))
     comb = best.groupBy("event_id", "group_key", "t", "mode", "legs").agg(
-        F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list(F.struct("leg", F.col("b.bk").alias("bk"), F.col("b.src").alias("src"), (-F.col("b.neg")).alias("odds")))).alias("own"))
+        F.count(F.lit(1)).alias("found"), F.array_sort(F.collect_list(F.struct("leg", F.col("b.bk").alias("bk"), F.col("b.src").alias("src"), (-F.col("b.neg")).alias("odds"), *[F.col(f"b.{c}").alias(c) for c in carry]))).alias("own"))
     inverse = F.aggregate("own", F.lit(0.0), lambda s, x: s + F.lit(1.0) / x["odds"])
     combo = F.array_join(F.transform("own", lambda x: F.concat_ws(":", x["leg"], x["bk"], x["src"])), ",")
     whole = comb.where(F.col("found") == F.col("legs")).select(
-        "event_id", "group_key", "t", "mode", F.when(F.size(F.array_distinct(F.transform("own", lambda x: x["bk"]))) >= 2, (F.lit(1.0) / inverse - 1) * 100).alias("margin"), combo.alias("combo"))
+        "event_id", "group_key", "t", "mode", F.when(F.size(F.array_distinct(F.transform("own", lambda x: x["bk"]))) >= 2, (F.lit(1.0) / inverse - 1) * 100).alias("margin"), combo.alias("combo"), *(["own"] if carry else []))
     return own.join(whole, ["event_id", "group_key", "t"], "left")
 
 
