@@ -83,56 +83,57 @@ def expected_seconds(kind: Column) -> Column:
     return lookup(kind, BREAK_SECONDS)
 
 
-def feed_pause(status: Column, flag: Column) -> Column:
-    """Break told by the feed: true, false (it reports play), or null."""
-    text = says_break(status)
-    return F.when(F.coalesce(flag, F.lit(False)) | F.coalesce(text, F.lit(False)), True).when((flag == F.lit(False)) | (text == F.lit(False)), False)
-
-
-def standstill_pauses(history: DataFrame) -> DataFrame:
-    """Breaks seen from the clock alone, over a history of reports (``event_id, bk, at, sport, competition, period, clock,
-    remaining, score_key, status, flag, market_open``): the clock has stood for the sport's time at a period's end, the score
-    has not moved since, the market is open and nothing reports play."""
-    w = Window.partitionBy("event_id", "bk").orderBy("at")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    clock = F.coalesce(F.col("clock"), -F.col("remaining"))
-    out = history.withColumn("_clock", clock)
-    for name, c in (("_clock_since", F.col("_clock")), ("_score_since", F.col("score_key"))):
-        before = F.lag(c).over(w)
-        out = out.withColumn(f"{name}_new", F.when(before.isNull() | (before != c), F.col("at"))).withColumn(name, F.last(f"{name}_new", ignorenulls=True).over(upto)).drop(f"{name}_new")
-    stood = F.col("at") - F.col("_clock_since") >= lookup(F.col("sport"), STANDSTILL_SECONDS) * 1000
-    still = F.col("_score_since") <= F.col("_clock_since")
-    told = feed_pause(F.col("status"), F.col("flag"))
-    boundary = at_boundary(F.col("sport"), F.col("period"), F.col("clock"), F.col("remaining"), F.col("competition"))
-    found = told.isNull() & F.col("market_open") & F.col("_clock").isNotNull() & stood & still & boundary & (F.col("sport") != "tennis")
-    kind = pause_type(F.col("sport"), F.col("status"), F.col("period"), F.col("clock"), F.col("competition"))
-    paused = F.coalesce(told, F.lit(False)) | F.coalesce(found, F.lit(False))
-    source = F.when(F.coalesce(told, F.lit(False)), "feed").when(F.coalesce(found, F.lit(False)), "clock")
-    return out.withColumn("paused", paused).withColumn("pause_source", source).withColumn("pause_type", F.when(paused, kind)).withColumn("pause_started", F.when(F.col("pause_source") == "clock", F.col("_clock_since")).when(paused, F.col("at"))).drop("_clock", "_clock_since", "_score_since")
+SET_BREAK_MS = 600_000
 
 
-SET_BREAK_MS = 600_000
+def breaks(history: DataFrame) -> DataFrame:
+    """``history`` with ``pause_source`` (feed, clock, null), ``pause_started`` and ``pause_type`` of the break that holds at each report.
 
+    Reports: ``event_id, bk, at, uid`` (orders reports of one time), ``sport, competition, period, clock, remaining, score_key, progress_key,
+    games`` (both sides together), ``status, flag, clock_running, market_open, finished``.
 
-def set_pauses(history: DataFrame) -> DataFrame:
-    """Breaks between sets of tennis, over a history of reports (``event_id, bk, at, period, games`` (both sides together),
-    ``progress_key, status, flag, market_open``): a set after the first has begun less than ten minutes ago without a game, and
-    nothing has moved for the sport's time while the market is open and nothing reports play. The break started with the set.
+    A break told by the feed lasts while it tells so; the report after it is none. A break seen from the clock is a latch. It is set where
+    the clock has stood for the sport's time at a period's end and the score has not moved since (tennis: a set after the first began
+    less than ten minutes ago without a game and nothing moved), the market is open and nothing reports play; it is reset by the first report of
+    play, or by one after which clock, score or (tennis) games have moved, whatever the market and the time do. Reports of a feed's break leave the latch as
+    it is, but what moves meanwhile counts at the next report. A tennis break that was set although something had moved after the set began ends with the next report and may
+    be set by the one after. A finished event, or one without a state, ends any break and moves nothing. So the state of the latch is that of the last set or reset, turned over by
+    the reports since that would do both; its start is the first report at which it stands.
     """
-    w = Window.partitionBy("event_id", "bk").orderBy("at")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = history
-    # a report without a period leaves the set as it was
-    for name, c in (("_set_since", "period"), ("_moved", "progress_key")):
-        before = F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        new = F.when(F.col(c).isNotNull() & (before.isNull() | (before != F.col(c))), F.col("at"))
-        out = out.withColumn(f"{name}_new", new).withColumn(name, F.last(f"{name}_new", ignorenulls=True).over(upto)).drop(f"{name}_new")
-    told = feed_pause(F.col("status"), F.col("flag"))
-    idle = F.col("at") - F.greatest("_set_since", "_moved") >= STANDSTILL_SECONDS["tennis"] * 1000
-    fresh = (F.coalesce("games", F.lit(0)) == 0) & (F.col("period") > 1) & (F.col("at") - F.col("_set_since") < SET_BREAK_MS)
-    found = F.coalesce(told.isNull() & F.col("market_open") & idle & fresh, F.lit(False))
-    source = F.when(F.coalesce(told, F.lit(False)), "feed").when(found, "clock")
-    return out.withColumn("pause_source", source).withColumn("pause_started", F.when(found, F.col("_set_since")).when(source.isNotNull(), F.col("at"))).drop("_set_since", "_moved")
+    w = Window.partitionBy("event_id", "bk").orderBy("at", "uid")
+    earlier, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda c, frame=upto: F.last(c, ignorenulls=True).over(frame)
+    on = lambda c: F.coalesce(c, F.lit(False))
+    text = says_break(F.col("status"))
+    out = history.withColumns({"_ended": on(F.col("finished")), "_feed": ~on(F.col("finished")) & (on(F.col("flag")) | on(text))})
+    out = out.withColumn("_plays", (F.col("flag") == F.lit(False)) | (text == F.lit(False)) | F.col("clock_running")).withColumn("_plays", on(F.col("_plays")) & ~F.col("_feed"))
+    # what moved, against the report before that stated it; keys that a report lacks are a value of their own
+    stated = {"clock": F.coalesce(F.col("clock"), -F.col("remaining")), "period": F.col("period"), "score": F.coalesce("score_key", F.lit("")), "progress": F.coalesce("progress_key", F.lit(""))}
+    for name, c in stated.items():
+        own = F.when(~F.col("_ended"), c)
+        before = latest(own, earlier)
+        out = out.withColumn(f"_{name}_new", own.isNotNull() & (before.isNull() | (before != own))).withColumn(f"_{name}_at", latest(F.when(F.col(f"_{name}_new"), F.col("at"))))
+    tennis = F.col("sport") == "tennis"
+    moved_at = F.greatest("_clock_at", "_score_at", F.when(tennis, F.col("_progress_at")))
+    out = out.withColumn("_moved", (F.col("_clock_new") | F.col("_score_new") | (tennis & F.col("_progress_new"))).cast("int")).withColumn("_moves", F.sum("_moved").over(upto))
+    plain = ~F.col("_feed") & ~F.col("_ended")
+    # of the plain report before: how much had moved, and (tennis) whether anything had since the set began
+    out = out.withColumn("_before", latest(F.when(plain, F.struct("_moves", on(tennis & (moved_at > F.col("_period_at"))).alias("late"))), earlier))
+    patience = lookup(F.col("sport"), STANDSTILL_SECONDS) * 1000
+    fresh = (F.coalesce("games", F.lit(0)) == 0) & (F.col("period") > 1) & (F.col("at") - F.greatest("_period_at", "_progress_at") >= patience) & (F.col("at") - F.col("_period_at") < SET_BREAK_MS)
+    stood = (F.col("at") - F.col("_clock_at") >= patience) & (F.col("_score_at") <= F.col("_clock_at")) & at_boundary(F.col("sport"), F.col("period"), F.col("clock"), F.col("remaining"), F.col("competition"))
+    sets = plain & F.col("market_open") & ~F.col("_plays") & ~on(F.lag("_feed").over(w)) & on(F.when(tennis, fresh).otherwise(stood))
+    resets = F.col("_ended") | (plain & (F.col("_plays") | on(F.col("_moves") > F.col("_before._moves")) | on(F.col("_before.late"))))
+    out = out.withColumns({"_set": sets, "_reset": resets}).withColumn("_turns", F.sum((F.col("_set") & F.col("_reset")).cast("int")).over(upto))
+    known = latest(F.when(F.col("_set") != F.col("_reset"), F.struct("_set", "_turns")))
+    out = out.withColumn("_known", known).withColumn("_stands", (on(F.col("_known._set")).cast("int") + F.col("_turns") - F.coalesce(F.col("_known._turns"), F.lit(0))) % 2 == 1)
+    kind = pause_type(F.col("sport"), F.col("status"), F.col("period"), F.col("clock"), F.col("competition"))
+    begins = F.when(F.col("_stands") & ~on(F.lag("_stands").over(w)), F.struct(F.when(tennis, F.col("_period_at")).otherwise(F.col("_clock_at")).alias("at"), kind.alias("kind")))
+    told = F.when(F.col("_feed") & ~on(F.lag("_feed").over(w)), F.struct("at", kind.alias("kind")))
+    out = out.withColumns({"_clock_break": latest(begins), "_feed_break": latest(told)})
+    source = F.when(F.col("_stands"), "clock").when(F.col("_feed"), "feed")
+    held = F.when(source == "clock", F.col("_clock_break")).when(source == "feed", F.col("_feed_break"))
+    return out.select(*history.columns, source.alias("pause_source"), held["at"].alias("pause_started"), held["kind"].alias("pause_type"))
 
 
 def swap_score(score: Column) -> Column:

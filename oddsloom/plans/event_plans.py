@@ -61,36 +61,67 @@ CLOCKS = """WITH e AS (SELECT event_id, user_id % 4 AS k, event_id % 3 AS p, CAS
 SELECT event_id, CASE k WHEN 0 THEN CASE p WHEN 0 THEN 0 WHEN 1 THEN 2700 ELSE 5400 END + o + since WHEN 1 THEN CASE p WHEN 0 THEN 0 WHEN 1 THEN 1800 ELSE 3600 END + o + since END AS clock_s, CASE k WHEN 2 THEN greatest(0, o - since) END AS remaining_s FROM e"""
 
 
-def clock_pauses(spark, d):
-    """Breaks seen from a clock that stands at a period's end, over the reports of each book."""
-    f = B.relation(spark, d, B.FEED)
-    h = f.select(
-        "event_id", "bk", F.col("fetched_at").alias("at"), F.lit("football").alias("sport"), F.lit("Liga").alias("competition"), F.lit(1).alias("period"), F.when(F.col("uid") % 9 < 5, 2700).otherwise(F.col("uid") % 2700).cast("int").alias("clock"),
-        F.lit(None).cast("int").alias("remaining"), (F.col("uid") % 50 == 0).cast("string").alias("score_key"), F.lit(None).cast("string").alias("status"), F.when(F.col("uid") % 13 == 0, True).alias("flag"), (F.col("uid") % 8 > 0).alias("market_open"))
-    out = tracker.standstill_pauses(h)
-    return out.groupBy("event_id", "pause_source", "pause_type").agg(F.count(F.lit(1)).alias("n"), F.min("pause_started").alias("first"))
+REPORTS = ("events", {
+    "event_id": "user_id % 25",
+    "bk": "event_id % 3",
+    "uid": "event_id",
+    "at": "event_id * 400",
+    "sport": "CASE user_id % 25 % 4 WHEN 0 THEN 'football' WHEN 1 THEN 'hockey' WHEN 2 THEN 'basketball' ELSE 'tennis' END",
+    "competition": "CASE WHEN user_id % 25 % 8 = 2 THEN 'NBA' ELSE 'Liga' END",
+    "period": "CASE WHEN event_id % 6 > 0 THEN CAST(event_id DIV 700 % 4 + 1 AS INT) END",
+    "clock": "CASE WHEN user_id % 25 % 4 < 3 AND user_id % 25 % 12 <> 6 THEN CAST(CASE event_id DIV 400 % 3 WHEN 0 THEN CASE user_id % 25 % 4 WHEN 0 THEN 2700 WHEN 1 THEN 1200 ELSE 1440 END WHEN 1 THEN 777 ELSE event_id % 2700 END AS INT) END",
+    "remaining": "CASE WHEN user_id % 25 % 12 = 6 THEN CAST(CASE event_id DIV 300 % 2 WHEN 0 THEN 0 ELSE event_id % 600 END AS INT) END",
+    "score_key": "CAST(event_id DIV 650 % 5 AS VARCHAR(9))",
+    "progress_key": "CASE WHEN event_id % 7 > 0 THEN CAST((event_id + user_id % 25 * 31) DIV 550 % 6 AS VARCHAR(9)) END",
+    "games": "CASE WHEN event_id DIV 900 % 3 < 2 THEN 0 ELSE 3 END",
+    "status": "CASE WHEN event_id % 31 = 0 THEN 'Poločas' WHEN event_id % 37 = 0 THEN '2. poločas' END",
+    "flag": "CASE WHEN event_id % 19 = 0 THEN true WHEN event_id % 23 = 0 THEN false END",
+    "clock_running": "CASE WHEN event_id % 29 = 0 THEN true END",
+    "market_open": "event_id % 8 > 0",
+    "finished": "event_id % 101 = 0",
+})
+
 
+def _breaks(spark, d, tennis: bool):
+    out = tracker.breaks(B.relation(spark, d, REPORTS)).where((F.col("sport") == "tennis") if tennis else (F.col("sport") != "tennis"))
+    return out.where("pause_source IS NOT NULL").select("event_id", F.col("bk").cast("long").alias("bk"), "uid", "pause_source", "pause_started", "pause_type")
 
-PAUSES = f"""WITH f AS ({B.sql(B.FEED)}), h AS (SELECT event_id, bk, fetched_at AS t, CASE WHEN uid % 9 < 5 THEN 2700 ELSE uid % 2700 END AS clock, uid % 50 = 0 AS score, uid % 13 = 0 AS flag, uid % 8 > 0 AS is_open FROM f),
-p AS (SELECT *, lag(clock) OVER w AS c0, lag(score) OVER w AS s0 FROM h WINDOW w AS (PARTITION BY event_id, bk ORDER BY t)),
-q AS (SELECT *, last_value(CASE WHEN c0 IS NULL OR c0 <> clock THEN t END IGNORE NULLS) OVER w AS cs, last_value(CASE WHEN s0 IS NULL OR s0 <> score THEN t END IGNORE NULLS) OVER w AS ss FROM p WINDOW w AS (PARTITION BY event_id, bk ORDER BY t ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT event_id, t, cs, CASE WHEN flag THEN 'feed' WHEN is_open AND t - cs >= 45000 AND ss <= cs AND clock BETWEEN 2670 AND 3600 THEN 'clock' END AS src FROM q)
-SELECT event_id, src AS pause_source, CASE WHEN src IS NOT NULL THEN 'football_ht' END AS pause_type, count(*) AS n, min(CASE src WHEN 'clock' THEN cs WHEN 'feed' THEN t END) AS first FROM r GROUP BY event_id, src"""
+
+def clock_pauses(spark, d):
+    """Breaks told by feeds and seen from clocks, at each report."""
+    return _breaks(spark, d, False)
 
 
 def set_pauses(spark, d):
-    """Breaks between sets, over the reports of each book; a set and its games are derived from the report's number and price."""
-    h = B.relation(spark, d, B.FEED).selectExpr(
-        "event_id", "bk", "uid", "uid * 40000 AS at", "CASE WHEN uid % 6 > 0 THEN CAST(uid DIV 4000 % 5 + 1 AS INT) END AS period", "CASE WHEN odds > 2 THEN 1 ELSE 0 END AS games", "CAST(odds > 3 AS STRING) AS progress_key",
-        "CAST(NULL AS STRING) AS status", "CASE WHEN uid % 13 = 0 THEN true WHEN uid % 17 = 0 THEN false END AS flag", "uid % 8 > 0 AS market_open")
-    return tracker.set_pauses(h).where("pause_source IS NOT NULL").select("event_id", F.col("bk").cast("long").alias("bk"), "uid", "pause_source", "pause_started")
-
-
-SETS = f"""WITH f AS ({B.sql(B.FEED)}), h AS (SELECT event_id, bk, uid, uid * 40000 AS t, CASE WHEN uid % 6 > 0 THEN uid // 4000 % 5 + 1 END AS period, odds > 2 AS games, odds > 3 AS moved, CASE WHEN uid % 13 = 0 THEN true WHEN uid % 17 = 0 THEN false END AS flag, uid % 8 > 0 AS is_open FROM f),
-p AS (SELECT *, last_value(period IGNORE NULLS) OVER w AS p0, lag(moved) OVER (PARTITION BY event_id, bk ORDER BY t) AS m0 FROM h WINDOW w AS (PARTITION BY event_id, bk ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-q AS (SELECT *, last_value(CASE WHEN period IS NOT NULL AND (p0 IS NULL OR p0 <> period) THEN t END IGNORE NULLS) OVER w AS ps, last_value(CASE WHEN m0 IS NULL OR m0 <> moved THEN t END IGNORE NULLS) OVER w AS ms FROM p WINDOW w AS (PARTITION BY event_id, bk ORDER BY t ROWS UNBOUNDED PRECEDING)),
-r AS (SELECT *, CASE WHEN flag THEN 'feed' WHEN flag IS NULL AND is_open AND NOT games AND period > 1 AND t - greatest(ps, ms) >= 30000 AND t - ps < 600000 THEN 'clock' END AS src FROM q)
-SELECT event_id, CAST(bk AS BIGINT) AS bk, uid, src AS pause_source, CASE src WHEN 'clock' THEN ps ELSE t END AS pause_started FROM r WHERE src IS NOT NULL"""
+    """Breaks told by feeds and between sets, at each report."""
+    return _breaks(spark, d, True)
+
+
+def _break_sql(sports: str) -> str:
+    """Report after report, each with the state that the one before left."""
+    moved = lambda now, old: f"CASE WHEN NOT coalesce(e.finished, false) AND e.{now} IS NOT NULL AND (r.{old} IS NULL OR r.{old} <> e.{now}) THEN e.tm ELSE r.{old}_at END"
+    kept = lambda now, old: f"CASE WHEN NOT coalesce(e.finished, false) AND e.{now} IS NOT NULL THEN e.{now} ELSE r.{old} END"
+    return f"""WITH RECURSIVE f AS (SELECT *, row_number() OVER (PARTITION BY event_id, bk ORDER BY tm, uid) AS n, coalesce(clock, -remaining) AS k, coalesce(score_key, '') AS s, coalesce(progress_key, '') AS g,
+  coalesce(flag, false) OR coalesce(status = 'Poločas', false) AS told, coalesce(flag = false, false) OR coalesce(status = '2. poločas', false) OR coalesce(clock_running, false) AS plays, CASE sport WHEN 'tennis' THEN 30000 ELSE 45000 END AS patience,
+  CASE sport WHEN 'football' THEN 'football_ht' WHEN 'hockey' THEN 'hockey_intermission' WHEN 'tennis' THEN 'tennis_set_break'
+    ELSE CASE WHEN coalesce(contains(status, 'oločas'), false) OR coalesce(period, greatest(1, CAST(floor(clock / CASE competition WHEN 'NBA' THEN 720.0 ELSE 600.0 END + 0.5) AS INT))) = 2 THEN 'basketball_ht' ELSE 'basketball_quarter' END END AS kind,
+  coalesce(remaining <= 1, false) OR coalesce(CASE sport WHEN 'football' THEN clock BETWEEN 2670 AND 3600 AND (period IS NULL OR period <= 1) WHEN 'hockey' THEN clock BETWEEN 1195 AND 3600 AND (clock % 1200 <= 3 OR clock % 1200 >= 1197)
+    WHEN 'basketball' THEN clock >= CASE competition WHEN 'NBA' THEN 715 ELSE 595 END AND clock < CASE competition WHEN 'NBA' THEN 2880 ELSE 2400 END AND (clock % CASE competition WHEN 'NBA' THEN 720 ELSE 600 END <= 3 OR clock % CASE competition WHEN 'NBA' THEN 720 ELSE 600 END >= CASE competition WHEN 'NBA' THEN 717 ELSE 597 END) END, false) AS edge
+  FROM ({B.sql((REPORTS[0], {{"at": "tm"}.get(k, k): v.replace(" DIV ", " // ") for k, v in REPORTS[1].items()}))}) WHERE {sports}),
+r AS (SELECT DISTINCT event_id, bk, 0::BIGINT AS n, NULL::BIGINT AS uid, NULL::INT AS k, NULL::BIGINT AS k_at, NULL::INT AS period, NULL::BIGINT AS period_at, NULL::VARCHAR AS s, NULL::BIGINT AS s_at, NULL::VARCHAR AS g, NULL::BIGINT AS g_at, NULL::VARCHAR AS source, NULL::BIGINT AS started, NULL::VARCHAR AS type FROM f
+  UNION ALL SELECT event_id, bk, n, uid, k, k_at, period, period_at, s, s_at, g, g_at, step[1], CASE step[1] WHEN step[2] THEN started WHEN 'feed' THEN tm WHEN 'clock' THEN CASE sport WHEN 'tennis' THEN period_at ELSE k_at END END, CASE step[1] WHEN step[2] THEN type WHEN 'feed' THEN kind WHEN 'clock' THEN kind END FROM (
+    SELECT *, [CASE WHEN ended THEN NULL WHEN told THEN coalesce(source, 'feed') WHEN source = 'feed' THEN NULL
+      WHEN source = 'clock' THEN CASE WHEN coalesce(k_at, 0) > started OR (sport = 'tennis' AND coalesce(g_at, 0) > started) OR plays OR coalesce(s_at, 0) > started THEN NULL ELSE 'clock' END
+      WHEN NOT market_open OR plays THEN NULL
+      WHEN sport = 'tennis' THEN CASE WHEN period_at IS NOT NULL AND games = 0 AND coalesce(own_period, 1) > 1 AND tm - greatest(period_at, coalesce(g_at, 0)) >= patience AND tm - period_at < 600000 THEN 'clock' END
+      WHEN k_at IS NOT NULL AND tm - k_at >= patience AND coalesce(s_at, 0) <= k_at AND edge THEN 'clock' END, source] AS step FROM (
+    SELECT e.event_id, e.bk, e.n, e.uid, e.tm, e.sport, e.told, e.plays, e.patience, e.kind, e.edge, e.games, e.market_open, coalesce(e.finished, false) AS ended, e.period AS own_period, r.source, r.started, r.type,
+      {kept('k', 'k')} AS k, {moved('k', 'k')} AS k_at, {kept('period', 'period')} AS period, {moved('period', 'period')} AS period_at, {kept('s', 's')} AS s, {moved('s', 's')} AS s_at, {kept('g', 'g')} AS g, {moved('g', 'g')} AS g_at
+      FROM r JOIN f e ON e.event_id = r.event_id AND e.bk = r.bk AND e.n = r.n + 1)))
+SELECT event_id, CAST(bk AS BIGINT) AS bk, uid, source AS pause_source, started AS pause_started, type AS pause_type FROM r WHERE n > 0 AND source IS NOT NULL"""
+
+
+PAUSES, SETS = _break_sql("sport <> 'tennis'"), _break_sql("sport = 'tennis'")
 
 
 def _participants(spark, d):
