@@ -11,7 +11,8 @@ Work is dealt out in units (row block, query group). Queries are streamed past a
 block and a batch of queries, and keeps k rows a query. Vectors that are null, or hold null or non-finite components,
 take no part; shorter vectors count as padded with zeros. A query is a row: rows that share an id are asked each, all rows but
 the asked one are its candidates, and each has its own ranks 1 to k. Equal rows get equal answers, as often as they come.
-Scores are 64-bit: if the largest component could make one pass that, ``ValueError`` is raised before any work.
+Ranks hold for scores of any size, since slices have no last weight. A reported score has 64 bits: one among the k best that passes that is
+refused (``ValueError``), and so is a component beyond 2**62; other large components only make their block's index deeper.
 """
 
 from __future__ import annotations
@@ -104,11 +105,23 @@ class BitSlicedIndex:
                 if have == k:
                     break
         rows = np.concatenate([_positions(sure), _positions(even)[: k - have]])
-        scores = self.values[rows].astype(np.int64) @ query.astype(np.int64)
+        scores = self._scores(rows, query)
         order = np.lexsort((self.ids[rows], -scores))
         return self.ids[rows][order], scores[order]
 
 
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products; sums that wrap on the way are right where the result fits."""
+        own, asked = self.values[rows].astype(np.int64), query.astype(np.int64)
+        with np.errstate(over="ignore"):
+            out = own @ asked
+        for i in np.flatnonzero(np.abs(own.astype(np.float64)) @ np.abs(asked.astype(np.float64)) >= 2.0**62):
+            score = sum(int(a) * int(b) for a, b in zip(own[i], asked, strict=True))
+            if not -(2**63) <= score < 2**63:
+                raise ValueError(f"a score of row {self.ids[rows[i]]} passes 64 bits")
+        return out
+
+
 def signed_digits(q: int) -> Iterator[tuple[int, int]]:
     """(shift, +1 or -1): the non-adjacent form of an integer."""
     shift = 0
@@ -132,17 +145,16 @@ def quantised(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vect
     """(id, v): whole-number vectors of the rows that take part."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     own = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).alias("id"), own.alias("v"), *more)
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite).select(F.col(id_col).cast("long").alias("id"), own.alias("v"), *more)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's k best rows; queries are the ids divisible by ``every``."""
     spark = vectors.sparkSession
     rows = quantised(vectors, scale, id_col, vector_col)
-    largest = F.array_max(F.transform(vector_col, lambda x: F.abs(x.cast("double"))))
-    n, width, reach = quantised(vectors, scale, id_col, vector_col, largest.alias("reach")).agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("reach")).first()
-    if (scale * (reach or 0.0) + 1) ** 2 * (width or 0) >= 2**63:
-        raise ValueError(f"components up to {reach} make scores that pass 64 bits")
+    n, width, low, high = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
+    if max(abs(low or 0), abs(high or 0)) > 2**62:
+        raise ValueError("a component passes 62 bits, so that scores could pass 64 bits")
     blocks = max(1, math.ceil(n / block_rows))
     groups = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / blocks))
     width = max(1, width or 1)

@@ -273,3 +273,23 @@ def test_pieces_of_a_long_conversation_join_up():
     for n in (1, 5, 64, 65, 300):
         row = rng.integers(0, 16, n)
         assert turn_repair.repair_long(row, 16) == turn_repair.repair_bucket([row])[0]
+
+
+# one large component, and ids of any whole kind, in the top-k search
+
+
+def test_a_large_component_takes_part(spark):
+    from oddsloom.llm import bitslice
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.uniform(-1, 1, 4)]) for i in range(200)] + [(1_000, [1e8, 0.0, -1e8, 0.5])]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = []
+    for q in sorted(i for i in whole if i % 50 == 0):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:5], 1)]
+    for kind in ("int", "long"):
+        got = bitslice.top_k(spark.createDataFrame(rows, f"vec_id {kind}, embedding array<double>"))
+        assert sorted(map(tuple, got.collect())) == want
+    with pytest.raises(Exception, match="passes 64 bits"):
+        bitslice.top_k(spark.createDataFrame([(0, [1e10]), (1, [1e10])], "vec_id long, embedding array<double>")).collect()
