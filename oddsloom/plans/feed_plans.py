@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
-from ..sources import feeds, market_ids, simulator
+from ..sources import feeds, market_ids, pricing
 from . import bindings as B
 
 
@@ -67,7 +67,7 @@ SELECT event_id, count(*) AS n, max(at_ms) AS at, round(sum(odds), 6) AS odds FR
 def fair_goals(spark, d):
     o = B.read(spark, d, "orders").selectExpr("o_orderkey AS event_id", "CAST(o_custkey % 30 AS DOUBLE) / 10 + 0.2 AS home_rate", "CAST(o_orderkey % 20 AS DOUBLE) / 10 + 0.1 AS away_rate", "CAST(o_orderkey % 3 AS INT) AS h", "CAST(o_custkey % 2 AS INT) AS a")
     kinds = o.groupBy("home_rate", "away_rate", "h", "a").agg(F.count(F.lit(1)).alias("n"))  # each state once
-    out = simulator.goal_outcomes(kinds, F.col("home_rate"), F.col("away_rate"), F.col("h"), F.col("a"))
+    out = pricing.goal_outcomes(kinds, F.col("home_rate"), F.col("away_rate"), F.col("h"), F.col("a"))
     return out.select("home_rate", "away_rate", F.col("h").cast("long").alias("h"), F.col("a").cast("long").alias("a"), "n", *[F.round(c, 9).alias(c) for c in ("p_home", "p_draw", "p_away", "p_btts")])
 
 
@@ -80,20 +80,7 @@ SELECT home_rate, away_rate, h, a, n, round(sum(px * py) FILTER (h + x > a + y)
 
 def ladder_prices(spark, d):
     li = B.read(spark, d, "lineitem").selectExpr("l_extendedprice / 700 AS x", "l_linenumber AS k")
-    return li.select(simulator.price_ladder(F.col("x")).alias("price")).groupBy("price").agg(F.count(F.lit(1)).alias("n"))
-
-
-def simulated_arbs(spark, d):
-    """Opportunities found in synthetic quotes with injected ones; made by hash, so without SQL."""
-    from ..domain import Settings
-    from ..operators import detect
-    from ..operators.groups import group_dimension
-
-    e = simulator.events(spark, 400).where("sport = 'football'")
-    q = simulator.with_boosts(simulator.quoted(simulator.fair_football(e), F.lit(0)), 0.2, 3.0)
-    q = q.select("event_id", "sport", F.lit("PREMATCH").alias("mode"), "bk", "market", "sel", "odds", F.lit(True).alias("is_open"), F.lit(0).cast("long").alias("changed_at"), F.lit(0).cast("long").alias("seen_at"))
-    found = detect.arbs(q, group_dimension(spark, ["1X2|REG", "DNB|REG", "BTTS|REG"], ("football",)), Settings(), check_consensus=False)
-    return found.select("event_id", "group_key", F.round("margin", 6).alias("margin"))
+    return li.select(pricing.price_ladder(F.col("x")).alias("price")).groupBy("price").agg(F.count(F.lit(1)).alias("n"))
 
 
 def strategy_ladder(spark, d):
@@ -188,8 +175,8 @@ VIRTUAL = "WITH p AS (SELECT ['eFootball cup', 'SRL League', 'Virtual basketball
 def fair_points(spark, d):
     """Chances of sums that are about normal: more points than a line, and a home win, from what is still expected."""
     o = B.read(spark, d, "orders").selectExpr("CAST(o_custkey % 40 AS DOUBLE) / 4 - 5 AS diff", "CAST(o_orderkey % 12 AS DOUBLE) AS sd", "CAST(o_custkey % 60 AS DOUBLE) + 140.5 AS line").distinct()
-    over = simulator.points_over(F.col("line"), F.lit(170.0), F.col("sd"))
-    return o.select("diff", "sd", "line", F.round(over, 9).alias("p_over"), F.round(simulator.points_over(F.lit(0.0), F.col("diff"), F.col("sd")), 9).alias("p_home"))
+    over = pricing.points_over(F.col("line"), F.lit(170.0), F.col("sd"))
+    return o.select("diff", "sd", "line", F.round(over, 9).alias("p_over"), F.round(pricing.points_over(F.lit(0.0), F.col("diff"), F.col("sd")), 9).alias("p_home"))
 
 
 _RATIO = "(1 / (1 + CAST(0.2316419 AS DOUBLE) * abs({x})))"
@@ -209,7 +196,7 @@ SELECT diff, sd, line, round(1 - {_cdf('z1')}, 9) AS p_over, round(1 - {_cdf('z2
 def fair_sets(spark, d):
     """Chance of a match of two won sets from the sets so far."""
     o = B.read(spark, d, "orders").selectExpr("CAST(o_custkey % 19 + 1 AS DOUBLE) / 20 AS p_now", "CAST(o_orderkey % 9 + 1 AS DOUBLE) / 10 AS p_set", "o_custkey % 2 AS home", "o_orderkey % 2 AS away").distinct()
-    return o.select("p_now", "p_set", "home", "away", F.round(simulator.sets_match(F.col("p_now"), F.col("p_set"), F.col("home"), F.col("away")), 9).alias("p"))
+    return o.select("p_now", "p_set", "home", "away", F.round(pricing.sets_match(F.col("p_now"), F.col("p_set"), F.col("home"), F.col("away")), 9).alias("p"))
 
 
 SETS = """WITH o AS (SELECT DISTINCT CAST(o_custkey % 19 + 1 AS DOUBLE) / 20 AS c, CAST(o_orderkey % 9 + 1 AS DOUBLE) / 10 AS p, o_custkey % 2 AS h, o_orderkey % 2 AS a FROM orders)
@@ -223,7 +210,6 @@ QUERIES = {
     "journal_replay": (journal_replay, JOURNAL),
     "fair_goals": (fair_goals, GOALS),
     "ladder_prices": (ladder_prices, "WITH x AS (SELECT least(1000.0, greatest(CAST(1.01 AS DOUBLE), l_extendedprice / 700)) AS x FROM lineitem) SELECT CASE WHEN x < 3 THEN floor(x * 100 + 0.5) / 100 WHEN x < 10 THEN floor(x * 20 + 0.5) / 20 WHEN x < 30 THEN floor(x * 2 + 0.5) / 2 ELSE floor(x + 0.5) END AS price, count(*) AS n FROM x GROUP BY 1"),
-    "simulated_arbs": (simulated_arbs, None),
     "strategy_ladder": (strategy_ladder, f"""WITH f AS (SELECT CAST(bk AS BIGINT) AS source, fetched_at AS at_ms, uid, odds > 1.8 AS ok FROM ({B.sql(B.FEED)})), g AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY at_ms, uid) AS k FROM f),
 r AS (SELECT *, CASE WHEN ok THEN 0 ELSE sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY source, k ORDER BY at_ms, uid) END AS run FROM g) SELECT source, count(*) AS n, CAST(max(run) AS BIGINT) AS longest, count(*) FILTER (run > 0 AND run % 3 = 0) AS trips FROM r GROUP BY source"""),
     "push_frames": (push_frames, FRAMES),

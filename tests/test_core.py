@@ -14,7 +14,7 @@ from oddsloom.functions import names
 from oddsloom.functions import scalars as S
 from oddsloom.operators import cdc, cox, detect, groups, ladder, matching, output, review, series, stakes, states, survival, validate
 from oddsloom.plans.bindings import MARKETS
-from oddsloom.sources import feeds, market_ids, simulator
+from oddsloom.sources import feeds, market_ids, pricing
 
 
 def one(spark, **columns):
@@ -261,12 +261,12 @@ def test_states(spark):
 
 
 def test_fair_models(spark):
-    r = simulator.goal_outcomes(spark.range(1), F.lit(1.4), F.lit(1.1)).first()
+    r = pricing.goal_outcomes(spark.range(1), F.lit(1.4), F.lit(1.1)).first()
     pmf = lambda lam: [math.exp(-lam) * lam**k / math.factorial(k) for k in range(13)]
     joint = [(h, a, x * y) for (h, x), (a, y) in itertools.product(enumerate(pmf(1.4)), enumerate(pmf(1.1)))]
     whole = sum(p for *_, p in joint)
     assert r.p_home == pytest.approx(sum(p for h, a, p in joint if h > a) / whole, abs=1e-9)
-    assert one(spark, p=simulator.normal_cdf(F.lit(1.0))).p == pytest.approx(0.8413447, abs=1e-6)
+    assert one(spark, p=pricing.normal_cdf(F.lit(1.0))).p == pytest.approx(0.8413447, abs=1e-6)
 
 
 def test_market_numbers(spark):
