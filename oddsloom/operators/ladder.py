@@ -25,10 +25,11 @@ def failure_runs(log: DataFrame, keys: list[str], at: str, ties: list[str], widt
     return out.withColumn("run", run).withColumn("trips", (F.col("run") > 0) & (F.col("run") % FAILURES == 0)).drop("_failed", "_then")
 
 
-def throttled(ticks: DataFrame, keys: list[str], at: str, least_ms: int = 200) -> DataFrame:
-    """Ticks at least so long after the last one kept: a rule on its own past."""
+def throttled(ticks: DataFrame, keys: list[str], at: str, least_ms: int = 200, ties: list[str] | None = None) -> DataFrame:
+    """Ticks at least so long after the last one kept: a rule on its own past. Of ticks of one time the first by ``ties`` (else by all other columns) counts."""
+    ties = [c for c in ticks.columns if c not in (*keys, at)] if ties is None else ties
 
     def step(last: int | None, row: dict) -> tuple[int, list[dict]]:
         return (row[at], [row]) if last is None or row[at] - last >= least_ms else (last, [])
 
-    return fold(ticks, keys, [at], lambda: None, step, ticks.schema)
+    return fold(ticks, keys, [at, *ties], lambda: None, step, ticks.schema)
