@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..domain import Settings
 from ..functions import scalars as S
 from ..operators import cdc, detect, stakes, validate
 from ..operators.groups import SCHEMA, affected_rows, group_rows
+from ..stored import shared_dir
+from ..streaming import incremental
 from . import bindings as B
 
 SPORTS = ("football", "hockey", "basketball", "tennis")
@@ -51,6 +55,17 @@ def detect_arbs(spark, sf_dir):
     return found.select("event_id", "sport", "mode", "group_key", F.col("legs").cast("long").alias("legs"), "books", F.round("margin", 6).alias("margin"))
 
 
+def incremental_arbs(spark, sf_dir):
+    """The opportunities of ``detect_arbs``, found batch by batch: late quotes, a batch that comes twice, only touched groups looked at."""
+    q = B.relation(spark, sf_dir, B.QUOTES)
+    path = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    ties = ["u1", "u2", "u3", "u4", "odds", "is_open", "seen_at"]
+    for n in (0, 1, 2, 1, 2):
+        incremental.evaluate(q.where(F.col("u3") % 3 == n), n, path, _groups(spark), SETTINGS, ties)
+    found = incremental.current(spark, path)
+    return found.select("event_id", "sport", "mode", "group_key", F.col("legs").cast("long").alias("legs"), "books", F.round("margin", 6).alias("margin"))
+
+
 def detect_arbs_checked(spark, sf_dir):
     found = detect.arbs(_quotes(spark, sf_dir), _groups(spark), DAYS, F.lit(NOW))
     return found.select("event_id", "group_key", "mode", F.round("margin", 6).alias("margin"), F.round("inverse_sum", 9).alias("inverse_sum"))
@@ -215,3 +230,4 @@ SELECT event_id, CAST(bk AS BIGINT) AS bk, market, uid, odds, previous_odds, kin
 u AS (SELECT *, 'detail' AS origin FROM l WHERE detail UNION ALL SELECT *, 'listing' AS origin FROM l WHERE NOT detail AND event_id NOT IN (SELECT event_id FROM l WHERE detail)),
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id, market ORDER BY price, p, s) AS rn FROM u) SELECT event_id, market, price, origin FROM r WHERE rn = 1"""),
 }
+QUERIES["incremental_arbs"] = (incremental_arbs, QUERIES["detect_arbs"][1])
