@@ -58,10 +58,15 @@ def normalised_listing(events: DataFrame, markets: DataFrame, odds: DataFrame, c
     return o.join(odds.select(F.col("id").alias("odd_id"), F.col("typeId").alias("outcome"), "price", (F.col("oddStatus") == 0).alias("is_open")), "odd_id")
 
 
-def freshest(messages: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The last message of each key over all connections that are healthy."""
+def _ties(df: DataFrame, known: list[str], ties: list[str] | None) -> list[str]:
+    """Columns that decide between rows of one time: those given, else all that are not ``known``."""
+    return [c for c in df.columns if c not in known] if ties is None else ties
+
+
+def freshest(messages: DataFrame, keys: list[str], at: str, ties: list[str] | None = None) -> DataFrame:
+    """The last message of each key over all connections that are healthy; of messages of one time the greatest by ``ties`` (else by all other columns)."""
     kept = messages.where("healthy") if "healthy" in messages.columns else messages
-    row = F.max_by(F.struct(*[c for c in kept.columns if c not in keys]), at)
+    row = F.max_by(F.struct(*[c for c in kept.columns if c not in keys]), F.struct(at, *_ties(kept, [*keys, at], ties)))
     return kept.groupBy(*keys).agg(row.alias("m")).select(*keys, "m.*")
 
 
@@ -86,13 +91,13 @@ def apply_deltas(frames: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
     return joined.where("market IS NOT NULL"), joined.where("market IS NULL").select("outcome_id").distinct()
 
 
-def replay_journal(snapshot: DataFrame, journal: DataFrame, keys: list[str], margin_ms: int = 2_000) -> DataFrame:
+def replay_journal(snapshot: DataFrame, journal: DataFrame, keys: list[str], margin_ms: int = 2_000, ties: list[str] | None = None) -> DataFrame:
     """State after a snapshot and the messages since it was made (less a margin): the last one of each key counts, a message
-    before the snapshot at equal time. Removals are messages with ``removed``."""
+    before the snapshot at equal time, then the greatest by ``ties`` (else by all other columns). Removals are messages with ``removed``."""
     made = snapshot.agg(F.max("at").alias("_made"))
     later = journal.join(F.broadcast(made)).where(F.col("_made").isNull() | (F.col("at") >= F.col("_made") - margin_ms)).drop("_made").withColumn("_side", F.lit(1))
     both = snapshot.withColumn("removed", F.lit(False)).withColumn("_side", F.lit(0)).unionByName(later)
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("_side").desc()))
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("at").desc(), F.col("_side").desc(), *[F.col(c).desc() for c in _ties(snapshot, [*keys, "at"], ties)]))
     return both.withColumn("_rn", rn).where("_rn = 1 AND NOT removed").drop("_rn", "_side", "removed")
 
 
@@ -148,15 +153,8 @@ def is_virtual(name: Column) -> Column:
     return F.coalesce(F.lower(name).rlike(r"(^|\W)(e-?(sports?|football|hockey|soccer|basketball)|srl|virtual|simul|cyber|esport)"), F.lit(False))
 
 
-def append_partitioned(df: DataFrame, path: str, at: str) -> None:
-    """Sink of changes and ticks: Parquet by day, so that retention drops folders and scans prune."""
-    from ..operators.stats import day_of
-
-    df.withColumn("day", day_of(F.col(at))).repartition("day").write.mode("append").partitionBy("day").parquet(path)
-
-
-def upsert(table: DataFrame, changes: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """The table after an upsert: of each key the newest row."""
+def upsert(table: DataFrame, changes: DataFrame, keys: list[str], at: str, ties: list[str] | None = None) -> DataFrame:
+    """The table after an upsert: of each key the newest row, then the greatest by ``ties`` (else by all other columns)."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(at).desc()))
+    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(at).desc(), *[F.col(c).desc() for c in _ties(table, [*keys, at], ties)]))
     return both.withColumn("_rn", rn).where("_rn = 1").drop("_rn", "_new")

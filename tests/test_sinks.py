@@ -3,6 +3,9 @@
 import random
 from functools import partial
 
+from pyspark.sql import functions as F
+
+from oddsloom.sources import feeds
 from oddsloom.streaming import sinks
 
 DAY = 86_400_000
@@ -83,3 +86,15 @@ def test_one_broken_response_in_ten_minutes(spark):
     judged = spark.createDataFrame(rows, "bk string, at long, text string, ok boolean")
     assert rows_of(sinks.broken(judged, ["bk"], "at", ["text"]), "bk", "text") == [("x", "a"), ("x", "d"), ("y", "f")]
     assert rows_of(sinks.broken(judged, ["bk"], "at", ["text"], 1), "text") == [("a",), ("b",), ("d",), ("f",)]
+
+
+def test_rows_of_one_time_have_an_order(spark):
+    rows = [("k", 5, "b", True), ("k", 5, "c", True), ("k", 5, "a", True), ("k", 9, "z", False), ("l", 1, None, True)]
+    for _ in range(3):
+        random.shuffle(rows)
+        messages = spark.createDataFrame(rows, "k string, at long, v string, healthy boolean")
+        assert rows_of(feeds.freshest(messages, ["k"], "at"), "k", "at", "v") == [("k", 5, "c"), ("l", 1, None)]
+        plain = messages.where("healthy").drop("healthy")
+        assert rows_of(feeds.upsert(plain.limit(0), plain, ["k"], "at"), "k", "v") == [("k", "c"), ("l", None)]
+        journal = plain.withColumn("removed", F.col("k") == "l")
+        assert rows_of(feeds.replay_journal(plain.limit(0), journal, ["k"]), "k", "v") == [("k", "c")]
