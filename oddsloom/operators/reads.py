@@ -64,3 +64,30 @@ def reevaluated(active: DataFrame, quotes: DataFrame, groups: DataFrame, setting
     fresh = found.join(kept, near, "left_anti").withColumn("status", F.lit("new"))
     combo = F.array_join(F.transform("leg_list", lambda x: F.concat_ws(":", x["leg"], x["bk"])), ",")
     return judged.unionByName(fresh).select("event_id", "group_key", "status", F.when(F.col("status") == "ended", "threshold_changed").alias("end_reason"), "margin", combo.alias("combo"))
+
+
+HOUR = 3_600_000
+
+# Classes of matches fetched in detail, each with its sports' horizons in hours and how many at most.
+MAIN = ({"football": 12, "tennis": 12, "basketball": 12, "hockey": 24}, 150)
+OTHERS = ({"handball": 24, "baseball": 24, "american_football": 24, "volleyball": 24, "snooker": 24, "darts": 24}, 40)
+
+
+def detail_targets(matches: DataFrame, start: str, key: str, now: int, main: tuple[dict[str, int], int] = MAIN, others: tuple[dict[str, int], int] = OTHERS) -> DataFrame:
+    """Matches to fetch in detail: of each class those that start after ``now`` and within their sport's horizon, nearest first (ties by ``key``), at most so many.
+
+    Adds ``place`` from 1: the first class's matches, then the other's. An ordered limit for each class, so the table is never sorted;
+    null starts and sports of neither class are left out.
+    """
+    away = F.col(start) - F.lit(now)
+    parts = []
+    for n, (hours, most) in enumerate((main, others)):
+        own = matches.where((away > 0) & (away < lookup(F.col("sport"), hours) * F.lit(HOUR)))
+        parts.append(own.orderBy(start, key).limit(most).withColumn("_class", F.lit(n)))
+    # the quotas bound what is numbered here
+    return parts[0].unionByName(parts[1]).withColumn("place", F.row_number().over(Window.orderBy("_class", start, key)).cast("long")).drop("_class")
+
+
+def nearest_details(matches: DataFrame, start: str, key: str, now: int, hours: int = 36, most: int = 150) -> DataFrame:
+    """The nearest matches up to a horizon, which is included, for feeds with one quota; a match that should have started already comes first."""
+    return matches.where(F.col(start) <= now + hours * HOUR).orderBy(start, key).limit(most)

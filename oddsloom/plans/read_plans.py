@@ -65,7 +65,32 @@ judged AS (SELECT *, CASE WHEN margin < {STRICT_LIMIT} OR off THEN 'ended' ELSE
 SELECT event_id, group_key, status, CASE WHEN status = 'ended' THEN 'threshold_changed' END AS end_reason, round(margin, 6) AS margin, combo FROM judged
 UNION ALL SELECT event_id, group_key, 'new', NULL, round(margin, 6), combo FROM found f WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.status = 'kept' AND j.event_id = f.event_id AND j.group_key = f.group_key AND j.margin >= f.margin - 0.05)"""
 
+NOW = 852_076_800_000
+_SPORT = "CASE WHEN sport = 'tennis' THEN 'handball' WHEN sport = 'basketball' AND arb_id % 2 = 0 THEN 'boxing' ELSE sport END"
+
+
+def _matches(spark, d):
+    return B.relation(spark, d, B.ARBS).selectExpr("arb_id", f"{_SPORT} AS sport", "first_seen AS start")
+
+
+def detail_targets(spark, d):
+    """Matches to fetch in detail by two quotas, each sport within its horizon."""
+    return reads.detail_targets(_matches(spark, d), "start", "arb_id", NOW)
+
+
+def nearest_details(spark, d):
+    """The nearest matches of the coming 36 hours, for feeds with one quota."""
+    return reads.nearest_details(_matches(spark, d).where(F.col("start") > NOW), "start", "arb_id", NOW)
+
+
+_HOURS = "CASE WHEN sport IN ('football', 'tennis', 'basketball') THEN 12 WHEN sport IN ('hockey', 'handball') THEN 24 ELSE 0 END"
+TARGETS = f"""WITH {A}, m AS (SELECT arb_id, {_SPORT} AS sport, first_seen AS start FROM a),
+r AS (SELECT *, row_number() OVER (PARTITION BY sport = 'handball' ORDER BY start, arb_id) AS n FROM m WHERE start > {NOW} AND start - {NOW} < {_HOURS} * 3600000)
+SELECT arb_id, sport, start, row_number() OVER (ORDER BY sport = 'handball', start, arb_id) AS place FROM r WHERE n <= CASE WHEN sport = 'handball' THEN 40 ELSE 150 END"""
+
 QUERIES = {
+    "detail_targets": (detail_targets, TARGETS),
+    "nearest_details": (nearest_details, f"WITH {A} SELECT arb_id, {_SPORT} AS sport, first_seen AS start FROM a WHERE first_seen > {NOW} AND first_seen <= {NOW} + 36 * 3600000 ORDER BY first_seen, arb_id LIMIT 150"),
     "health_log": (health_log, f"WITH f AS ({B.sql(B.FEED)}), g AS (SELECT uid AS id, fetched_at AS ts, CAST(bk AS BIGINT) AS bk, {_EVENT} AS event, {_STATE} AS state FROM f) SELECT * FROM g WHERE event <> 'probe' ORDER BY ts DESC, id DESC LIMIT {LOG_ROWS}"),
     "tick_pages": (tick_pages, f"WITH f AS ({B.sql(B.FEED)}), r AS (SELECT market, fetched_at, uid, odds, row_number() OVER (PARTITION BY market ORDER BY fetched_at, uid) AS place FROM f) SELECT * FROM r WHERE place <= {reads.TICKS}"),
     "subscribed_matches": (subscribed_matches, f"WITH {A} SELECT arb_id AS match_id, sport, first_seen AS start, CASE WHEN sport = 'tennis' THEN 1 ELSE 0 END::BIGINT AS tier FROM a WHERE sport <> 'basketball' AND arb_id % 7 <> 1 AND pair <> 'betx|chance' ORDER BY tier, start, match_id LIMIT {SUBSCRIBED}"),
