@@ -9,6 +9,7 @@ An outcome that can't be read spoils its whole market: markets are dropped by an
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -240,67 +241,100 @@ def _scope() -> Column:
     return out.otherwise(rule)
 
 
+def _forms(pattern: str) -> list[tuple[str | None, str]]:
+    """(side, pattern) to try in order: a side's name at the start of a value is replaced by a mark there and here, so that patterns stay
+    constants and are compiled once. A pattern that can't be put so comes back whole, with side ``*``."""
+    if "{home}" not in pattern and "{away}" not in pattern:
+        return [(None, pattern)]
+    at = re.fullmatch(r"\^(?:\(\?:([^(){}]*)\|)?\{(home|away)\}(\))?((?:(?!\\b|\(\?<|\{home|\{away).)*)", pattern)
+    if not at or bool(at[3]) != (at[1] is not None):
+        return [("*", pattern)]
+    plain = [(None, f"^(?:{at[1]}){at[4]}")] if at[1] is not None else []
+    return [*plain, (at[2], f"^{_MARK}{at[4]}")]
+
+
+_MARK = "\x01"
+
+
+def _readings(readers: list) -> tuple[Column, Column, Column, Column]:
+    """The first reader of an outcome's feed and family that fits, by number (column ``_fit``); of it: selection, text of the line, and
+    whether it takes the line from the text."""
+    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
+    first, sels, lines = {}, {}, {}
+    for r in sorted(readers, key=lambda r: (r.feed, r.family, r.reader)):
+        value, kind = F.col(f"_{r.field}"), "plain" if r.field == "plain" else "label"
+        for side, pattern in _forms(r.pattern):
+            where, by = value, F.lit(pattern)
+            if side == "*":
+                for who in ("home", "away"):
+                    by = F.replace(by, F.lit(f"{{{who}}}"), quoted(F.col(f"_{kind}_{who}")))
+            elif side:
+                name = F.col(f"_{kind}_{side}")
+                where = F.when(F.startswith(value, name), F.concat(F.lit(_MARK), F.substring(value, F.length(name) + 1, F.length(value))))
+            n = len(sels)
+            sels[n] = r.sel
+            if r.line_group > 0:
+                lines[n] = F.call_function("regexp_extract", where, by, F.lit(1))
+            first.setdefault(r.feed, {}).setdefault(r.family, []).append((F.rlike(where, by), n))
+    chain = lambda cases: reduce(lambda c, x: c.when(*x), cases, F.when(F.lit(False), F.lit(None)))
+    fit = chain([(F.col("feed") == f, chain([(F.col("family") == k, chain([(c, F.lit(n)) for c, n in own])) for k, own in of.items()])) for f, of in first.items()])
+    by_sel: dict = {}
+    for n, sel in sels.items():
+        by_sel.setdefault(sel, []).append(n)
+    return fit, chain([(F.col("_fit").isin(*ns), F.lit(sel)) for sel, ns in by_sel.items()]), chain([(F.col("_fit") == n, c) for n, c in lines.items()]), F.col("_fit").isin(*lines)
+
+
 def mapped(outcomes: DataFrame, rules: DataFrame, readers: DataFrame) -> DataFrame:
     """(feed, event_id, market, market_open, sel, odds, is_open, market_id): the markets that the rules understand.
 
     ``outcomes``, one row each: ``feed, event_id, sport, home, away, market_id, unit`` (a line of a market that has several), ``at`` (order of
     markets), ``code, name, market_open, place`` (of the outcome, from 0), ``label, sub, stated, odds, is_open``. Hidden markets and outcomes,
-    alternatives and variants are no rows. Two markets of one key: the first stands. ``rules`` and ``readers`` are broadcast: hundreds of rows.
+    alternatives and variants are no rows. Two markets of one key: the first stands.
+
+    ``rules`` and ``readers`` are hundreds of rows: rules are broadcast, readers become one expression whose patterns are constants (a
+    pattern that is a column would be compiled for every row). All windows share one shuffle by event.
     """
+    patterns = [r[0] for r in rules.select("name_pattern").distinct().collect()]
     named = outcomes.join(F.broadcast(rules.withColumnsRenamed({"rule_sport": "sport", "rule_code": "code"})), ["feed", "sport", "code"])
-    named = named.where((F.col("name_pattern") == "") | F.rlike("name", F.col("name_pattern"))).where(~F.rlike("name", _by_feed("foreign")))
-    first = F.min("rank").over(Window.partitionBy(*MARKET))
-    named = named.withColumn("_first", first).where("rank = _first").withColumn("scope", _scope())
+    of_name = reduce(lambda c, p: c.when(F.col("name_pattern") == p, F.rlike("name", F.lit(p))), [p for p in patterns if p], F.when(F.col("name_pattern") == "", F.lit(True)))
+    foreign = reduce(lambda c, f: c.when(F.col("feed") == f, F.rlike("name", F.lit(POLICIES[f].foreign))), POLICIES, F.when(F.lit(False), F.lit(False))).otherwise(F.rlike("name", F.lit(Policy.foreign)))
+    named = named.where(of_name).where(~foreign).withColumn("scope", _scope())
     # double chance and what ends in regular time say nothing of extra time
     level = (F.col("type") == "DC") | ((F.col("feed") == "synot") & (F.col("scope") != "MATCH"))
-    named = named.where(F.col("scope").isNotNull() & ~(level & F.rlike("name", _by_feed("extra_time"))))
+    beyond = reduce(lambda c, f: c.when(F.col("feed") == f, F.rlike("name", F.lit(POLICIES[f].extra_time))), POLICIES, F.when(F.lit(False), F.lit(False))).otherwise(F.rlike("name", F.lit(Policy.extra_time)))
+    counts = F.coalesce(F.col("scope").isNotNull() & ~(level & beyond), F.lit(False))
     family = reduce(lambda c, kv: c.when(F.col("type") == kv[0], kv[1]), FAMILY.items(), F.when(F.lit(False), "")).alias("family")
     label = F.trim(F.lower("label"))
-    fields = {"label": label, "sub": F.lower("sub"), "plain": fold(F.col("label")), "both": F.concat_ws(":", "sub", fold(F.col("label"))), "place": F.col("place").cast("string")}
-    quoted = lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))
-    own = named.select("*", family, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("f"), F.struct(*[c(F.col(side)).alias(f"{n}_{side}") for side in ("home", "away") for n, c in (("label", lambda x: F.trim(F.lower(x))), ("plain", fold))]).alias("who"))
-    # every reader of the family is tried where the outcome is; the first that fits reads it
-    of_family = readers.groupBy("feed", "family").agg(F.array_sort(F.collect_list(F.struct("reader", "field", "pattern", "sel", "line_group"))).alias("readers"))
-    tried = own.join(F.broadcast(of_family), ["feed", "family"], "left")
-
-    def value(r: Column) -> Column:
-        return reduce(lambda c, n: c.when(r.field == n, F.col(f"f.{n}")), fields, F.when(F.lit(False), ""))
-
-    def pattern(r: Column) -> Column:
-        out = r.pattern
-        for side in ("home", "away"):
-            out = F.replace(out, F.lit(f"{{{side}}}"), quoted(F.when(r.field == "plain", F.col(f"who.plain_{side}")).otherwise(F.col(f"who.label_{side}"))))
-        return out
-
-    def line(r: Column) -> Column:
-        text = F.call_function("regexp_extract", value(r), pattern(r), F.lit(1))
-        return F.when(r.line_group > 0, F.regexp_replace(F.translate(text, ",", "."), r"\s", "").cast("double")).otherwise(F.col("stated"))
-
-    first_fit = F.get(F.filter("readers", lambda r: F.coalesce(F.rlike(value(r), pattern(r)), F.lit(False))), 0)
-    keys = [*MARKET, "at", "type", "scope", "family", "market_open", "place", "odds", "is_open"]
-    got = tried.withColumn("r", first_fit).select(*keys, "r.sel", F.when(F.col("family").isin("TOTAL", "HANDICAP"), line(F.col("r"))).alias("line"))
-    got = got.withColumn("priced", F.coalesce(F.col("odds").between(1.01, 1000), F.lit(False)))
+    fields = {"label": label, "sub": F.lower("sub"), "plain": fold(F.col("label")), "place": F.col("place").cast("string")}
+    keys = [*MARKET, "at", "rank", "type", "scope", "market_open", "odds", "is_open"]
+    own = named.select(*keys, "stated", counts.alias("counts"), family, "home", "away", *[c.alias(f"_{n}") for n, c in fields.items()])
+    own = own.withColumn("_both", F.concat_ws(":", "_sub", "_plain"))
+    own = own.withColumns({f"_{n}_{side}": c(F.col(side)) for side in ("home", "away") for n, c in (("label", lambda x: F.trim(F.lower(x))), ("plain", fold))})
+    fit, sel, text, in_text = _readings(readers.collect())
+    # without the names of both sides nothing is read
+    tried = own.withColumn("_fit", F.when(F.col("home").isNotNull() & F.col("away").isNotNull(), fit))
+    line = F.when(in_text, F.regexp_replace(F.translate(text, ",", "."), r"\s", "").cast("double")).when(F.col("_fit").isNotNull(), F.col("stated"))
+    lined, mirrored = F.col("family").isin("TOTAL", "HANDICAP"), F.col("family") == "HANDICAP"
+    got = tried.select(*keys, "counts", "family", sel.alias("sel"), F.when(lined, line).alias("line"), F.coalesce(F.col("odds").between(1.01, 1000), F.lit(False)).alias("priced"))
 
+    market = Window.partitionBy(*MARKET)
+    dealt = got.repartition("feed", "event_id").withColumn("_first", F.min("rank").over(market)).where("rank = _first AND counts")
     # what spoils a market
-    lined, mirrored = F.col("family").isin("TOTAL", "HANDICAP"), F.col("family") == "HANDICAP"
     from_home = F.when(F.col("sel") == "HOME", F.col("line")).when(F.col("sel") == "AWAY", -F.col("line")).otherwise(F.col("line"))
     looked_at = ~(_by_feed("home_line") & mirrored & (F.col("sel") != "HOME"))
-    one = got.select("*", F.when(looked_at, F.when(mirrored, from_home).otherwise(F.col("line"))).alias("own_line"), (lined & looked_at & F.col("line").isNull()).alias("lacking"))
+    one = dealt.withColumns({"own_line": F.when(looked_at, F.when(mirrored, from_home).otherwise(F.col("line"))), "lacking": lined & looked_at & F.col("line").isNull()})
     whole = reduce(lambda c, kv: c.when(F.col("family") == kv[0], kv[1]), WHOLE.items(), F.when(F.lit(False), 0)).otherwise(2)
-    per = one.groupBy(*MARKET, "family").agg(
-        F.bool_or(F.col("sel").isNull() | (F.col("sel") == "BAD") | F.col("lacking")).alias("unread"), F.count(F.lit(1)).alias("n"), F.countDistinct("sel").alias("sels"),
-        F.bool_or(~F.col("priced")).alias("unpriced"), F.count(F.when(F.col("priced"), 1)).alias("prices"), F.min("own_line").alias("low"), F.max("own_line").alias("high"))
+    per = {
+        "unread": F.bool_or(F.col("sel").isNull() | (F.col("sel") == "BAD") | F.col("lacking")), "n": F.count(F.lit(1)), "sels": F.collect_set("sel"),
+        "unpriced": F.bool_or(~F.col("priced")), "prices": F.count(F.when(F.col("priced"), 1)), "low": F.min("own_line"), "high": F.max("own_line"), "any_open": F.bool_or(F.when(F.col("priced"), F.col("is_open")))}
+    seen = one.withColumns({n: c.over(market) for n, c in per.items()})
     partial = (F.col("family") == "DC") & _by_feed("partial_dc")
-    spoilt = F.col("unread") | (F.col("sels") < F.col("n")) | (F.coalesce(F.col("low") != F.col("high"), F.lit(False))) | (F.col("prices") == 0)
+    spoilt = F.col("unread") | (F.size("sels") < F.col("n")) | (F.coalesce(F.col("low") != F.col("high"), F.lit(False))) | (F.col("prices") == 0)
     spoilt = spoilt | (_by_feed("counted") & ~partial & (F.col("n") != whole)) | ((_by_feed("bad_odds") == "drop") & ~partial & F.col("unpriced"))
     # a handicap needs both sides, to be seen from home
-    spoilt = spoilt | ((F.col("family") == "HANDICAP") & (F.col("sels") < 2)) | ((F.col("family") == "TOTAL") & (F.col("low") < 0)) | (_by_feed("half_lines") & F.coalesce((F.col("low") * 2) != F.floor(F.col("low") * 2), F.lit(False)))
-    broken = per.where(spoilt).select(*MARKET)
-    lines = per.select(*MARKET, F.col("low").alias("market_line"))
-    kept = got.where("priced").join(broken, MARKET, "left_anti").join(lines, MARKET)
-    kept = kept.withColumn("market", market_key(F.col("type"), F.col("scope"), F.col("market_line")))
-    any_open = F.bool_or("is_open").over(Window.partitionBy(*MARKET))
-    kept = kept.withColumn("market_open", F.col("market_open") & (_by_feed("own_state") | any_open))
+    spoilt = spoilt | ((F.col("family") == "HANDICAP") & (F.size("sels") < 2)) | ((F.col("family") == "TOTAL") & (F.col("low") < 0)) | (_by_feed("half_lines") & F.coalesce((F.col("low") * 2) != F.floor(F.col("low") * 2), F.lit(False)))
+    kept = seen.where("priced").where(~F.coalesce(spoilt, F.lit(False))).withColumn("market", market_key(F.col("type"), F.col("scope"), F.col("low")))
+    kept = kept.withColumn("market_open", F.col("market_open") & (_by_feed("own_state") | F.col("any_open")))
     place = F.min(F.struct("at", "market_id", "unit")).over(Window.partitionBy("feed", "event_id", "market"))
     kept = kept.withColumn("_stands", place).where("_stands.at = at AND _stands.market_id = market_id AND _stands.unit = unit")
     return kept.select("feed", "event_id", "market", "market_open", "sel", "odds", "is_open", "market_id")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from oddsloom.plans import catalog
 from oddsloom.sources import market_rules
 
 SCHEMA = "feed string, event_id long, sport string, home string, away string, market_id string, unit string, at long, code string, name string, market_open boolean, place int, label string, sub string, stated double, odds double, is_open boolean"
@@ -73,3 +74,15 @@ def test_betano_and_synot(spark):
         s("volleyball", "249", "4. set", ("1", 1.5), ("2", 2.4), number=6), s("volleyball", "249", "Zlatý set", ("1", 1.5), ("2", 2.4), number=7), s("snooker", "1277", "Počet framů", ("Nad (8.5)", 1.9), ("Pod (8.5)", 0.0), number=8))
     assert got == {
         ("AH|MATCH|-3.5", True): {"HOME": 1.8, "AWAY": 2.0}, ("OU|REG|2.5", True): {"OVER": 1.8, "UNDER": 2.0}, ("1X2|REG", True): {"HOME": 1.8, "DRAW": 3.0, "AWAY": 2.0}, ("AH|MATCH|-1.5", True): {"HOME": 2.1, "AWAY": 1.7}, ("ML|S4", True): {"HOME": 1.5, "AWAY": 2.4}}
+
+
+def test_patterns_are_constants_and_markets_are_shuffled_once(spark, sf):
+    plan = catalog.queries()["markets_sazka"](spark, sf)._jdf.queryExecution()
+    assert "lambda" not in plan.optimizedPlan().toString() and plan.executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("name", ["Slavia (A)", "1", "S.K. [B]*"])
+def test_names_are_no_patterns(spark, name):
+    outcomes = (f"{name} (-1)", 1.9), ("2 (+1)", 1.9)
+    assert read(spark, market("fortuna", "football", "00-0b", "Handicap", *outcomes, home=name)) == {("AH|REG|-1", True): {"HOME": 1.9, "AWAY": 1.9}}
+    assert not read(spark, market("fortuna", "football", "00-0b", "Handicap", *outcomes, home=name + "x", away=None))
