@@ -28,25 +28,30 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_at: str, right_at: str, right_id: str, tolerance_ms: int, limit: int) -> DataFrame:
     """The candidates nearest in time of each row, up to ``limit`` (what a reviewer is shown); times and keys that are null meet nothing.
 
-    The right side is numbered along time, once forwards and once backwards, and put in blocks of ``limit`` rows. A left row knows
-    how many rows come before it, so it reads the two blocks after it in either direction: at most 4 times ``limit`` rows,
-    however many lie within the tolerance.
+    The right side is numbered along time, once forwards and once backwards, and put in overlapping blocks of twice ``limit`` rows. A left
+    row knows how many rows come before it, so it meets one block in either direction, however many rows lie within the tolerance. What it
+    meets stays in its own row; pairs are made where nothing is shuffled any more.
     """
     none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType)
-    found = None
-    for sign, left_side, right_side in ((1, 0, 1), (-1, 1, 0)):  # backwards, rows of the same time come before the left row
-        a = left.where(F.col(left_at).isNotNull()).select(*keys, (F.col(left_at) * sign).alias("_at"), F.lit(left_side).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"), F.struct(*left.columns).alias("_l"), none(right).alias("_r"))
-        b = right.where(F.col(right_at).isNotNull()).select(*keys, (F.col(right_at) * sign).alias("_at"), F.lit(right_side).alias("_side"), F.col(right_id).alias("_id"), none(left).alias("_l"), F.struct(*right.columns).alias("_r"))
+    rest = [c for c in right.columns if c not in (*keys, right_at, right_id)]
+    own = F.struct(right_id, right_at, *rest)
+    asked, blocks = left.where(F.col(left_at).isNotNull()), []
+    for way, sign, left_side, right_side in (("_ahead", 1, 0, 1), ("_behind", -1, 1, 0)):  # backwards, rows of the same time come before the left row
+        a = asked.select(*keys, (F.col(left_at) * sign).alias("_at"), F.lit(left_side).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"), F.struct(*asked.columns).alias("_l"), none(right.select(own.alias("r")).select("r.*")).alias("_r"))
+        b = right.where(F.col(right_at).isNotNull()).select(*keys, (F.col(right_at) * sign).alias("_at"), F.lit(right_side).alias("_side"), F.col(right_id).alias("_id"), none(asked).alias("_l"), own.alias("_r"))
         both = running(a.unionByName(b), keys, "_at", ["_side", "_id"], tolerance_ms, total={"_n": F.col("_r").isNotNull().cast("long")})
-        block = lambda n: F.floor(n / limit)
-        blocks = both.where("_r IS NOT NULL").groupBy(*keys, block(F.col("_n") - 1).alias("_block")).agg(F.collect_list(F.struct("_n", "_r")).alias("_own"))
-        asked = both.where("_l IS NOT NULL").select(*keys, "_l", F.col("_n").alias("_p"), F.explode(F.array(block(F.col("_n")), block(F.col("_n")) + 1)).alias("_block"))
-        met = asked.join(blocks, [*keys, "_block"]).select("_l", "_p", F.explode("_own").alias("_o")).where((F.col("_o._n") > F.col("_p")) & (F.col("_o._n") <= F.col("_p") + limit))
-        pairs = met.select("_l.*", *[F.col(f"_o._r.{c}") for c in right.columns if c not in keys])
-        found = found.unionByName(pairs) if found is not None else pairs
-    pairs = found.withColumn("gap", F.abs(F.col(left_at) - F.col(right_at))).where(F.col("gap") <= tolerance_ms)
-    rank = F.row_number().over(Window.partitionBy(left_id).orderBy("gap", right_id))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= limit)
+        block = F.floor((F.col("_n") - 1) / limit)
+        blocks.append(both.where("_r IS NOT NULL").select(*keys, F.explode(F.array(block - 1, block)).alias(f"{way}_block"), "_n", "_r").groupBy(*keys, f"{way}_block").agg(F.collect_list(F.struct("_n", "_r")).alias("_own")))
+        asked = both.where("_l IS NOT NULL").select("_l.*", F.col("_n").alias(f"{way}_n"), F.floor(F.col("_n") / limit).alias(f"{way}_block"))
+    for way, of_way in zip(("_ahead", "_behind"), blocks):
+        n = F.col(f"{way}_n")
+        near = F.filter("_own", lambda o: (o._n > n) & (o._n <= n + limit) & (F.abs(F.col(left_at) - o._r[right_at]) <= tolerance_ms))
+        met = F.transform(near, lambda o: F.struct(F.abs(F.col(left_at) - o._r[right_at]).alias("gap"), *[o._r[c].alias(c) for c in (right_id, right_at, *rest)]))
+        asked = asked.join(of_way, [*keys, f"{way}_block"], "left").withColumn(f"{way}_met", met).drop("_own", f"{way}_n", f"{way}_block")
+    nobody = F.slice(F.coalesce("_ahead_met", "_behind_met"), F.lit(1), F.lit(0))
+    best = F.slice(F.array_sort(F.concat(F.coalesce("_ahead_met", nobody), F.coalesce("_behind_met", nobody))), 1, limit)
+    pairs = asked.select(*left.columns, F.posexplode(best).alias("_place", "_o"))
+    return pairs.select(*left.columns, *[F.col(f"_o.{c}").alias(c) for c in right.columns if c not in keys], F.col("_o.gap").alias("gap"), (F.col("_place") + 1).alias("rank"))
 
 
 def exact_pairs(entries: DataFrame, events: DataFrame, home: str, away: str) -> DataFrame:
@@ -57,6 +62,16 @@ def exact_pairs(entries: DataFrame, events: DataFrame, home: str, away: str) ->
     return joined.withColumn("swapped", F.col(home) != F.col(f"ev_{home}"))
 
 
+def exact_counts(entries: DataFrame, events: DataFrame, entry_id: str, home: str, away: str) -> DataFrame:
+    """How many pairs of :func:`exact_pairs` an entry is in, ``n``, and how many of them are ``swapped``. Events of the same sides are
+    counted before they are joined, so no pair is made."""
+    of_sides = events.groupBy(F.col(home).alias("_h"), F.col(away).alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
+    # both orders of the sides; of equal sides there is one
+    either = of_sides.select(F.explode(F.array_distinct(F.array(F.struct("_h", "_a"), F.struct(F.col("_a").alias("_h"), F.col("_h").alias("_a"))))).alias("_s"), "_h", "_n")
+    sides = either.groupBy(F.col("_s._h").alias(home), F.col("_s._a").alias(away)).agg(F.sum("_n").alias("_n"), F.sum(F.when(F.col("_h") != F.col("_s._h"), F.col("_n")).otherwise(0)).alias("_swapped"))
+    return entries.join(sides, [home, away]).groupBy(entry_id).agg(F.sum("_n").alias("n"), F.sum("_swapped").alias("swapped"))
+
+
 def combined(home: Column, away: Column) -> Column:
     return F.when((home > 0) & (away > 0), 0.7 * F.least(home, away) + 0.15 * (home + away)).otherwise(0.0)
 

@@ -49,8 +49,7 @@ def review_candidates(spark, d):
 
 def same_participants(spark, d):
     o = B.read(spark, d, "orders").selectExpr("o_orderkey AS id", "o_custkey % 60 AS home", "CAST(floor(o_totalprice) AS BIGINT) % 60 AS away")
-    pairs = matching.exact_pairs(o.where("id % 2 = 0"), o.where("id % 2 = 1"), "home", "away")
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("swapped").cast("long")).alias("swapped"))
+    return matching.exact_counts(o.where("id % 2 = 0"), o.where("id % 2 = 1"), "id", "home", "away")
 
 
 def folded_texts(spark, d):

@@ -318,3 +318,24 @@ def test_initials_after_an_accented_letter(spark):
     # "ó" is no letter of a word edge here, as in the SQL
     r = one(spark, a=S.fold(F.lit("ción. Y. ni")), b=S.fold(F.lit("xA. C. Y. ní")), c=S.fold(F.lit("A. C. Milán's")), d=S.fold(F.lit("a.\x0bb. ’c")))
     assert tuple(r) == ("ciony ni", "xa cy ni", "ac milans", "a b c")
+
+
+def test_counts_of_pairs_without_the_pairs(spark):
+    rows = [(i, i * 7 % 3 if i % 9 else None, i * 5 % 4) for i in range(60)]
+    o = spark.createDataFrame(rows, "id long, home long, away long")
+    a, b = o.where("id % 2 = 0"), o.where("id % 2 = 1")
+    pairs = matching.exact_pairs(a, b, "home", "away").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("swapped").cast("long")).alias("swapped"))
+    found = matching.exact_counts(a, b, "id", "home", "away")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.collect()))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") > 1  # events are counted before the join
+
+
+def test_nearest_shuffles_no_pairs(spark):
+    random.seed(5)
+    left = [(i, random.choice("ab"), random.choice([None, *range(0, 40, 4)])) for i in range(50)]
+    right = [(i, random.choice("ab"), random.choice([None, *range(0, 40, 4)])) for i in range(90)]
+    found = matching.nearest(spark.createDataFrame(left, "l long, k string, t long"), spark.createDataFrame(right, "r long, k string, u long"), ["k"], "l", "t", "u", "r", 9, 3)
+    wanted = [(i, r, rank) for i, k, t in left if t is not None for rank, (gap, r) in enumerate(sorted((abs(t - u), r) for r, q, u in right if q == k and u is not None and abs(t - u) <= 9)[:3], 1)]
+    assert sorted((x.l, x.r, x["rank"]) for x in found.collect()) == sorted(wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Exchange")
