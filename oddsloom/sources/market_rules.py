@@ -2,9 +2,9 @@
 
 Rules and readers are tables. A rule says for (feed, sport, code) what a market is; a reader says for (feed, family of types) what an
 outcome is, by a pattern over one of its fields. Of several the first in order counts, so a reader may also name what must not be
-read (selection ``BAD``). All patterns are data: the engine joins them with the outcomes and knows no feed.
+read (selection ``BAD``). All patterns are data: the engine makes one expression of them and knows no reader.
 
-An outcome that can't be read spoils its whole market: markets are dropped by anti joins, never thinned out.
+An outcome that can't be read spoils its whole market: markets are dropped as a whole, never thinned out.
 """
 
 from __future__ import annotations
