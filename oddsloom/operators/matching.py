@@ -2,7 +2,7 @@
 
 Entries have ``entry_id, sport, bk, home, away, start`` (ms), events ``event_id, sport, home, away, start``. The pool of
 an entry is found by an equi-join on sport and time bucket (the neighbouring buckets exploded) with the exact time
-difference as residual; names are compared once for each distinct pair.
+difference as residual; names are compared once for each distinct pair, before entries meet events.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..domain import INDIVIDUAL_SPORTS, Settings
 from ..functions.names import Vocabulary, similarity_column
+from ..stored import stored
 from .series import running
 
 MINUTE = 60_000
+#: Names that a wide window may link.
+EQUAL = 0.95
 
 
 def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, tolerance_ms: int) -> DataFrame:
@@ -76,15 +79,35 @@ def combined(home: Column, away: Column) -> Column:
     return F.when((home > 0) & (away > 0), 0.7 * F.least(home, away) + 0.15 * (home + away)).otherwise(0.0)
 
 
-def scored(pairs: DataFrame, settings: Settings, vocabulary: Vocabulary | None = None) -> DataFrame:
+#: Names of entries are compared with all names of events of their sport where that makes at most so many pairs for each entry.
+COMPARED = 10
+
+
+def compared(entries: DataFrame, events: DataFrame, tolerance_ms: int, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(sport, a, b, score): names of entries with names of events (as of :func:`as_candidates`), each distinct pair once, stored.
+
+    Where a sport has few names, all of them meet; else those of entries and events that are near in time, each name once in a stretch of time.
+    """
+    bucket = lambda c: F.floor(F.col(c) / tolerance_ms)
+    named = lambda df, names, at, out: df.select("sport", F.explode(F.array(*names)).alias(out), bucket(at).alias("_bucket")).where(f"{out} IS NOT NULL AND _bucket IS NOT NULL").distinct()
+    mine, theirs = stored(named(entries, ["home", "away"], "start", "a"), "entry-names"), stored(named(events, ["ev_home", "ev_away"], "ev_start", "b"), "event-names")
+    own, other = mine.select("sport", "a").distinct(), theirs.select("sport", "b").distinct()
+    sizes = own.groupBy("sport").agg(F.count(F.lit(1)).alias("n")).join(other.groupBy("sport").agg(F.count(F.lit(1)).alias("m")), "sport")
+    if (sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0) <= COMPARED * entries.count():
+        pairs = own.join(other, "sport")
+    else:
+        near = mine.withColumn("_bucket", F.explode(F.array(*[F.col("_bucket") + d for d in (-1, 0, 1)])))
+        pairs = near.join(theirs, ["sport", "_bucket"]).select("sport", "a", "b").distinct()
+    pairs = pairs.repartition("sport", "a")  # few sports, many names
+    return stored(pairs.withColumn("score", similarity_column(F.col("a"), F.col("b"), F.col("sport"), vocabulary)), "names")
+
+
+def scored(pairs: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
     """Pairs (``sport, home, away, start`` and ``ev_home, ev_away, ev_start``) with their similarity in the better orientation.
 
-    Names are compared once for each distinct pair of them.
+    ``known``: scores of names, as :func:`compared` gives them. Being stored, a small one is broadcast, so that pairs are not shuffled.
     """
-    sides = [("home", "ev_home"), ("away", "ev_away"), ("home", "ev_away"), ("away", "ev_home")]
-    names = pairs.select("sport", F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides])).alias("p")).select("sport", "p.a", "p.b").distinct()
-    known = names.withColumn("score", similarity_column(F.col("a"), F.col("b"), F.col("sport"), vocabulary))
-    for i, (a, b) in enumerate(sides):
+    for i, (a, b) in enumerate([("home", "ev_home"), ("away", "ev_away"), ("home", "ev_away"), ("away", "ev_home")]):
         own = known.select("sport", F.col("a").alias(a), F.col("b").alias(b), F.col("score").alias(f"_s{i}"))
         pairs = pairs.join(own, ["sport", a, b])
     straight, crossed = combined(F.col("_s0"), F.col("_s1")), combined(F.col("_s2"), F.col("_s3"))
@@ -102,16 +125,32 @@ def as_candidates(events: DataFrame) -> DataFrame:
     return events.select("event_id", "sport", F.col("home").alias("ev_home"), F.col("away").alias("ev_away"), F.col("start").alias("ev_start"))
 
 
-def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, tolerance_ms: int | None = None, vocabulary: Vocabulary | None = None, reach: Column | None = None) -> DataFrame:
-    """Candidates of each entry with their similarity; ``reach`` may narrow the tolerance by row.
+def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
+    """Candidates of each entry within the matching window, with their similarity.
 
-    Events the book is linked to already, and pairs a reviewer has rejected, are left out.
+    Events the book is linked to already, and pairs a reviewer has rejected, are left out, once the similarity has left few pairs.
     """
-    pool = near_in_time(entries, as_candidates(events), ["sport"], "start", "ev_start", tolerance_ms or settings.match_minutes * MINUTE)
+    pool = near_in_time(entries, as_candidates(events), ["sport"], "start", "ev_start", settings.match_minutes * MINUTE)
+    return _open(scored(pool, settings, known), links, rejected)
+
+
+def equal_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, known: DataFrame, tolerance_ms: int, reach: Column | None = None) -> DataFrame:
+    """Candidates within a wide window whose names are almost equal on both sides; ``reach`` may narrow the window by row.
+
+    Names go first: an entry meets the events of the few names that are like its own, in either order, and no other event of its time.
+    """
+    like = known.where(F.col("score") >= EQUAL)
+    of = lambda side, ev: like.select("sport", F.col("a").alias(side), F.col("b").alias(ev))
+    ways = [entries.join(of("home", h), ["sport", "home"]).join(of("away", a), ["sport", "away"]) for h, a in (("ev_home", "ev_away"), ("ev_away", "ev_home"))]
+    asked = ways[0].unionByName(ways[1]).dropDuplicates(["entry_id", "ev_home", "ev_away"])
+    pool = near_in_time(asked, as_candidates(events), ["sport", "ev_home", "ev_away"], "start", "ev_start", tolerance_ms)
     if reach is not None:
         pool = pool.where(F.abs(F.col("start") - F.col("ev_start")) <= reach)
-    pool = pool.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
-    return scored(pool, settings, vocabulary)
+    return _open(scored(pool, settings, known).where(F.least("home_score", "away_score") >= EQUAL), links, rejected)
+
+
+def _open(pool: DataFrame, links: DataFrame, rejected: DataFrame) -> DataFrame:
+    return pool.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
 
 
 def decide(pool: DataFrame, wide: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
@@ -131,7 +170,7 @@ def decide(pool: DataFrame, wide: DataFrame, entries: DataFrame, settings: Setti
     individual = F.col("sport").isin(*INDIVIDUAL_SPORTS)
     clear = (F.col("second") < F.col("score") - 0.05) & (~F.col("swapped") | individual | (F.col("score") >= 0.95))
     narrow = best(pool).withColumn("auto", (F.col("score") >= settings.auto_accept) & clear)
-    far = best(wide.where(F.least("home_score", "away_score") >= 0.95)).where(clear).select("entry_id", F.col("event_id").alias("wide_event"), F.col("swapped").alias("wide_swapped"), F.col("score").alias("wide_score"))
+    far = best(wide.where(F.least("home_score", "away_score") >= EQUAL)).where(clear).select("entry_id", F.col("event_id").alias("wide_event"), F.col("swapped").alias("wide_swapped"), F.col("score").alias("wide_score"))
     out = entries.join(narrow.drop("sport"), "entry_id", "left").join(far, "entry_id", "left")
     auto = F.coalesce(F.col("auto"), F.lit(False))
     status = F.when(auto | F.col("wide_event").isNotNull(), "auto").when(F.col("score") >= settings.review, "review").otherwise("create")

@@ -19,11 +19,11 @@ HOUR = 3_600_000
 LINK_MS, EXPIRE_MS, FORGET_MS = 6 * HOUR, 4 * HOUR, 8 * HOUR
 
 
-def valid_links(entries: DataFrame, links: DataFrame, events: DataFrame, settings: Settings, vocabulary: Vocabulary | None = None) -> DataFrame:
+def valid_links(entries: DataFrame, links: DataFrame, events: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
     """Stored links (``bk, entry_id, event_id, swapped``) whose event is still there, of the entry's sport, within six hours,
     with names at most 0.1 below the review limit in the same orientation."""
     own = links.withColumnRenamed("swapped", "_was").join(entries, ["bk", "entry_id"]).join(matching.as_candidates(events), ["event_id", "sport"])
-    found = matching.scored(own.where(F.abs(F.col("start") - F.col("ev_start")) <= LINK_MS), settings, vocabulary)
+    found = matching.scored(own.where(F.abs(F.col("start") - F.col("ev_start")) <= LINK_MS), settings, known)
     return found.where((F.col("swapped") == F.col("_was")) & (F.col("score") >= settings.review - 0.1)).select("bk", "entry_id", "event_id", "swapped")
 
 
@@ -38,7 +38,7 @@ def by_alias(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: D
     named = entries.join(known("home"), ["bk", "sport", "home"]).join(known("away"), ["bk", "sport", "away"])
     named = named.withColumn("_lo", F.least("home_pid", "away_pid")).withColumn("_hi", F.greatest("home_pid", "away_pid"))
     e = events.select("event_id", "sport", F.col("start").alias("ev_start"), "home_id", F.least("home_id", "away_id").alias("_lo"), F.greatest("home_id", "away_id").alias("_hi"))
-    found = named.join(e, ["sport", "_lo", "_hi"]).where(F.abs(F.col("start") - F.col("ev_start")) <= settings.match_minutes * matching.MINUTE)
+    found = matching.near_in_time(named, e, ["sport", "_lo", "_hi"], "start", "ev_start", settings.match_minutes * matching.MINUTE)
     found = found.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
     found = found.withColumn("_off", F.abs(F.col("start") - F.col("ev_start")))
     nearest = F.row_number().over(Window.partitionBy("entry_id").orderBy("_off", "event_id"))
@@ -50,17 +50,19 @@ def by_alias(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: D
 def resolve(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: DataFrame, rejected: DataFrame, settings: Settings, vocabulary: Vocabulary | None = None) -> DataFrame:
     """``entry_id, status, event_id, swapped, method`` of every entry: ``link``, ``alias``, ``auto``, ``review`` or ``create``.
 
-    Candidates are scored once, in the wide window of their kind of sport, and stored; the narrow window is a part of it.
+    Names are scored once for all steps. The narrow window's pairs are scored where they are made; the wide one, which links only names that
+    are almost equal, is searched by name.
     """
-    kept = stored(valid_links(entries, links, events, settings, vocabulary).select("entry_id", "event_id", "swapped", F.lit("link").alias("method")), "links")
+    known = matching.compared(entries, matching.as_candidates(events), LINK_MS, vocabulary)
+    kept = stored(valid_links(entries, links, events, settings, known).select("entry_id", "event_id", "swapped", F.lit("link").alias("method")), "links")
     rest = entries.join(kept.select("entry_id"), "entry_id", "left_anti")
     named = stored(by_alias(rest, events, links, aliases, rejected, settings), "aliases")
     alias = named.select("entry_id", "event_id", "swapped", F.lit("alias").alias("method"))
     taken = links.select("bk", "event_id").unionByName(named.select("bk", "event_id"))
-    rest = rest.join(alias.select("entry_id"), "entry_id", "left_anti")
+    rest = stored(rest.join(alias.select("entry_id"), "entry_id", "left_anti"), "unnamed")
     reach = F.when(F.col("sport").isin(*matching.INDIVIDUAL_SPORTS), 6 * HOUR).otherwise(3 * HOUR)
-    wide = stored(matching.scored_pool(rest, events, taken, rejected, settings, 6 * HOUR, vocabulary, reach), "pool")
-    narrow = wide.where(F.abs(F.col("start") - F.col("ev_start")) <= settings.match_minutes * matching.MINUTE)
+    narrow = matching.scored_pool(rest, events, taken, rejected, settings, known)
+    wide = matching.equal_pool(rest, events, taken, rejected, settings, known, 6 * HOUR, reach)
     decided = matching.one_event_a_book(matching.decide(narrow, wide, rest.select("entry_id", "sport"), settings), rest.select("entry_id", "bk"))
     fuzzy = decided.select("entry_id", F.when(F.col("status") != "create", F.col("event_id")).alias("event_id"), "swapped", F.col("status").alias("method"))
     out = kept.unionByName(alias).unionByName(fuzzy)

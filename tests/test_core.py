@@ -202,6 +202,26 @@ def test_aliases_respect_links_rejections_and_one_event_a_book(spark):
     assert {got[i][0] for i in (1, 3, 5)} == {"create"}  # a second entry of the book, a book that has the event, a rejected pair
 
 
+def test_resolution_by_all_names_and_by_names_near_in_time(spark, monkeypatch, capsys):
+    rng, minute = random.Random(5), 60_000
+    known = ["red ring", "red bolt", "FC Red Ring", "blue gear", "bolt blue", "red bolts", "gear", None]
+    events = spark.createDataFrame([(i, rng.choice(["football", "tennis"]), rng.choice(known), rng.choice(known), rng.randrange(800) * minute, 100 + i, 200 + i) for i in range(120)], "event_id long, sport string, home string, away string, start long, home_id long, away_id long")
+    rows = spark.createDataFrame([entry(i, rng.randrange(4), rng.choice(known), rng.choice(known), rng.randrange(800) * minute, rng.choice(["football", "tennis"])) for i in range(120)], "entry_id long, sport string, bk int, home string, away string, start long")
+    links = spark.createDataFrame([(i % 4, i, i + 1, False) for i in range(0, 120, 9)], "bk int, entry_id long, event_id long, swapped boolean").join(rows.select("bk", "entry_id"), ["bk", "entry_id"], "left_semi")
+    aliases = spark.createDataFrame([(1, "football", "red ring", 101)], "bk int, sport string, raw_name string, participant_id long")
+    rejected = spark.createDataFrame([(i, i + 2) for i in range(120)], "entry_id long, event_id long")
+    results = []
+    for most in (0, 10**9):
+        monkeypatch.setattr(matching, "COMPARED", most)
+        results.append(sorted(tuple(r) for r in review.resolve(rows, events, links, aliases, rejected, Settings()).select("entry_id", "method", "event_id", "swapped").na.fill(-1, ["event_id"]).collect()))
+    assert results[0] == results[1] and len(results[0]) == 120 and {"auto", "review", "create"} <= {r[1] for r in results[0]}
+    names_ = matching.compared(rows, matching.as_candidates(events), 360 * minute)
+    assert names_.groupBy("sport", "a", "b").count().where("count > 1").count() == 0
+    matching.scored_pool(rows, events, links, rejected, Settings(), names_).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastHashJoin [sport") >= 4  # pairs are not shuffled to meet the scores of names
+
+
 def test_pairs_near_in_time_equal_brute_force(spark):
     rng = random.Random(2)
     a, b = ([(i, rng.choice("xy"), rng.randrange(-5000, 5000)) for i in range(60)] for _ in range(2))
