@@ -86,7 +86,8 @@ def current(written: DataFrame, key: list[str], at: str, inserted: list[str], up
 
     # an update's value counts column by column, as the last batch that set it
     set_last = [F.max_by(n, F.when(is_up & F.col(n).isNotNull(), F.struct(*place, n))).alias(f"_u_{n}") for n in updated]
-    out = written.groupBy(*key).agg(picked(F.min_by, is_in, inserted).alias("_in"), *set_last).where("_in IS NOT NULL")
+    # rows of a key come together before they are sorted for the aggregates: a partition of the shuffle is small, a split of a compressed file is not
+    out = written.repartition(*key).groupBy(*key).agg(picked(F.min_by, is_in, inserted).alias("_in"), *set_last).where("_in IS NOT NULL")
     return out.select(*key, *[(F.coalesce(f"_u_{n}", F.col("_in")[n]) if n in updated else F.col("_in")[n]).alias(n) for n in inserted], *[F.col(f"_u_{n}").alias(n) for n in updated if n not in inserted])
 
 

@@ -98,3 +98,10 @@ def test_rows_of_one_time_have_an_order(spark):
         assert rows_of(feeds.upsert(plain.limit(0), plain, ["k"], "at"), "k", "v") == [("k", "c"), ("l", None)]
         journal = plain.withColumn("removed", F.col("k") == "l")
         assert rows_of(feeds.replay_journal(plain.limit(0), journal, ["k"]), "k", "v") == [("k", "c")]
+
+
+def test_a_log_is_shuffled_before_it_is_aggregated(spark, capsys):
+    df = spark.createDataFrame([(1, "insert", 1, 5, 7, 0)], "k long, kind string, at long, a long, b long, batch long")
+    sinks.current(df, ["k"], "at", ["a", "b"], ["b"]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Aggregate(") > 0 and plan.rindex("Aggregate(") < plan.index("Exchange ")  # plans are printed from the last step up
