@@ -1,6 +1,6 @@
 """Detection kept up to date batch by batch: only groups that a batch touches are looked at again.
 
-Two logs lie under a path. ``quotes`` holds what came, by batch and by bucket of the event; ``found`` holds, for each group that a batch touched, what it is worth since.
+Two logs lie under a path. ``quotes`` holds what came last of each key in a batch (no other quote of the batch can ever count), by batch and by bucket of the event; ``found`` holds, for each group that a batch touched, what it is worth since.
 A batch reads the buckets of its own events (partitions pruned by a join with at most ``BUCKETS`` numbers), and of them its own events. It replaces its own
 files, so that a repeated batch changes nothing. Use it as ``foreachBatch(lambda df, n: evaluate(df, n, path, ...))``.
 """
@@ -34,7 +34,8 @@ def evaluate(quotes: DataFrame, batch: int, path: str, groups: DataFrame, settin
     it can serve; a new mode touches all groups of its event. A closed quote serves no leg. An empty batch touches nothing; null event ids are no event and are left out.
     """
     spark = quotes.sparkSession
-    _write(quotes.where("event_id IS NOT NULL"), batch, f"{path}/quotes")
+    order = [F.col(c).desc() for c in ties]
+    _write(detect.latest(quotes.where("event_id IS NOT NULL"), order, ("event_id", "sport", "bk", "market", "sel")), batch, f"{path}/quotes")
     log = _read(spark, f"{path}/quotes", quotes.schema).where(F.col("batch") <= batch)
     came = log.where(F.col("batch") == batch)
     buckets = came.select("bucket").distinct()
@@ -48,7 +49,7 @@ def evaluate(quotes: DataFrame, batch: int, path: str, groups: DataFrame, settin
     markets = came.select("event_id", "sport", "market").unionByName(own.join(moved, "event_id", "left_semi").select("event_id", "sport", "market")).distinct()
     touched = markets.join(F.broadcast(served), ["sport", "market"]).select("event_id", "group_key").distinct()
 
-    last = detect.latest(own, [F.col(c).desc() for c in ties]).join(events.select("event_id", "_mode"), "event_id")
+    last = detect.latest(own, order).join(events.select("event_id", "_mode"), "event_id")
     found = detect.arbs(last.withColumn("mode", F.col("_mode")).drop("_mode"), groups, settings, check_consensus=False)
     out = touched.join(found.withColumn("holds", F.lit(True)), ["event_id", "group_key"], "left")
     _write(out.withColumn("holds", F.coalesce("holds", F.lit(False))), batch, f"{path}/found")

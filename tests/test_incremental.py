@@ -64,3 +64,11 @@ def test_only_touched_groups_are_looked_at(spark, tmp_path, groups):
     assert batch(4, quote(1, "OVER", 1.2, 4, mode="PREMATCH")) == [(1, goals, False)]
     assert [tuple(r)[:2] for r in incremental.current(spark, path).collect()] == []
     assert [r.mode for r in incremental.current(spark, path, 3).collect()] == ["PREMATCH"]
+
+
+def test_a_batch_is_logged_by_its_last_quotes(spark, tmp_path, groups):
+    rows = [(1, "football", "LIVE", bk, "OU|REG|2.5", sel, 1.5 + u / 100, True, u, 0, u) for bk in (0, 1) for sel in ("OVER", "UNDER") for u in range(50)]
+    path = str(tmp_path / "state")
+    incremental.evaluate(spark.createDataFrame(rows, QUOTE), 0, path, groups, Settings(), ["u"])
+    assert [r.u for r in spark.read.parquet(f"{path}/quotes").collect()] == [49] * 4
+    assert plain(incremental.current(spark, path)) == plain(full(spark.createDataFrame(rows, QUOTE), groups))
