@@ -1,7 +1,8 @@
 """Feeds that nest their objects: every object of a JSON tree of unknown shape, and quotes of what looks like an event.
 
-A payload is VARIANT: it is parsed once and walked by depth, all payloads together. Each step explodes the containers of one
-level and is stored, so a level is read once; the walk ends with the first level that has no container.
+A payload is VARIANT: it is parsed once and walked by depth, all payloads together. Each step goes from the objects of one level to those
+below, in fields or in lists of fields, and is stored, so a level is read once; the walk ends with the first level that holds nothing. What a value
+is is told by its first bytes (an empty struct, a first element), never by the schema of all below it.
 """
 
 from __future__ import annotations
@@ -11,23 +12,39 @@ from pyspark.sql import functions as F
 
 from ..stored import stored
 
-#: A tree deeper than this is refused: no feed nests so far, and a level is a step.
+#: A tree of more steps than this is refused: no feed nests so far.
 MOST_LEVELS = 64
+#: The lists that make an object an event.
+EVENT_LISTS = ("oppRows", "eventTables")
+
+# one step: fields of an object, elements of a list; a list in a field is entered in the same step, and no element carries its list along
+_STEP = """WITH c AS (SELECT n.key, n.path || CASE WHEN t.key IS NULL THEN '[' || t.pos || ']' ELSE '.' || t.key END AS path, t.value, t.key IS NOT NULL AND try_variant_get(t.value, '$[0]', 'variant') IS NOT NULL AS is_list FROM {nodes} n, LATERAL variant_explode(n.value) AS t),
+s AS (SELECT key, path, CASE WHEN NOT is_list THEN value END AS own, CASE WHEN is_list THEN value END AS list FROM c)
+SELECT s.key, CASE WHEN e.pos IS NULL THEN s.path ELSE s.path || '[' || e.pos || ']' END AS path, coalesce(e.value, s.own) AS value FROM s, LATERAL variant_explode_outer(s.list) AS e"""
+
+
+def _kept(level: DataFrame) -> DataFrame:
+    """``level`` stored. A value is written as a list of one: a plain VARIANT column is shredded, for which the schema of all below it is worked out."""
+    return stored(level.select("key", "path", F.array("value").alias("value")), "tree-level").select("key", "path", F.get("value", F.lit(0)).alias("value"))
+
+
+def _is_object() -> Column:
+    return F.try_variant_get("value", "$", "struct<>").isNotNull()
 
 
 def objects(payloads: DataFrame, key: str, text: str) -> DataFrame:
     """(key, path, value): every object in the JSON texts, with its path. A text that is null or no JSON has none."""
     spark = payloads.sparkSession
-    level = payloads.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.try_parse_json(F.col(text)).alias("value"))
-    kind = lambda: F.schema_of_variant("value")
+    # exploded, for conditions on a plain column would be moved below it and parse the text once for each
+    level = payloads.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.explode(F.array(F.try_parse_json(F.col(text)))).alias("value"))
+    wanted = _is_object() | F.try_variant_get("value", "$[0]", "variant").isNotNull()
     held = []
     for _ in range(MOST_LEVELS):
-        level = stored(level.where(F.col("value").isNotNull() & (kind().startswith("OBJECT") | kind().startswith("ARRAY"))), "tree-level")
+        level = _kept(level.where(wanted))
         if level.isEmpty():
             break
         held.append(level)
-        step = "SELECT n.key, n.path || CASE WHEN t.key IS NULL THEN '[' || t.pos || ']' ELSE '.' || t.key END AS path, t.value FROM {nodes} n, LATERAL variant_explode(n.value) AS t"
-        level = spark.sql(step, nodes=level)
+        level = spark.sql(_STEP, nodes=level)
     else:
         raise ValueError(f"a tree of more than {MOST_LEVELS} levels")
     if not held:
@@ -35,7 +52,7 @@ def objects(payloads: DataFrame, key: str, text: str) -> DataFrame:
     out = held[0]
     for more in held[1:]:
         out = out.unionByName(more)
-    return out.where(kind().startswith("OBJECT"))
+    return out.where(_is_object())
 
 
 def _text(*paths: str) -> Column:
@@ -49,10 +66,13 @@ def nested_quotes(found: DataFrame) -> DataFrame:
     three names. Cells without a number as price are left out.
     """
     spark = found.sparkSession
-    events = found.select("key", _text("$.id", "$.idMatch", "$.matchId").alias("event_id"), _text("$.name", "$.nameFull").alias("name"), F.try_variant_get("value", "$.oppRows", "variant").alias("a"), F.try_variant_get("value", "$.eventTables", "variant").alias("b"))
-    events = events.where("event_id IS NOT NULL AND (schema_of_variant(a) LIKE 'ARRAY%' OR schema_of_variant(b) LIKE 'ARRAY%')")
-    cells = """SELECT e.key, e.event_id, e.name, c.value AS value FROM {events} e, LATERAL variant_explode(e.a) AS r, LATERAL variant_explode(try_variant_get(r.value, '$.oppsTab', 'variant')) AS c
-      UNION ALL SELECT e.key, e.event_id, e.name, c.value FROM {events} e, LATERAL variant_explode(e.b) AS t, LATERAL variant_explode(try_variant_get(t.value, '$.boxes', 'variant')) AS x, LATERAL variant_explode(try_variant_get(x.value, '$.cells', 'variant')) AS c"""
+    a, b = [F.try_variant_get("value", f"$.{x}", "variant") for x in EVENT_LISTS]
+    lists = [F.try_variant_get("value", f"$.{x}", "array<variant>").isNotNull() for x in EVENT_LISTS]
+    events = found.where(lists[0] | lists[1]).select("key", _text("$.id", "$.idMatch", "$.matchId").alias("event_id"), _text("$.name", "$.nameFull").alias("name"), F.array(a, b).alias("lists")).where("event_id IS NOT NULL")
+    # rows of the first list hold cells, tables of the second hold boxes of cells
+    cells = """SELECT e.key, e.event_id, e.name, c.value FROM {events} e, LATERAL posexplode(e.lists) AS l(n, list), LATERAL variant_explode(l.list) AS r,
+      LATERAL variant_explode_outer(CASE WHEN l.n = 1 THEN try_variant_get(r.value, '$.boxes', 'variant') END) AS x,
+      LATERAL variant_explode(CASE WHEN l.n = 0 THEN try_variant_get(r.value, '$.oppsTab', 'variant') ELSE try_variant_get(x.value, '$.cells', 'variant') END) AS c"""
     out = spark.sql(cells, events=events).select("key", "event_id", "name", _text("$.label", "$.name").alias("label"), F.try_variant_get("value", "$.odd", "double").alias("odds"), F.coalesce(F.try_variant_get("value", "$.bettingEnabled", "boolean"), F.lit(True)).alias("is_open"))
     return out.where("odds IS NOT NULL")
 

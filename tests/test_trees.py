@@ -22,6 +22,19 @@ def test_events_wherever_they_stand(spark):
     assert got == [(0, "7", "A - B", "1", 1.9, True), (0, "7", "A - B", "2", 2.1, False), (0, "m8", None, "1", 3.0, True)]
 
 
+def test_texts_are_parsed_once_and_values_not_shredded(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(trees, "stored", lambda df, name: plans.append(df) or df.localCheckpoint())
+    assert objects(spark, '{"a":[{"n":1},[{"b":[{"oppRows":[{"oppsTab":[{}]}]}]},{}]],"c":{"d":{}}}').count() == 9
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+    assert {dict(p.dtypes)["value"] for p in plans} == {"array<variant>"}
+
+
+def test_a_list_is_entered_in_the_step_of_its_field(spark, monkeypatch):
+    monkeypatch.setattr(trees, "MOST_LEVELS", 4)
+    assert sorted(r.path for r in objects(spark, '{"a":[{"b":[{}]},null,[]],"e":[],"n":null}').collect()) == ["$", "$.a[0]", "$.a[0].b[0]"]
+
+
 def test_two_lists(spark):
     lists = [(1, '{"matches":[{"id":7,"name":"A - B"},{"id":8}]}', '{"groups":[{"matchId":7,"cells":[{"label":"1","odd":1.5},{"label":"2"}]},{"matchId":99,"cells":[{"label":"1","odd":1.5}]}]}'), (2, None, '{"groups":[]}'), (3, "{", "{}")]
     got = trees.joined_quotes(spark.createDataFrame(lists, "key long, e string, o string"), "key", "e", "o").collect()
