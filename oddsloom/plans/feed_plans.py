@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import epoch
 from ..sources import feeds, market_ids, pricing
+from ..stored import stored
 from . import bindings as B
 
 
@@ -100,9 +101,10 @@ def push_frames(spark, d):
     line = F.concat(F.lit("MsEVENT"), F.lit("0" * 16), pad(F.col("l_orderkey"), 10), pad(F.col("l_orderkey") % 7, 10), user, F.lit("sPRICE"), pad(F.col("l_partkey"), 10), F.lit("000000000100"), body)
     frames = feeds.push_frames(li.select(F.when(F.col("l_suppkey") % 10 == 0, F.substr(line, F.lit(2))).otherwise(line).alias("value")))
     known = B.read(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").cast("string").alias("outcome_id"), F.col("p_brand").alias("market"))
-    quotes, resync = feeds.apply_deltas(frames, known)
-    out = quotes.groupBy("market", "is_open").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("odds"), 2).alias("odds"))
-    return out.unionByName(resync.agg(F.count(F.lit(1)).alias("n")).select(F.lit("resync").alias("market"), F.lit(False).alias("is_open"), "n", F.lit(None).cast("double").alias("odds")))
+    # summed by outcome, where the join has put the rows, so that frames are read once for both results
+    sums = stored(feeds.price_messages(frames, known).groupBy("outcome_id", "market", "is_open").agg(F.count(F.lit(1)).alias("n"), F.sum("odds").alias("odds")), "outcomes")
+    out = sums.where("market IS NOT NULL").groupBy("market", "is_open").agg(F.sum("n").alias("n"), F.round(F.sum("odds"), 2).alias("odds"))
+    return out.unionByName(sums.where("market IS NULL").agg(F.count_distinct("outcome_id").alias("n")).select(F.lit("resync").alias("market"), F.lit(False).alias("is_open"), "n", F.lit(None).cast("double").alias("odds")))
 
 
 FRAMES = """WITH l AS (SELECT l_partkey AS k, CAST(l_quantity AS BIGINT) AS q, CAST(floor((1 + CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) / l_linenumber) * 100 + 1e-6) AS DOUBLE) / 100 AS odds FROM lineitem WHERE l_suppkey % 10 <> 0),

@@ -74,20 +74,29 @@ def push_frames(lines: DataFrame, text: str = "value") -> DataFrame:
     """Fixed-width text frames: M, channel (6 letters, 16 fill, 10 id), message id (10), user (G, or U and 10), subject (6 and
     10), size (12), JSON. Lines that are no frames are dropped."""
     t = F.col(text)
-    cut = lambda a, n: F.substr(t, F.lit(a) + F.col("_user"), F.lit(n))
-    d = lines.where(F.substr(t, F.lit(1), F.lit(1)) == "M").where(F.length(t) >= 73).withColumn("_user", F.when(F.substr(t, F.lit(44), F.lit(1)) == "U", 10).otherwise(0))
-    out = d.select(
+    user = F.when(F.substr(t, F.lit(44), F.lit(1)) == "U", 10).otherwise(0)
+    cut = lambda a, n: F.substr(t, F.lit(a) + user, F.lit(n))
+    body = cut(73, 1 << 30)
+    frame = F.struct(
         F.substr(t, F.lit(2), F.lit(6)).alias("channel"), F.regexp_replace(F.substr(t, F.lit(24), F.lit(10)), "^0+(?=.)", "").alias("channel_id"), F.substr(t, F.lit(34), F.lit(10)).alias("message_id"),
-        cut(45, 6).alias("subject"), F.regexp_replace(cut(51, 10), "^0+(?=.)", "").alias("subject_id"), cut(73, 1 << 30).alias("body"))
-    return out.where(F.try_parse_json("body").isNotNull())
+        cut(45, 6).alias("subject"), F.regexp_replace(cut(51, 10), "^0+(?=.)", "").alias("subject_id"), body.alias("body"))
+    good = (F.substr(t, F.lit(1), F.lit(1)) == "M") & (F.length(t) >= 73) & F.try_parse_json(body).isNotNull()
+    # exploded, for conditions on plain columns would be moved below the lines, whose text is then made once for each
+    return lines.select(F.explode(F.when(good, F.array(frame))).alias("f")).select("f.*")
 
 
-def apply_deltas(frames: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Price messages as quotes of known outcomes, and those that need a fresh snapshot (outcome not known)."""
+def price_messages(frames: DataFrame, known: DataFrame) -> DataFrame:
+    """Price messages as quotes; ``market`` is null where the outcome is not known."""
     price = frames.where("subject = 'sPRICE'").select("message_id", "subject_id", F.from_json("body", "payout double, lp_num double, lp_den double, active boolean").alias("b"))
     odds = fractional_price(F.col("b.payout"), F.col("b.lp_num"), F.col("b.lp_den"))
     quoted = price.select("message_id", F.col("subject_id").alias("outcome_id"), odds.alias("odds"), F.coalesce("b.active", F.lit(True)).alias("is_open"))
-    joined = quoted.join(known, "outcome_id", "left")
+    return quoted.join(known, "outcome_id", "left")
+
+
+def apply_deltas(frames: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Price messages as quotes of known outcomes, and those that need a fresh snapshot (outcome not known). Each is a pass of its own
+    over the frames; who needs both at once takes :func:`price_messages`."""
+    joined = price_messages(frames, known)
     return joined.where("market IS NOT NULL"), joined.where("market IS NULL").select("outcome_id").distinct()
 
 
