@@ -53,3 +53,23 @@ def test_one_issue_rejects_the_whole_fetch(fetches):
     rows = structure.whole(fetches, "payload", feeds.FETCH).select("n", "fetch.*").drop("_corrupt_record")
     assert sorted(r.n for r in rows.select("n").collect()) == [0, len(CASES)]
     assert [(r.sel, r.odds, r.is_open) for r in feeds.flat_quotes(rows).collect()] == [("OVER", 1.9, True)] * 2
+
+
+def test_plain_values_have_no_issue(spark):
+    """Every event is judged alike with and without the cheap condition, whatever is changed, missing or added anywhere in it."""
+    good = GOOD["events"][0] | {"country": "C", "url": "u", "state": {"statusText": "s", "period": 1, "score": [0, 2], "periodScores": [[0, 1], [1, 2.0]]}}
+    good.pop("more")
+    market = good["markets"][0]
+    values = [None, 3, 1.5, -1, "", "x", True, [], {}, ["x"], [None], [[1]], "1.9", "OVER", 1e300]
+    events = [good, {k: v for k, v in good.items() if k != "state"}]
+    events += [good | {k: v} for k in [*good, "other"] for v in values] + [{k: v for k, v in good.items() if k != gone} for gone in good]
+    events += [good | {"markets": [market, market | {k: v}]} for k in [*market, "rawName", "other"] for v in values]
+    selection = market["selections"][0]
+    events += [good | {"markets": [market, market | {"selections": [selection, own]}]} for own in [*({**selection, k: v} for k in [*selection, "rawName"] for v in values), *({k: v for k, v in selection.items() if k != gone} for gone in selection)]]
+    events += [good | {"state": good["state"] | {k: v}} for k in ("period", "score", "periodScores", "z") for v in values]
+    event = structure.event_rule()
+    rows = spark.createDataFrame([(json.dumps(e),) for e in events], "payload string").repartition(4).selectExpr("payload", "try_parse_json(payload) AS v")
+    rows = rows.withColumn("t", structure.F.when(~rows.payload.contains("null"), structure.F.from_json("payload", event.ddl)))
+    got = rows.select("payload", event(rows.v).alias("walked"), event.plain(rows.v, structure.F.col("t")).alias("plain")).collect()
+    assert len(got) == len(events) and not [r.payload for r in got if r.plain and r.walked]
+    assert sum(r.plain for r in got) > 30 and all(r.plain for r in got if r.payload == json.dumps(good))
