@@ -211,7 +211,7 @@ def throttled_ticks(spark, d):
 
 def book_changes(spark, d):
     """Changes that recorded fetches make to each book's state: late fetches, scopes and removals; stateful, so without SQL."""
-    q = B.relation(spark, d, B.QUOTES)
+    q = B.relation(spark, d, B.QUOTES).repartition("bk", "event_id")  # the one shuffle: all that follows is within a book's event
     fetch = ["bk", "event_id", "changed_at"]
     quote = F.struct("market", "sel", "odds", "is_open")
     once = q.groupBy(*fetch, "market", "sel").agg(F.max(F.struct("odds", "is_open")).alias("x")).select(*fetch, "market", "sel", "x.*")

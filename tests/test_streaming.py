@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 
 from oddsloom.domain import Settings
+from oddsloom.plans import catalog
 from oddsloom.streaming import book_state, lifecycle
 
 NOW = 1_000_000
@@ -153,3 +155,33 @@ def test_book_state_stream(spark, tmp_path):
     rows = [fetch(0, "prematch", 100, ("HOME", 2.0), ("AWAY", 1.8)), fetch(1, "prematch", 200, ("HOME", 2.1)), fetch(2, "live", 300, ("HOME", 2.1)), fetch(3, "live", 400)]
     want = sorted(map(str, book_state.recorded_changes(spark.createDataFrame(rows, FETCH)).collect()))
     assert len(want) == 5 and replay(spark, rows, tmp_path, book_state.stream_changes, FETCH) == want
+
+
+def folded(rows):
+    """Changes by ``apply_fetch``, fetch after fetch."""
+    states, out = {}, []
+    names = ("bk", "event_id", "scope", "fetched_at", "seq", "source_id")
+    for f in sorted(rows, key=lambda f: f[4]):
+        row = dict(zip(names, f[:6], strict=True), quotes=[dict(zip(("market", "sel", "odds", "is_open"), q, strict=True)) for q in f[6]])
+        states[f[:2]], made = book_state.apply_fetch(states.get(f[:2]), row)
+        out += [(*f[:2], *(r[c] for c in ("market", "sel", "kind", "odds", "is_open", "previous_odds", "at"))) for r in made]
+    return out
+
+
+def test_recorded_changes_equal_the_fold(spark):
+    rng, rows = random.Random(5), []
+    for seq in range(4000):
+        at = seq // 40 * 20_000 + rng.randrange(-3, 4) * 20_000  # many of one time, many late
+        quotes = [(rng.choice("MN"), rng.choice("HDA"), rng.choice((1.5, 2.0)), rng.choice((True, True, False, None))) for _ in range(rng.choice((0, 1, 3, 6)))]
+        rows.append((rng.randrange(2), rng.randrange(4), rng.choice(("live", "prematch", "prematch", "other", None)), at, seq, rng.choice(("a", "a", "b", None)), quotes))
+    want = sorted(map(str, folded(rows)))
+    got = book_state.recorded_changes(spark.createDataFrame(rows, FETCH).repartition(5))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want and {w.split(", ")[4] for w in want} == {"'added'", "'changed'", "'removed'"}
+    once = [r for i, r in enumerate(rows) if i % 9 == 0]
+    timeless = [(*r[:3], None, *r[4:]) for r in rows if r[4] % 9 == 1]
+    assert sorted(str(tuple(r)) for r in book_state.recorded_changes(spark.createDataFrame(once + timeless, FETCH)).collect()) == sorted(map(str, folded(once)))
+
+
+def test_book_changes_is_one_shuffle_without_python(spark, sf):
+    plan = catalog.queries()["book_changes"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("Exchange") == 1
