@@ -95,10 +95,11 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable, step
         now, state = None, None
         for pdf in frames:
             out = []
-            for row in pdf.to_dict("records"):
-                if (key := tuple(row[k] for k in keys)) != now:
+            columns = {c: pdf[c].tolist() for c in pdf.columns}
+            for key, values in zip(zip(*[columns[k] for k in keys], strict=True), zip(*columns.values(), strict=True), strict=True):
+                if key != now:
                     now, state = key, start()
-                state, rows = step(state, row)
+                state, rows = step(state, dict(zip(columns, values, strict=True)))
                 out += [{**dict(zip(keys, key, strict=True)), **r} for r in rows]
             if out:
                 yield pd.DataFrame({n: pd.Series([r[n] for r in out], dtype=None if not isinstance(f.dataType, T.DoubleType) else "float64") for n, f in zip(names, fields, strict=True)})
