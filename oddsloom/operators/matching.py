@@ -25,7 +25,7 @@ def near_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_at: st
     bucket = lambda c: F.floor(F.col(c) / tolerance_ms)
     a = left.withColumn("_bucket", F.explode(F.array(*[bucket(left_at) + d for d in (-1, 0, 1)])))
     b = right.withColumn("_bucket", bucket(right_at))
-    return a.join(b, [*keys, "_bucket"]).where(F.abs(F.col(left_at) - F.col(right_at)) <= tolerance_ms).drop("_bucket")
+    return a.join(b, ["_bucket", *keys]).where(F.abs(F.col(left_at) - F.col(right_at)) <= tolerance_ms).drop("_bucket")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_at: str, right_at: str, right_id: str, tolerance_ms: int, limit: int) -> DataFrame:
@@ -88,16 +88,16 @@ def compared(entries: DataFrame, events: DataFrame, tolerance_ms: int, vocabular
 
     Where a sport has few names, all of them meet; else those of entries and events that are near in time, each name once in a stretch of time.
     """
-    bucket = lambda c: F.floor(F.col(c) / tolerance_ms)
-    named = lambda df, names, at, out: df.select("sport", F.explode(F.array(*names)).alias(out), bucket(at).alias("_bucket")).where(f"{out} IS NOT NULL AND _bucket IS NOT NULL").distinct()
-    mine, theirs = stored(named(entries, ["home", "away"], "start", "a"), "entry-names"), stored(named(events, ["ev_home", "ev_away"], "ev_start", "b"), "event-names")
-    own, other = mine.select("sport", "a").distinct(), theirs.select("sport", "b").distinct()
+    named = lambda df, names, out, *more: df.select("sport", F.explode(F.array(*names)).alias(out), *more).where(f"{out} IS NOT NULL").distinct()
+    mine, theirs = (entries.where("start IS NOT NULL"), ["home", "away"], "a"), (events.where("ev_start IS NOT NULL"), ["ev_home", "ev_away"], "b")
+    own, other = stored(named(*mine), "entry-names"), stored(named(*theirs), "event-names")
     sizes = own.groupBy("sport").agg(F.count(F.lit(1)).alias("n")).join(other.groupBy("sport").agg(F.count(F.lit(1)).alias("m")), "sport")
     if (sizes.agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0] or 0) <= COMPARED * entries.count():
         pairs = own.join(other, "sport")
     else:
-        near = mine.withColumn("_bucket", F.explode(F.array(*[F.col("_bucket") + d for d in (-1, 0, 1)])))
-        pairs = near.join(theirs, ["sport", "_bucket"]).select("sport", "a", "b").distinct()
+        bucket = lambda c: F.floor(F.col(c) / tolerance_ms).alias("_bucket")
+        near = named(*mine, bucket("start")).withColumn("_bucket", F.explode(F.array(*[F.col("_bucket") + d for d in (-1, 0, 1)])))
+        pairs = near.join(named(*theirs, bucket("ev_start")), ["sport", "_bucket"]).select("sport", "a", "b").distinct()
     pairs = pairs.repartition("sport", "a")  # few sports, many names
     return stored(pairs.withColumn("score", similarity_column(F.col("a"), F.col("b"), F.col("sport"), vocabulary)), "names")
 
@@ -110,47 +110,64 @@ def scored(pairs: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
     for i, (a, b) in enumerate([("home", "ev_home"), ("away", "ev_away"), ("home", "ev_away"), ("away", "ev_home")]):
         own = known.select("sport", F.col("a").alias(a), F.col("b").alias(b), F.col("score").alias(f"_s{i}"))
         pairs = pairs.join(own, ["sport", a, b])
-    straight, crossed = combined(F.col("_s0"), F.col("_s1")), combined(F.col("_s2"), F.col("_s3"))
-    swapped = crossed > straight + 0.05
-    home, away = F.when(swapped, F.col("_s2")).otherwise(F.col("_s0")), F.when(swapped, F.col("_s3")).otherwise(F.col("_s1"))
-    score = F.when(swapped, crossed).otherwise(straight)
-    close = (F.abs(F.col("start") - F.col("ev_start")) <= 5 * MINUTE) & (F.greatest(home, away) >= 0.9)
-    individual = F.col("sport").isin(*INDIVIDUAL_SPORTS)
-    lifted = F.when(close & ~swapped, F.greatest(score, F.lit(settings.review + 0.02))).when(close & swapped & individual, F.greatest(score, F.lit(settings.review + 0.01))).otherwise(score)
-    out = pairs.withColumn("swapped", swapped).withColumn("home_score", home).withColumn("away_score", away).withColumn("score", lifted)
-    return out.drop("_s0", "_s1", "_s2", "_s3").where("score > 0.3")
+    # each value is made once, by a generator: as plain columns they are written out in each other, too long a method for the JVM to compile
+    def made(df: DataFrame, **values: Column) -> DataFrame:
+        return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in values.items()]))))
+
+    pairs = made(pairs, _straight=combined(F.col("_s0"), F.col("_s1")), _crossed=combined(F.col("_s2"), F.col("_s3")))
+    pairs = made(pairs, swapped=F.col("_crossed") > F.col("_straight") + 0.05)
+    of = lambda turned, plain: F.when(F.col("swapped"), F.col(turned)).otherwise(F.col(plain))
+    pairs = made(pairs, home_score=of("_s2", "_s0"), away_score=of("_s3", "_s1"), _score=of("_crossed", "_straight"))
+    close = (F.abs(F.col("start") - F.col("ev_start")) <= 5 * MINUTE) & (F.greatest("home_score", "away_score") >= 0.9)
+    least = F.when(~F.col("swapped"), F.lit(settings.review + 0.02)).when(F.col("sport").isin(*INDIVIDUAL_SPORTS), F.lit(settings.review + 0.01))
+    out = made(pairs, score=F.greatest("_score", F.when(close, least)))
+    return out.drop("_s0", "_s1", "_s2", "_s3", "_straight", "_crossed", "_score").where("score > 0.3")
 
 
 def as_candidates(events: DataFrame) -> DataFrame:
     return events.select("event_id", "sport", F.col("home").alias("ev_home"), F.col("away").alias("ev_away"), F.col("start").alias("ev_start"))
 
 
-def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
-    """Candidates of each entry within the matching window, with their similarity.
+def offered(events: DataFrame, links: DataFrame) -> DataFrame:
+    """Candidates, each with the books that are linked to it already (``taken``)."""
+    taken = links.groupBy("event_id").agg(F.collect_set("bk").alias("taken"))
+    return as_candidates(events).join(taken, "event_id", "left")
 
-    Events the book is linked to already, and pairs a reviewer has rejected, are left out, once the similarity has left few pairs.
-    """
-    pool = near_in_time(entries, as_candidates(events), ["sport"], "start", "ev_start", settings.match_minutes * MINUTE)
-    return _open(scored(pool, settings, known), links, rejected)
+
+def asking(entries: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Entries, each with the events that a reviewer has rejected for it (``refused``)."""
+    return entries.join(rejected.groupBy("entry_id").agg(F.collect_set("event_id").alias("refused")), "entry_id", "left")
+
+
+def _open(pool: DataFrame) -> DataFrame:
+    """Without events the book is linked to already, and pairs a reviewer has rejected. Both are known where a pair is made, so no pair is shuffled for it."""
+    is_in = lambda events, x: F.coalesce(F.array_contains(events, F.col(x)), F.lit(False))
+    return pool.where(~is_in("taken", "bk") & ~is_in("refused", "event_id")).drop("taken", "refused")
 
 
-def equal_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, known: DataFrame, tolerance_ms: int, reach: Column | None = None) -> DataFrame:
+def near_pool(asked: DataFrame, offer: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
+    """Candidates (of :func:`offered`) of each entry (of :func:`asking`) within the matching window, with their similarity."""
+    return scored(_open(near_in_time(asked, offer, ["sport"], "start", "ev_start", settings.match_minutes * MINUTE)), settings, known)
+
+
+def scored_pool(entries: DataFrame, events: DataFrame, links: DataFrame, rejected: DataFrame, settings: Settings, known: DataFrame) -> DataFrame:
+    """:func:`near_pool` of entries and events."""
+    return near_pool(asking(entries, rejected), offered(events, links), settings, known)
+
+
+def equal_pool(asked: DataFrame, offer: DataFrame, settings: Settings, known: DataFrame, tolerance_ms: int, reach: Column | None = None) -> DataFrame:
     """Candidates within a wide window whose names are almost equal on both sides; ``reach`` may narrow the window by row.
 
     Names go first: an entry meets the events of the few names that are like its own, in either order, and no other event of its time.
     """
     like = known.where(F.col("score") >= EQUAL)
     of = lambda side, ev: like.select("sport", F.col("a").alias(side), F.col("b").alias(ev))
-    ways = [entries.join(of("home", h), ["sport", "home"]).join(of("away", a), ["sport", "away"]) for h, a in (("ev_home", "ev_away"), ("ev_away", "ev_home"))]
-    asked = ways[0].unionByName(ways[1]).dropDuplicates(["entry_id", "ev_home", "ev_away"])
-    pool = near_in_time(asked, as_candidates(events), ["sport", "ev_home", "ev_away"], "start", "ev_start", tolerance_ms)
+    ways = [asked.join(of("home", h), ["sport", "home"]).join(of("away", a), ["sport", "away"]) for h, a in (("ev_home", "ev_away"), ("ev_away", "ev_home"))]
+    named = ways[0].unionByName(ways[1]).dropDuplicates(["entry_id", "ev_home", "ev_away"])
+    pool = near_in_time(named, offer, ["sport", "ev_home", "ev_away"], "start", "ev_start", tolerance_ms)
     if reach is not None:
         pool = pool.where(F.abs(F.col("start") - F.col("ev_start")) <= reach)
-    return _open(scored(pool, settings, known).where(F.least("home_score", "away_score") >= EQUAL), links, rejected)
-
-
-def _open(pool: DataFrame, links: DataFrame, rejected: DataFrame) -> DataFrame:
-    return pool.join(links.select("bk", "event_id"), ["bk", "event_id"], "left_anti").join(rejected.select("entry_id", "event_id"), ["entry_id", "event_id"], "left_anti")
+    return scored(_open(pool), settings, known).where(F.least("home_score", "away_score") >= EQUAL)
 
 
 def decide(pool: DataFrame, wide: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
@@ -176,11 +193,11 @@ def decide(pool: DataFrame, wide: DataFrame, entries: DataFrame, settings: Setti
     status = F.when(auto | F.col("wide_event").isNotNull(), "auto").when(F.col("score") >= settings.review, "review").otherwise("create")
     out = out.withColumn("status", status)
     linked = F.when(auto, F.col("event_id")).otherwise(F.coalesce(F.col("wide_event"), F.when(F.col("status") == "review", F.col("event_id"))))
-    return out.select("entry_id", "status", linked.alias("event_id"), F.when(auto | F.col("wide_event").isNull(), F.col("swapped")).otherwise(F.col("wide_swapped")).alias("swapped"), F.when(auto | F.col("wide_event").isNull(), F.col("score")).otherwise(F.col("wide_score")).alias("score"))
+    return out.select("entry_id", *[c for c in ("bk",) if c in entries.columns], "status", linked.alias("event_id"), F.when(auto | F.col("wide_event").isNull(), F.col("swapped")).otherwise(F.col("wide_swapped")).alias("swapped"), F.when(auto | F.col("wide_event").isNull(), F.col("score")).otherwise(F.col("wide_score")).alias("score"))
 
 
-def one_event_a_book(decided: DataFrame, entries: DataFrame) -> DataFrame:
-    """Of the entries of a book linked to one event, the best stays linked; the others go to review."""
-    own = decided.join(entries.select("entry_id", "bk"), "entry_id")
-    rank = F.row_number().over(Window.partitionBy("bk", "event_id").orderBy(F.col("score").desc(), "entry_id"))
-    return own.withColumn("_r", rank).withColumn("status", F.when((F.col("status") == "auto") & (F.col("_r") > 1), "review").otherwise(F.col("status"))).drop("_r")
+def one_event_a_book(decided: DataFrame) -> DataFrame:
+    """Of the entries of a book (``bk``) linked to one event, the best stays linked; the others go to review."""
+    alone = F.when(F.col("event_id").isNull(), F.col("entry_id"))  # entries without an event are no group
+    rank = F.row_number().over(Window.partitionBy("bk", "event_id", alone).orderBy(F.col("score").desc(), "entry_id"))
+    return decided.withColumn("_r", rank).withColumn("status", F.when((F.col("status") == "auto") & (F.col("_r") > 1), "review").otherwise(F.col("status"))).drop("_r")

@@ -59,11 +59,12 @@ def resolve(entries: DataFrame, events: DataFrame, links: DataFrame, aliases: Da
     named = stored(by_alias(rest, events, links, aliases, rejected, settings), "aliases")
     alias = named.select("entry_id", "event_id", "swapped", F.lit("alias").alias("method"))
     taken = links.select("bk", "event_id").unionByName(named.select("bk", "event_id"))
-    rest = stored(rest.join(alias.select("entry_id"), "entry_id", "left_anti"), "unnamed")
+    rest = stored(matching.asking(rest.join(alias.select("entry_id"), "entry_id", "left_anti"), rejected), "unnamed")
+    offer = stored(matching.offered(events, taken), "offered")
     reach = F.when(F.col("sport").isin(*matching.INDIVIDUAL_SPORTS), 6 * HOUR).otherwise(3 * HOUR)
-    narrow = matching.scored_pool(rest, events, taken, rejected, settings, known)
-    wide = matching.equal_pool(rest, events, taken, rejected, settings, known, 6 * HOUR, reach)
-    decided = matching.one_event_a_book(matching.decide(narrow, wide, rest.select("entry_id", "sport"), settings), rest.select("entry_id", "bk"))
+    narrow = matching.near_pool(rest, offer, settings, known)
+    wide = matching.equal_pool(rest, offer, settings, known, 6 * HOUR, reach)
+    decided = matching.one_event_a_book(matching.decide(narrow, wide, rest.select("entry_id", "bk"), settings))
     fuzzy = decided.select("entry_id", F.when(F.col("status") != "create", F.col("event_id")).alias("event_id"), "swapped", F.col("status").alias("method"))
     out = kept.unionByName(alias).unionByName(fuzzy)
     return out.withColumn("status", F.when(F.col("method").isin("link", "alias", "auto"), "linked").otherwise(F.col("method")))

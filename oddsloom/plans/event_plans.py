@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detect, ladder, review, states, tracker, validate
+from ..stored import stored
 from ..streaming import book_state
 from . import bindings as B
 from .quote_plans import CONSENSUS, SETTINGS, Q, _quotes
@@ -137,7 +138,7 @@ def _participants(spark, d):
 
 def resolved_entries(spark, d):
     """Every entry with its event, or that it waits for review, or makes an event of its own. Similarity is beyond SQL."""
-    entries, events = _participants(spark, d)
+    entries, events = (stored(df, "participants") for df in _participants(spark, d))  # all that follows reads them
     links = entries.select("bk", "entry_id", (F.col("entry_id") - 1).alias("event_id"), F.lit(False).alias("swapped")).where("entry_id % 10 = 1")
     aliases = events.select("sport", F.col("home").alias("raw_name"), F.col("home_id").alias("participant_id")).distinct().withColumn("bk", F.explode(F.array(*[F.lit(b) for b in range(0, 9, 4)])))
     rejected = entries.select("entry_id", (F.col("entry_id") + 1).alias("event_id")).where("entry_id % 10 = 3")

@@ -222,6 +222,19 @@ def test_resolution_by_all_names_and_by_names_near_in_time(spark, monkeypatch, c
     assert plan.count("BroadcastHashJoin [sport") >= 4  # pairs are not shuffled to meet the scores of names
 
 
+def test_taken_and_rejected_events_are_known_where_pairs_are_made(spark, capsys):
+    minute = 60_000
+    events = spark.createDataFrame([(i, "football", "red ring", "blue gear", i * minute) for i in range(6)], "event_id long, sport string, home string, away string, start long")
+    rows = spark.createDataFrame([entry(i, i % 3, "red ring", "blue gear", i * minute) for i in range(6)], "entry_id long, sport string, bk int, home string, away string, start long")
+    links, rejected = [(0, 7, 2, False), (1, 8, 2, False), (2, 9, 5, False)], [(4, 4), (4, 1), (0, 3)]
+    names_ = matching.compared(rows, matching.as_candidates(events), 360 * minute)
+    pool = matching.scored_pool(rows, events, spark.createDataFrame(links, "bk int, entry_id long, event_id long, swapped boolean"), spark.createDataFrame(rejected, "entry_id long, event_id long"), Settings(), names_)
+    taken = {(bk, event) for bk, _, event, _ in links}
+    assert {(r.entry_id, r.event_id) for r in pool.collect()} == {(i, e) for i in range(6) for e in range(6) if (i % 3, e) not in taken and (i, e) not in rejected}
+    pool.explain()
+    assert "LeftAnti" not in capsys.readouterr().out
+
+
 def test_pairs_near_in_time_equal_brute_force(spark):
     rng = random.Random(2)
     a, b = ([(i, rng.choice("xy"), rng.randrange(-5000, 5000)) for i in range(60)] for _ in range(2))
